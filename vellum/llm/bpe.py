@@ -22,7 +22,7 @@ SHORT_WORD = 64
 #: Words that one worker remembers; beyond that it forgets all and starts anew, so its memory is bounded.
 REMEMBERED = 400_000
 #: White space as the vocabulary's patterns mean it; Python's own also has the separators 1C to 1F.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellum.llm.bpe import encode_documents
 from vellum.llm.common import table
 from vellum.llm.packing import pack_documents
+from vellum.llm.quality_rules import rate_documents
 from vellum.llm.simhash import near_copies
 
 
@@ -18,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -29,7 +34,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op7_word_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op7_word_bpe, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

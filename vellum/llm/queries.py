@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import encode_documents
+from vellum.llm.chat import format_conversations, read_back, reply_trees
 from vellum.llm.common import table
 from vellum.llm.packing import pack_documents
 from vellum.llm.quality_rules import rate_documents
@@ -33,8 +34,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(probe))
+    return read_back(format_conversations(reply_trees(turns.union(added))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op7_word_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op7_word_bpe, op8_best_fit_packing, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

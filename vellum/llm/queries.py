@@ -13,7 +13,9 @@ from vellum.llm.chat import format_conversations, read_back, reply_trees
 from vellum.llm.common import table
 from vellum.llm.packing import pack_documents
 from vellum.llm.quality_rules import rate_documents
+from vellum.llm.sharding import shard_documents
 from vellum.llm.simhash import near_copies
+from vellum.llm.syncmers import compare_with_edits
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -42,7 +52,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op7_word_bpe, op8_best_fit_packing, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from vellum.llm.bpe import encode_documents
 from vellum.llm.chat import format_conversations, read_back, reply_trees
+from vellum.llm.classifier import classify_documents
 from vellum.llm.common import table
 from vellum.llm.packing import pack_documents
 from vellum.llm.quality_rules import rate_documents
+from vellum.llm.secret_scan import scan_documents
 from vellum.llm.sharding import shard_documents
 from vellum.llm.simhash import near_copies
 from vellum.llm.syncmers import compare_with_edits
@@ -26,6 +28,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: candidates, secrets, and the secrets as kind:start:end in their order."""
+    spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    return scan_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"))
+
+
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *(F.round(c, 9).alias(c) for c in ("evidence", "path_good", "posterior")), "kept")
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -52,7 +65,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_secret_forest, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op9_quality_classifier, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

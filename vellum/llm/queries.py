@@ -13,6 +13,7 @@ from vellum.llm.chat import format_conversations, read_back, reply_trees
 from vellum.llm.classifier import classify_documents
 from vellum.llm.common import table
 from vellum.llm.packing import pack_documents
+from vellum.llm.pii import KINDS, find_personal_data, written
 from vellum.llm.quality_rules import rate_documents
 from vellum.llm.secret_scan import scan_documents
 from vellum.llm.sharding import shard_documents
@@ -28,6 +29,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count(k: int):
+        return F.size(F.filter("base_spans", lambda x: x["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: candidates, secrets, and the secrets as kind:start:end in their order."""
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
@@ -65,7 +76,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_secret_forest, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op9_quality_classifier, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_weak_supervision, op4_secret_forest, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op9_quality_classifier, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

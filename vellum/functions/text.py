@@ -67,7 +67,7 @@ def includes(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split behind . ! or ? and white space, but not behind abbreviations; pieces of one letter are dropped."""
     for words in ABBREVIATIONS:
-        text = F.regexp_replace(text, rf"(?i)\b{words}\.\s", "$1<DOT> ")
+        text = F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}_]){words}\.\s", "$1<DOT> ")
     pieces = F.transform(F.split(text, r"(?<=[.!?])\s+", -1), lambda s: F.replace(F.btrim(s, F.lit(" \t\n\r\x0b\x0c")), F.lit("<DOT>"), F.lit(".")))
     return F.filter(pieces, lambda s: F.length(s) > 1)
 
@@ -198,3 +198,8 @@ def bibitems(tex: Column) -> Column:
     pattern = r"(?s)\\bibitem\s*(?:\[([^\]]*)\])?\s*\{([^}]+)\}((?:(?!\\bibitem|\\end\{thebibliography\}).)*)"
     part = lambda i: F.regexp_extract_all(tex, F.lit(pattern), F.lit(i))
     return F.transform(F.arrays_zip(part(1), part(2), part(3)), lambda x: F.struct(F.nullif(x["0"], F.lit("")).alias("label"), F.trim(x["1"]).alias("key"), F.btrim(x["2"], F.lit(" \t\n\r")).alias("content")))
+
+
+def file_contains_line(text: Column, keyword: str) -> Column:
+    """Whether some line of the text holds the keyword."""
+    return F.coalesce(F.contains(text, F.lit(keyword)), F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import latex
 
-NODES = "pub_id string, version string, preorder int, parent_preorder int, depth int, node_type string, title string, label string, content string, error string"
+NODES = "pub_id string, version string, preorder int, parent_preorder int, depth int, subtree_end int, node_type string, title string, label string, content string, error string"
 MATH = "equation|align|gather|eqnarray"
 LISTS, BLOCKS = ("itemize", "enumerate"), r"\\begin\{(itemize|enumerate|lstlisting|listing)\}"
 FLUSH_LINES = 50
@@ -258,7 +258,7 @@ def parse_harvmac(tex: str) -> Node:
             abstract.add("sentence", content=s)
     if not abstract.children:
         root.children.remove(abstract)
-    for mark, nxt in zip(marks, [*marks[1:], None], strict=True):
+    for mark, nxt in zip(marks, [*marks, None][1:], strict=True):
         name, at = _group(body, mark.end())
         if mark[1] == "appendix":
             name, at = _group(body, at)
@@ -270,7 +270,7 @@ def parse_harvmac(tex: str) -> Node:
 def _harvmac_section(section: Node, text: str) -> None:
     marks = list(re.finditer(r"\\subsec(?![A-Za-z])", text))
     _harvmac_content(section, text[: marks[0].start()] if marks else text)
-    for mark, nxt in zip(marks, [*marks[1:], None], strict=True):
+    for mark, nxt in zip(marks, [*marks, None][1:], strict=True):
         name, at = _group(text, mark.end())
         _harvmac_content(section.add("subsection", title=_clean_title(name)), text[at : nxt.start() if nxt else len(text)])
 
@@ -306,13 +306,19 @@ def parse_version(files: dict[str, str], main: str, level_aware: bool = False, f
 
 
 def node_rows(root: Node) -> list[tuple]:
-    """(preorder, parent_preorder, depth, node_type, title, label, content) of all nodes."""
+    """(preorder, parent_preorder, depth, subtree_end, node_type, title, label, content) of all nodes; a subtree ends where
+    the next node begins that is no deeper than its root."""
     rows, todo = [], [(root, None, 0)]
     while todo:
         node, parent, depth = todo.pop()
-        rows.append((len(rows), parent, depth, node.node_type, node.title, node.label, node.content))
+        rows.append((len(rows), parent, depth, node))
         todo += [(c, len(rows) - 1, depth + 1) for c in reversed(node.children)]
-    return rows
+    ends, open_rows = [len(rows)] * len(rows), []
+    for at, _, depth, _ in rows:
+        while open_rows and rows[open_rows[-1]][2] >= depth:
+            ends[open_rows.pop()] = at
+        open_rows.append(at)
+    return [(at, parent, depth, ends[at], n.node_type, n.title, n.label, n.content) for at, parent, depth, n in rows]
 
 
 def parse_versions(sources: DataFrame, resolved: DataFrame, level_aware: bool = False, fixed_headings: bool = False) -> DataFrame:
@@ -330,9 +336,9 @@ def parse_versions(sources: DataFrame, resolved: DataFrame, level_aware: bool =
         try:
             found = [(*key, *r, None) for r in node_rows(parse_version({n: texts[n] for n in names if n in texts}, main, level_aware, fixed_headings))]
         except Exception as e:  # noqa: BLE001  one version's trouble isn't the job's
-            found = [(*key, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+            found = [(*key, *[None] * 8, f"{type(e).__name__}: {e}"[:500])]
         frame = pd.DataFrame(found, columns=[c.split()[0] for c in NODES.split(", ")])
-        return frame.astype({c: "Int32" for c in ("preorder", "parent_preorder", "depth")})
+        return frame.astype({c: "Int32" for c in ("preorder", "parent_preorder", "depth", "subtree_end")})
 
     tex = sources.where(F.col("file_name").endswith(".tex")).join(resolved.where("main_tex is not null").select("pub_id", "version", "main_tex"), ["pub_id", "version"])
     return tex.groupBy("pub_id", "version").applyInPandas(parse, NODES)

@@ -78,5 +78,5 @@ def cleaned(rows: DataFrame, year: Column) -> DataFrame:
 
 def extraction_rate(raw: DataFrame, kept: DataFrame) -> DataFrame:
     """(raw, kept, rate); the rate of nothing is null."""
-    a, b = raw.agg(F.count("*").alias("raw")), kept.agg(F.count("*").alias("kept"))
-    return a.join(b).select("raw", "kept", (F.col("kept") / F.nullif("raw", F.lit(0))).alias("rate"))
+    both = raw.select(F.lit(1).alias("raw"), F.lit(0).alias("kept")).union(kept.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept")).withColumn("rate", F.try_divide("kept", "raw"))

@@ -24,7 +24,7 @@ def text_of(content: Column) -> Column:
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(pub_id, path: inside the publication, size, content): every file below the publication folders."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     inner = F.substring_index(F.col("path"), base, -1)
     return found.select(F.substring_index(inner, "/", 1).alias("pub_id"), F.regexp_replace(inner, "^[^/]*/", "").alias("path"), F.col("length").alias("size"), "content").where("path <> pub_id")
 

@@ -1,0 +1 @@
+"""Nothing here: the engine's operators are batch operators, as no stream is part of what it computes."""

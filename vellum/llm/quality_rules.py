@@ -34,8 +34,8 @@ def repeated_words(words: Column) -> Column:
     """Words covered by windows that occur twice or more: equal windows are found as neighbours after a sort."""
 
     def covered(places: Column) -> Column:
-        steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(b - a, F.lit(WINDOW)))
-        return F.aggregate(steps, F.lit(WINDOW), lambda total, step: total + F.coalesce(step, F.lit(0)))
+        steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+        return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
     def sought(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))

@@ -79,5 +79,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_weak_supervision, op4_secret_forest, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op9_quality_classifier, op10_reply_trees)}
 
 
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<!*(\|(im_start|im_end|endoftext|startoftext)\|>|/?s>|</?SYS>>)|\[!*/?INST\]')) AS escaped FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + escaped + 10 + 1) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has neither XXH64 nor the tokenizers, forests and fingerprints of the other queries; those are tested by brute force."""
+    return {"op10_reply_trees": CHAT_SQL}

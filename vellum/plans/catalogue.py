@@ -305,18 +305,21 @@ def _part_pairs(spark, sf_dir):
 
 
 PAIRS = "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS an, b.p_name AS bn, a.p_type AS aty, b.p_type AS bty FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
-IDS = (c("p_partkey").alias("a"), c("o_p_partkey").alias("b"))
+def _ids():
+    return c("p_partkey").alias("a"), c("o_p_partkey").alias("b")
+
+
 JACCARD = "len(list_intersect(string_split({a}, ' '), string_split({b}, ' '))) / len(list_distinct(list_concat(string_split({a}, ' '), string_split({b}, ' '))))"
 
 
 @query(f"SELECT a, b, CAST(levenshtein(an, bn) AS BIGINT) AS distance, round(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), 6) AS similarity FROM ({PAIRS})")
 def lev_similarity(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*IDS, long(F.levenshtein("p_name", "o_p_name")).alias("distance"), F.round(S.edit_similarity(c("p_name"), c("o_p_name")), 6).alias("similarity"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), long(F.levenshtein("p_name", "o_p_name")).alias("distance"), F.round(S.edit_similarity(c("p_name"), c("o_p_name")), 6).alias("similarity"))
 
 
 @query(f"SELECT a, b, round({JACCARD.format(a='aty', b='bty')}, 6) AS jaccard FROM ({PAIRS})")
 def word_jaccard(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*IDS, F.round(S.word_jaccard(c("p_type"), c("o_p_type")), 6).alias("jaccard"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.word_jaccard(c("p_type"), c("o_p_type")), 6).alias("jaccard"))
 
 
 @query("""SELECT o_orderkey, CASE abs(try_cast(a AS INTEGER) - try_cast(b AS INTEGER)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS score FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE strftime(o_orderdate, '%Y') END AS a, CAST(1993 + o_custkey % 5 AS VARCHAR) AS b FROM orders)""")
@@ -327,19 +330,19 @@ def year_score(spark, sf_dir):
 
 @query()
 def seq_ratio(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*IDS, S.sequence_ratio("p_name", "o_p_name").alias("ratio"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), S.sequence_ratio("p_name", "o_p_name").alias("ratio"))
 
 
 @query()
 def indel_ratio(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*IDS, S.indel_ratio("p_name", "o_p_name").alias("ratio"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), S.indel_ratio("p_name", "o_p_name").alias("ratio"))
 
 
 @query()
 def similarity_components(spark, sf_dir):
     names = lambda p: F.split(p, " ")
     x = S.similarity_components(c("p_name"), c("o_p_name"), names(c("p_type")), names(c("o_p_type")), c("year").cast("string"), c("o_year").cast("string"))
-    return _part_pairs(spark, sf_dir).select(*IDS, x.alias("x")).select("a", "b", "x.*")
+    return _part_pairs(spark, sf_dir).select(*_ids(), x.alias("x")).select("a", "b", "x.*")
 
 
 OVERLAP = f"least(1.0, CASE WHEN aty[1] = bty[1] THEN 0.5 ELSE 0.0 END + 0.5 * {JACCARD})".replace("string_split({a}, ' ')", "aty").replace("string_split({b}, ' ')", "bty")
@@ -349,14 +352,14 @@ SPLIT_PAIRS = f"SELECT a, b, an, bn, string_split(aty, ' ') AS aty, string_split
 @query(f"SELECT a, b, round({OVERLAP}, 6) AS overlap FROM ({SPLIT_PAIRS})")
 def author_overlap(spark, sf_dir):
     names = lambda p: F.split(p, " ")
-    return _part_pairs(spark, sf_dir).select(*IDS, F.round(S.author_overlap(names(c("p_type")), names(c("o_p_type")), fuzzy=False), 6).alias("overlap"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.author_overlap(names(c("p_type")), names(c("o_p_type")), fuzzy=False), 6).alias("overlap"))
 
 
 @query(f"""SELECT a, b, round(0.4 * greatest(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), {JACCARD.format(a='an', b='bn')}) + 0.35 * {OVERLAP} + 0.25 * CASE WHEN a % 5 = b % 5 THEN 1.0 ELSE 0.0 END, 6) AS score FROM ({SPLIT_PAIRS})""")
 def match_score(spark, sf_dir):
     names, year = (lambda p: F.split(p, " ")), (lambda k: (2000 + k % 5 * 3).cast("string"))
     s = S.match_score(c("p_name"), c("o_p_name"), names(c("p_type")), names(c("o_p_type")), year(c("p_partkey")), year(c("o_p_partkey")), fuzzy=False)
-    return _part_pairs(spark, sf_dir).select(*IDS, F.round(s, 6).alias("score"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(s, 6).alias("score"))
 
 
 # --- matching and labelling ------------------------------------------------------------------------------------------------
@@ -451,7 +454,7 @@ def sampled_publications(spark, sf_dir):
 def pair_features(spark, sf_dir):
     names = lambda p: F.split(p, " ")
     year = F.when(c("p_partkey") % 4 == 0, "x").otherwise((c("p_partkey") % 9).cast("string"))
-    return _part_pairs(spark, sf_dir).select(*IDS, features.title_length_difference(c("p_name"), c("o_p_name")).alias("title_length"), F.round(features.author_set_overlap(names(c("p_type")), names(c("o_p_type"))), 6).alias("authors"), features.year_difference(year, (c("o_p_partkey") % 7).cast("string")).alias("years"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), features.title_length_difference(c("p_name"), c("o_p_name")).alias("title_length"), F.round(features.author_set_overlap(names(c("p_type")), names(c("o_p_type"))), 6).alias("authors"), features.year_difference(year, (c("o_p_partkey") % 7).cast("string")).alias("years"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions.text import clean_formatting
+from vellum.session import cut
 
 LISTS, TITLED = ("itemize", "enumerate"), ("document", "part", "chapter", "section", "appendix", "subsection", "subsubsection", "paragraph")
 LEAVES = ("sentence", "math", "figure", "table", "listing")
@@ -39,7 +40,11 @@ def normalize_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_hashes(rows: DataFrame) -> DataFrame:
-    """subtree_hash: SHA-256 of type, full text and the children's hashes in their order, from the deepest level up."""
+    """subtree_hash: SHA-256 of type, full text and the children's hashes in their order, from the deepest level up.
+
+    Each level is written once, as both the level above and the result read it; a tree is some ten levels deep at most.
+    """
+    rows = cut(rows)
     deepest = rows.agg(F.max("depth")).first()[0]
     done, below = None, None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
@@ -50,7 +55,7 @@ def subtree_hashes(rows: DataFrame) -> DataFrame:
             joined = below.groupBy(*VERSION, F.col("parent_preorder").alias("preorder")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("preorder").alias("p"), "subtree_hash"))), lambda x: x["subtree_hash"]), "").alias("children_hash"))
             level = level.join(joined, [*VERSION, "preorder"], "left")
         level = level.withColumn("subtree_hash", F.sha2(F.concat("node_type", "full_text", F.coalesce("children_hash", F.lit(""))), 256)).drop("children_hash")
-        below = level
+        below = level = cut(level)
         done = level if done is None else done.unionByName(level)
     return done if done is not None else rows.withColumn("subtree_hash", F.lit(None).cast("string"))
 

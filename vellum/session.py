@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +17,14 @@ SETTINGS = {
 
 def session(name: str = "vellum", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` without its lineage, written to the folder that the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset (tests on one machine) is a temporary folder made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-"))
+    return df.checkpoint(eager=True)

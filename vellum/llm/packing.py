@@ -135,8 +135,8 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pack_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_OF_DOCUMENT) -> DataFrame:
     """doc_id, piece, start, length, ids (binary), sequence_id, offset (in tokens): one row per piece of each document.
 
-    Each task packs its own input partition online and without a shuffle; sequence ids carry the partition's number, so a
-    task that is run again gives the same rows. Full pieces fill a sequence alone. Null and empty texts consist of the end
+    Each task packs its own input partition online and without a shuffle, of each Arrow batch the longest pieces first;
+    sequence ids carry the partition's number, so a task that is run again gives the same rows. Full pieces fill a sequence alone. Null and empty texts consist of the end
     id only; repeated rows are packed as often as they come; null ids are kept; other columns are ignored.
     """
 
@@ -146,13 +146,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id",
         bins, end = OpenBins(capacity, open_bins), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             model = load(vocabulary)
+            encoded = [model.encode(text) + end for text in strings(batch.column(1))]
+            pieces = [(number, piece, start, length) for number, ids in enumerate(encoded) for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity))]
+            places = {}
+            for at in sorted(range(len(pieces)), key=lambda at: -pieces[at][3]):  # the longest pieces at hand go first
+                places[at] = bins.place(pieces[at][3])
             rows: list[list] = [[], [], [], [], [], [], []]
-            for number, text in enumerate(strings(batch.column(1))):
-                ids = model.encode(text) + end
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    sequence, offset = bins.place(length)
-                    for column, value in zip(rows, (number, piece, start, length, ids[4 * start : 4 * (start + length)], base + sequence, offset), strict=True):
-                        column.append(value)
+            for at, (number, piece, start, length) in enumerate(pieces):
+                sequence, offset = places[at]
+                for column, value in zip(rows, (number, piece, start, length, encoded[number][4 * start : 4 * (start + length)], base + sequence, offset), strict=True):
+                    column.append(value)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             ids_of_rows = batch.column(0).take(pa.array(rows[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids_of_rows, *(pa.array(r, k) for r, k in zip(rows[1:], kinds, strict=True))], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])

@@ -1,10 +1,12 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from vellum.llm import quality_rules
+from vellum.llm.queries import oracle_sql
 from vellum.llm.quality_rules import keep_good_documents, rate_documents
 
 
@@ -71,6 +73,25 @@ def test_frequent_lines_match_brute_force(spark, monkeypatch):
     assert kept[0] == own(0) and kept[1] == own(1) + "\nseen too seldom to be removed"
 
 
+def test_every_shared_line_counts(spark):
+    """Whatever the hashes of the lines are, a footer of three lines under one line of its own is found on each host."""
+    rows = [(100 * h + i, f"w{h}x{i} " * 15 + "".join(f"\nfooter {h} {k}" for k in range(3)), f"h{h}") for h in range(12) for i in range(25)]
+    found = rate_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.removed_lines, r.left_words) for r in found} == {(3, 15)}
+
+
+def test_sql_gives_the_same(spark, odd):
+    con = duckdb.connect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").union(odd.select("doc_id", F.regexp_replace("text", "\u0000", ""), "source"))
+    footers = [(10_000 + i, f"own words of {i} " * (i % 7) + "\nAll  rights\treserved\nby us", "s") for i in range(60)]
+    docs = docs.union(spark.createDataFrame(footers, docs.schema))
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    want = con.execute(oracle_sql()["op2_quality_rules"])
+    names = [c[0] for c in want.description]
+    want, got = map(repr, sorted(want.fetchall(), key=repr)), map(repr, sorted((tuple(r) for r in rate_documents(docs).select(*names).collect()), key=repr))
+    assert list(got) == list(want)
+
+
 def test_odd_rows(spark, odd):
     rows = rate_documents(odd).collect()
     assert len(rows) == odd.count() and {r.n_words for r in rows if r.doc_id in (3, 4)} == {0}

@@ -60,14 +60,15 @@ def line_words(line: Column) -> Column:
 def frequent_lines(docs: DataFrame, text_column: str = "text", host_column: str = "source", least_documents: int = LINE_DOCUMENTS, least_share: float = LINE_SHARE) -> DataFrame:
     """(host, hashes): the normalised lines of each host that at least `least_documents` and `least_share` of its distinct documents hold.
 
-    Copies count once: documents with the same least line hash are taken for copies of one. Lines and documents of a host
-    are counted in one aggregation, of which the element 0 counts the documents. The lines of a host are at most the mean
-    number of lines of its documents divided by the share.
+    Copies count once: documents whose normalised lines are the same are one. Lines and documents of a host are counted in
+    one aggregation, of which the element 0 counts the documents. The lines of a host are at most the mean number of lines
+    of its documents divided by the share.
     """
     text, host = F.coalesce(F.col(text_column), F.lit("")), F.coalesce(F.col(host_column).cast("string"), F.lit(""))
-    hashed = docs.select(host.alias("host"), F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("hs"))
-    held = hashed.where(F.size("hs") > 0).select("host", F.array_min("hs").alias("anchor"), F.explode(F.concat(F.array(F.lit(0).cast("long")), "hs")).alias("h"))
-    counts = checkpoint(held.groupBy("host", "h").agg(F.count_distinct("anchor").alias("n")).where(F.col("n") >= least_documents))
+    lines = let(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("document"), F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("hs")))
+    hashed = docs.select(host.alias("host"), lines.alias("lines")).where(F.size("lines.hs") > 0)
+    held = hashed.select("host", "lines.document", F.explode(F.concat(F.array(F.lit(0).cast("long")), "lines.hs")).alias("h"))
+    counts = checkpoint(held.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") >= least_documents))
     totals = counts.where("h = 0").select("host", F.col("n").alias("documents"))
     return counts.where("h <> 0").join(totals, "host").where(F.col("n") >= least_share * F.col("documents")).groupBy("host").agg(F.collect_set("h").alias("hashes"))
 

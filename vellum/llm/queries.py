@@ -94,6 +94,44 @@ FROM marked GROUP BY conv_id
 """
 
 
+QUALITY_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS found
+  FROM (SELECT r, i, w[i:i + 4] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words))
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest(range(5)) AS k) WHERE found > 1 GROUP BY r
+), raw AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), lines AS (
+  SELECT r, host, list_filter(list_transform(string_split(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM texts
+), each AS (
+  SELECT r, host, l, unnest(l) AS line FROM lines
+), counts AS (
+  SELECT host, line, count(DISTINCT l) AS n FROM each GROUP BY host, line
+), totals AS (
+  SELECT host, count(DISTINCT l) AS documents FROM lines WHERE len(l) > 0 GROUP BY host
+), gone AS (
+  SELECT host, line FROM counts JOIN totals USING (host) WHERE n >= 20 AND n >= 0.02 * documents
+), kept_lines AS (
+  SELECT r, count(g.line) AS removed, coalesce(sum(len(string_split(e.line, ' '))) FILTER (WHERE g.line IS NULL), 0) AS left_words
+  FROM each e LEFT JOIN gone g ON e.host = g.host AND e.line = g.line GROUP BY r
+), rated AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(raw.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    coalesce(removed, 0) AS removed_lines, CAST(coalesce(left_words, 0) AS BIGINT) AS left_words
+  FROM texts JOIN words USING (r) LEFT JOIN covered USING (r) LEFT JOIN raw USING (r) LEFT JOIN kept_lines USING (r)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM rated
+)
+SELECT *, NOT base_failed AND left_words >= 10 AND left_words >= 0.2 * n_words AS kept FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has neither XXH64 nor the tokenizers, forests and fingerprints of the other queries; those are tested by brute force."""
-    return {"op10_reply_trees": CHAT_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op10_reply_trees": CHAT_SQL}

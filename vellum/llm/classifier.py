@@ -136,11 +136,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> np.ndarray:
 
 
 def logit_column(evidence: Evidence, text: Column) -> Column:
+    """The logit of a text. It is never null, but Spark would infer a null check below the join and score each text once
+    more for it; columns that count as not deterministic are not moved."""
+
     @F.pandas_udf("double")
     def logit(texts: pd.Series) -> pd.Series:
         return pd.Series([evidence.logit(t) for t in texts], dtype="float64")
 
-    return logit(F.coalesce(text, F.lit("")))
+    return logit.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def path_posteriors(scored: DataFrame, host: str, path: str, logit: str, prior: float) -> DataFrame:

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions import latex
 from vellum.functions import similarity as S
 from vellum.functions import text as T
-from vellum.operators import features, matching, ranking, references, resolve, tree_dedup
+from vellum.operators import features, latex_tree, matching, ranking, references, resolve, tree_dedup
 from vellum.sources import bibtex, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +130,71 @@ def author_short_forms(spark, sf_dir):
     return rows.select("c_custkey", shorts.alias("s")).select("c_custkey", c("s")[0].alias("first_short"), c("s")[1].alias("second_short"), T.first_author_last(c("s")).alias("first_last"), c("s")[2].alias("single"))
 
 
+def batched(rule: Callable, kind: str = "string"):
+    """A rule of one text as a function of Columns, applied in Arrow batches."""
+
+    @F.pandas_udf(kind)
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(rule)
+
+    return apply
+
+
+@query(r"SELECT p_partkey, p_name || ' {\bf x} ' || p_brand AS title FROM part")
+def tex_title(spark, sf_dir):
+    tex = F.concat(F.lit("% \\title{no}\n\\titlefont{no}\\title[short]{"), "p_name", F.lit(" {\\bf x}\\\\ \n"), "p_brand", F.lit("\\vspace{2cm}} text"))
+    return table(spark, sf_dir, "part").select("p_partkey", batched(latex.find_title)(tex).alias("title"))
+
+
+@query(r"SELECT p_partkey, 'x ' || p_name || '\ of ' || p_brand || ' y \names z \arg{1}' AS expanded FROM part")
+def expand_macros(spark, sf_dir):
+    rule = lambda tex: latex.expand(tex.split("\n")[1], latex.macro_map([tex]))
+    tex = F.concat(F.lit("\\newcommand{\\name}{old}\\renewcommand{\\name}{"), "p_name", F.lit("}\\def\\both{\\name\\ of \\brand}\\newcommand{\\brand}[0]{"), "p_brand", F.lit("}\\newcommand{\\arg}[1]{#1}\nx \\both y \\names z \\arg{1}"))
+    return table(spark, sf_dir, "part").select("p_partkey", batched(rule)(tex).alias("expanded"))
+
+
+@query(r"SELECT p_partkey, p_name || ' ' || p_brand || ' \textit x \color{red}' AS plain FROM part")
+def remove_styles(spark, sf_dir):
+    tex = F.concat(F.lit("\\textbf{\\emph {"), "p_name", F.lit("} \\bfseries "), "p_brand", F.lit("} \\textit x \\color{red}"))
+    return table(spark, sf_dir, "part").select("p_partkey", batched(latex.remove_styles)(tex).alias("plain"))
+
+
+def _supplier_files(spark, sf_dir):
+    """A version of four files per supplier; every tenth has none at its top."""
+    file = lambda name, *text: F.struct(F.lit(name).alias("file_name"), F.concat(*text).alias("text"))
+    main = file("main.tex", F.lit("\\documentclass{a}\n\\begin{document}\n\\section{On "), c("s_name"), F.lit("}\nOne is here. Two e.g. follows.\n\\input{sub/b}\n\\input{c}\n\\end{document}\n"))
+    rest = (file("b.tex", F.lit("\\subsection{Part}\nThree of b.\n\\begin{equation}\nx=1\n\\end{equation}\n\\input{c}\n")), file("c.tex", F.lit("Four of c.\n\\input{main}\n")), file("unused.tex", F.lit("Five.")))
+    none = F.array(file("deep/x.tex", F.lit("Six.")))
+    rows = table(spark, sf_dir, "supplier").select(c("s_suppkey").cast("string").alias("pub_id"), F.concat(c("s_suppkey").cast("string"), F.lit("v1")).alias("version"), F.explode(F.when(c("s_suppkey") % 10 == 0, none).otherwise(F.array(main, *rest))).alias("f"))
+    return rows.select("pub_id", "version", "f.*", F.octet_length("f.text").alias("size"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, CASE WHEN s_suppkey % 10 = 0 THEN 'NO_TEX_FILES' ELSE 'RESOLVED' END AS status, CASE WHEN s_suppkey % 10 > 0 THEN 'main.tex' END AS main_tex,
+CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE 'main.tex,b.tex,c.tex' END AS used FROM supplier""")
+def resolve_version(spark, sf_dir):
+    return resolve.resolve_versions(_supplier_files(spark, sf_dir)).select("pub_id", "status", "main_tex", F.array_join("used_tex_files", ",").alias("used"))
+
+
+@query()
+def latex_nodes(spark, sf_dir):
+    found = _supplier_files(spark, sf_dir)
+    return latex_tree.parse_versions(found, resolve.resolve_versions(found)).select("pub_id", long(c("preorder")).alias("preorder"), long(c("parent_preorder")).alias("parent"), "node_type", "title", "content")
+
+
+@query()
+def harvmac_nodes(spark, sf_dir):
+    text = F.concat(F.lit("\\input harvmac\n\\Title{}{On "), "n_name", F.lit("}\nAn abstract of it.\n\\newsec{First}\nOne is here. Two follows.\n\\subsec{Inner}\nThree of it.\n\\bye\n"))
+    found = table(spark, sf_dir, "nation").select(c("n_nationkey").cast("string").alias("pub_id"), F.lit("v1").alias("version"), F.lit("m.tex").alias("file_name"), text.alias("text"))
+    return latex_tree.parse_versions(found, found.withColumn("main_tex", c("file_name"))).select("pub_id", long(c("preorder")).alias("preorder"), long(c("parent_preorder")).alias("parent"), "node_type", "title", "content")
+
+
+@query("SELECT p_partkey, 'article' AS type, p_brand AS author, p_name AS title, CAST(p_size + 1950 AS VARCHAR) AS year, '10--20' AS pages FROM part")
+def bibitem_fields(spark, sf_dir):
+    text = F.concat(c("p_brand"), F.lit(", \\emph{"), c("p_name"), F.lit("}, Journal of It, pp. 10-20, "), c("p_size") + 1950)
+    rows = table(spark, sf_dir, "part").select("p_partkey", bibtex.item_entry(F.lit("k"), text).alias("e")).select("p_partkey", "e.type", "e.fields")
+    return rows.select("p_partkey", "type", *(references.field(n).alias(n) for n in ("author", "title", "year", "pages")))
+
+
 # --- trees ---------------------------------------------------------------------------------------------------------------
 
 HEADINGS = """WITH lines AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS BIGINT) AS pos,

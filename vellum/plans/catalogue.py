@@ -175,17 +175,21 @@ def resolve_version(spark, sf_dir):
     return resolve.resolve_versions(_supplier_files(spark, sf_dir)).select("pub_id", "status", "main_tex", F.array_join("used_tex_files", ",").alias("used"))
 
 
-@query()
+@query(r"""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, CAST(preorder AS BIGINT) AS preorder, CAST(parent AS BIGINT) AS parent, node_type, replace(title, '?', s_name) AS title, replace(content, '^', chr(10)) AS content FROM supplier,
+(VALUES (0, -1, 'document', NULL, NULL), (1, 0, 'section', 'On ?', NULL), (2, 1, 'sentence', NULL, 'One is here.'), (3, 1, 'sentence', NULL, 'Two e.g. follows.'), (4, 1, 'subsection', 'Part', NULL), (5, 4, 'sentence', NULL, 'Three of b.'),
+(6, 4, 'math', NULL, '\begin{equation}^x=1^\end{equation}'), (7, 4, 'sentence', NULL, 'Four of c.'), (8, 4, 'sentence', NULL, 'Four of c.'), (9, 4, 'sentence', NULL, 'Five.')) AS t(preorder, parent, node_type, title, content) WHERE s_suppkey % 10 > 0""")
 def latex_nodes(spark, sf_dir):
     found = _supplier_files(spark, sf_dir)
-    return latex_tree.parse_versions(found, resolve.resolve_versions(found)).select("pub_id", long(c("preorder")).alias("preorder"), long(c("parent_preorder")).alias("parent"), "node_type", "title", "content")
+    return latex_tree.parse_versions(found, resolve.resolve_versions(found)).select("pub_id", long(c("preorder")).alias("preorder"), F.coalesce(long(c("parent_preorder")), F.lit(-1)).alias("parent"), "node_type", "title", "content")
 
 
-@query()
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pub_id, CAST(preorder AS BIGINT) AS preorder, CAST(parent AS BIGINT) AS parent, node_type, replace(title, '?', n_name) AS title, content FROM nation,
+(VALUES (0, -1, 'document', 'On ?', NULL), (1, 0, 'section', 'Abstract', NULL), (2, 1, 'sentence', NULL, 'An abstract of it.'), (3, 0, 'section', 'First', NULL), (4, 3, 'sentence', NULL, 'One is here.'), (5, 3, 'sentence', NULL, 'Two follows.'),
+(6, 3, 'subsection', 'Inner', NULL), (7, 6, 'sentence', NULL, 'Three of it.')) AS t(preorder, parent, node_type, title, content)""")
 def harvmac_nodes(spark, sf_dir):
     text = F.concat(F.lit("\\input harvmac\n\\Title{}{On "), "n_name", F.lit("}\nAn abstract of it.\n\\newsec{First}\nOne is here. Two follows.\n\\subsec{Inner}\nThree of it.\n\\bye\n"))
     found = table(spark, sf_dir, "nation").select(c("n_nationkey").cast("string").alias("pub_id"), F.lit("v1").alias("version"), F.lit("m.tex").alias("file_name"), text.alias("text"))
-    return latex_tree.parse_versions(found, found.withColumn("main_tex", c("file_name"))).select("pub_id", long(c("preorder")).alias("preorder"), long(c("parent_preorder")).alias("parent"), "node_type", "title", "content")
+    return latex_tree.parse_versions(found, found.withColumn("main_tex", c("file_name"))).select("pub_id", long(c("preorder")).alias("preorder"), F.coalesce(long(c("parent_preorder")), F.lit(-1)).alias("parent"), "node_type", "title", "content")
 
 
 @query("SELECT p_partkey, 'article' AS type, p_brand AS author, p_name AS title, CAST(p_size + 1950 AS VARCHAR) AS year, '10--20' AS pages FROM part")

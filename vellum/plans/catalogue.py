@@ -63,6 +63,45 @@ def main_file_pick(spark, sf_dir):
     return picked.select("source", c("main_tex").alias("doc_id"), long(c("tier")).alias("tier"))
 
 
+def _folder_files(spark, sf_dir):
+    """The files of a folder per supplier, as read_files gives them: some folders lack one or the other."""
+    key, number = c("s_suppkey").cast("string"), c("s_suppkey")
+    paths = F.array(
+        F.when(number % 7 > 0, F.lit("metadata.json")), F.when(number % 5 > 0, F.lit("references.json")), F.when(number % 3 > 0, F.concat(F.lit("tex/"), key, F.lit("v2/main.tex"))),
+        F.when(number % 3 > 0, F.concat(F.lit("tex/"), key, F.lit("v10/b.bib"))), F.when(number % 3 > 0, F.concat(F.lit("tex/"), key, F.lit("v10/a.bib"))), F.concat(F.lit("tex/"), key, F.lit("w1/x.tex")),
+    )
+    listed = F.concat(F.lit('{"2301.'), key, F.lit('": {"paper_title": "On '), c("s_name"), F.lit('", "authors": ["A B", "C D"], "submission_date": "2023-01-02"}'), F.when(number % 4 > 0, "}").otherwise(""))
+    rows = table(spark, sf_dir, "supplier").select(key.alias("pub_id"), listed.cast("binary").alias("content"), F.explode(F.filter(paths, lambda x: x.isNotNull())).alias("path"))
+    return rows.withColumn("size", F.length("content").cast("long"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 THEN 'INVALID' WHEN s_suppkey % 3 = 0 THEN 'NO_TEX' ELSE 'READY' END AS status,
+CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_suppkey || 'v10,' || s_suppkey || 'v2' END AS versions FROM supplier""")
+def scan_folders(spark, sf_dir):
+    return files.scan(_folder_files(spark, sf_dir)).select("pub_id", "status", F.array_join("versions", ",").alias("versions"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, s_suppkey || 'v10' AS version, 'a.bib,b.bib' AS bib_files FROM supplier WHERE s_suppkey % 3 > 0")
+def bib_file_lists(spark, sf_dir):
+    return files.bib_files(files.sources(_folder_files(spark, sf_dir))).select("pub_id", "version", F.array_join("bib_files", ",").alias("bib_files"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, '2301.' || s_suppkey AS arxiv_id, 'On ' || s_name AS paper_title, 'A B|C D' AS authors, '2023-01-02' AS submission_date FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 4 > 0""")
+def arxiv_references(spark, sf_dir):
+    return files.arxiv_references(_folder_files(spark, sf_dir)).select("pub_id", "arxiv_id", "paper_title", F.array_join("authors", "|").alias("authors"), "submission_date")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, path FROM supplier, (VALUES ('metadata.json', 7), ('references.json', 5)) AS t(path, n) WHERE s_suppkey % n = 0")
+def missing_side_files(spark, sf_dir):
+    return files.side_files(_folder_files(spark, sf_dir))[1].select("pub_id", "path")
+
+
+@query("SELECT p_partkey, p_brand || '|' || p_type AS items FROM part")
+def listed_values(spark, sf_dir):
+    text = F.when(c("p_partkey") % 2 == 0, F.concat(F.lit("['"), "p_brand", F.lit("', '"), "p_type", F.lit("']"))).otherwise(F.concat("p_brand", F.lit(", , "), "p_type", F.lit(" ,")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(files.listed(text), "|").alias("items"))
+
+
 # --- text ----------------------------------------------------------------------------------------------------------------
 
 

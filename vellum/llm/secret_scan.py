@@ -19,9 +19,11 @@ from vellum.llm.common import arrow_map, fresh, strings
 #: What may be a secret: known token shapes, values assigned to telling names, and key blocks. The group v is the value.
 CANDIDATE = re.compile(
     r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?P<block>[A-Za-z0-9+/=\s]*)(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
-    r"|(?<![A-Za-z0-9])(?P<shape>AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk-[A-Za-z0-9_-]{20,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,2000})(?![A-Za-z0-9])"
-    r"|(?P<name>(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?)[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?P<quote>[\"'`]?)(?P<value>[^\s\"'`<>,;]{6,512})"
+    r"|(?<![A-Za-z0-9])(?:(?P<shape>AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])|(?P<jwt>eyJ(?=[A-Za-z0-9_-]{8})))"
+    r"|(?P<name>(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?)[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?P<quote>[\"'`]?)(?P<value>[^\s\"'`<>,;]{6,}+)"
 )
+#: A whole web token, and its first run of letters: if no token begins at one place of a run, none begins further on in it.
+JWT, JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), re.compile(r"[A-Za-z0-9_-]++")
 #: Words that name no secret, common words of prose and code, and words that tell of examples.
 COMMON = frozenset("the and for that with from this your you have not are was key value name user test data file code admin root login server host port type string true false null none self return function password secret token".split())
 PLACEHOLDERS = frozenset("example sample changeme placeholder your xxxx dummy fake test todo redacted none null insert here env getenv config secret password token foobar default undefined".split())
@@ -34,8 +36,17 @@ CONTEXT = 48
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what may be a secret, leftmost and without overlaps."""
-    found = []
-    for m in CANDIDATE.finditer(text):
+    found, at, no_jwt = [], 0, 0
+    while m := CANDIDATE.search(text, at):
+        at = m.end()
+        if m["jwt"]:
+            whole = JWT.match(text, m.start()) if m.start() >= no_jwt else None
+            if whole:
+                found.append((*whole.span(), "shape"))
+                at = whole.end()
+            elif m.start() >= no_jwt:
+                no_jwt = JWT_RUN.match(text, m.start()).end()
+            continue
         kind = "block" if m["block"] is not None else "shape" if m["shape"] else "value"
         start, end = m.span(0) if kind == "block" else m.span(kind)
         if kind == "value":
@@ -55,7 +66,7 @@ def transitions(value: str) -> float:
 
 def coverage(value: str) -> float:
     """Share of the letters that lie in common or placeholder words."""
-    lower, covered = value.lower()[:512], set()
+    lower, covered = value.lower(), set()
     for word in COMMON | PLACEHOLDERS:
         at = lower.find(word) if len(word) > 2 else -1
         while at >= 0:

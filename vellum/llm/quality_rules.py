@@ -12,12 +12,13 @@ SPACES, SPACE = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Words of a repeated window, fewest words of a text, most percent of words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: A line is removed if it stands in so many distinct documents of its host, and in this share of them.
-LINE_DOCUMENTS, LINE_SHARE = 20, 0.02
+#: A line is removed if it stands in so many distinct documents of its host, however many documents the host has.
+LINE_DOCUMENTS = 20
 #: A document is depleted if fewer than LEAST_WORDS words or less than this share of its words remain.
 LEAST_LEFT = 0.2
-#: Removable lines (16 bytes each) up to which they are broadcast; more are joined by host.
-BROADCAST_LINES = 200_000
+#: Removable lines (16 bytes each) up to which they are broadcast, and those of one host, as each of its documents is compared
+#: with them all; more are joined by host and hash.
+BROADCAST_LINES, HOST_LINES = 200_000, 5_000
 
 
 def let(value: Column, body) -> Column:
@@ -57,20 +58,20 @@ def line_words(line: Column) -> Column:
     return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("long")
 
 
-def frequent_lines(docs: DataFrame, text_column: str = "text", host_column: str = "source", least_documents: int = LINE_DOCUMENTS, least_share: float = LINE_SHARE) -> DataFrame:
-    """(host, hashes): the normalised lines of each host that at least `least_documents` and `least_share` of its distinct documents hold.
+def _line_hashes(text: Column) -> Column:
+    return F.transform(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.xxhash64(x))
 
-    Copies count once: documents whose normalised lines are the same are one. Lines and documents of a host are counted in
-    one aggregation, of which the element 0 counts the documents. The lines of a host are at most the mean number of lines
-    of its documents divided by the share.
+
+def frequent_lines(docs: DataFrame, text_column: str = "text", host_column: str = "source", least_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """(host, h): the hashes of the normalised lines of each host that at least `least_documents` of its distinct documents hold.
+
+    Copies count once: documents whose normalised lines are the same are one.
     """
     text, host = F.coalesce(F.col(text_column), F.lit("")), F.coalesce(F.col(host_column).cast("string"), F.lit(""))
     lines = let(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("document"), F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("hs")))
     hashed = docs.select(host.alias("host"), lines.alias("lines")).where(F.size("lines.hs") > 0)
-    held = hashed.select("host", "lines.document", F.explode(F.concat(F.array(F.lit(0).cast("long")), "lines.hs")).alias("h"))
-    counts = checkpoint(held.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") >= least_documents))
-    totals = counts.where("h = 0").select("host", F.col("n").alias("documents"))
-    return counts.where("h <> 0").join(totals, "host").where(F.col("n") >= least_share * F.col("documents")).groupBy("host").agg(F.collect_set("h").alias("hashes"))
+    held = hashed.select("host", "lines.document", F.explode("lines.hs").alias("h"))
+    return held.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") >= least_documents).select("host", "h")
 
 
 def _of_words(text: Column) -> Column:
@@ -92,14 +93,20 @@ def _of_lines(text: Column, bad: Column) -> Column:
 
 def _judged(docs: DataFrame, text_column: str, host_column: str) -> tuple[DataFrame, dict[str, str]]:
     """`docs` with what the rules find, under names that clash with none; those names."""
-    names = ["words", "lines", "n_symbols", "base_failed", "kept", "left_text", "host", "hashes"]
+    names = ["words", "lines", "n_symbols", "base_failed", "kept", "left_text", "host", "hashes", "text_hash"]
     n = dict(zip(names, fresh(docs, *names), strict=True))
-    bad = checkpoint(frequent_lines(docs, text_column, host_column))
-    bad = bad.select(F.col("host").alias(n["host"]), F.col("hashes").alias(n["hashes"]))
-    if (bad.agg(F.sum(F.size(n["hashes"]))).first()[0] or 0) <= BROADCAST_LINES:
-        bad = F.broadcast(bad)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.withColumn(n["host"], F.coalesce(F.col(host_column).cast("string"), F.lit(""))).join(bad, n["host"], "left")
+    rows = docs.withColumn(n["host"], F.coalesce(F.col(host_column).cast("string"), F.lit("")))
+    bad = checkpoint(frequent_lines(docs, text_column, host_column))
+    total, most = bad.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
+    if (total or 0) <= BROADCAST_LINES and (most or 0) <= HOST_LINES:
+        bad = bad.groupBy(F.col("host").alias(n["host"])).agg(F.collect_set("h").alias(n["hashes"]))
+        rows = rows.join(F.broadcast(bad), n["host"], "left")
+    else:  # the lines of each distinct text that are removed, joined to the texts by their hash
+        rows = rows.withColumn(n["text_hash"], F.xxhash64(text))
+        each = rows.select(F.col(n["host"]).alias("host"), F.col(n["text_hash"]).alias("t"), F.explode(F.array_distinct(_line_hashes(text))).alias("h"))
+        gone = each.join(bad, ["host", "h"]).groupBy(F.col("host").alias(n["host"]), F.col("t").alias(n["text_hash"])).agg(F.collect_set("h").alias(n["hashes"]))
+        rows = rows.join(checkpoint(gone), [n["host"], n["text_hash"]], "left")
     rows = rows.withColumns({n["words"]: _of_words(text), n["lines"]: _of_lines(text, F.col(n["hashes"])), n["n_symbols"]: F.regexp_count(text, F.lit(SYMBOLS)).cast("long")})
     words, left = F.col(n["words"])["n_words"], F.col(n["lines"])["left_words"]
     rows = rows.withColumn(n["base_failed"], (words < LEAST_WORDS) | (F.col(n["words"])["n_repeat_words"] * 100 > words * MOST_REPEATED))
@@ -110,7 +117,7 @@ def rate_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_lines, left_words, kept.
 
     A text fails the base rules if it has fewer than 10 words or over a fifth of them stand in five-word windows that it
-    repeats. Lines above the limits of `frequent_lines` are then taken away, and a document of which too little is left is
+    repeats. Lines that reach the limit of `frequent_lines` are then taken away, and a document of which too little is left is
     rejected as depleted. Null texts count as empty and fail; null hosts are one host; repeated rows get one row each and
     count once for their lines; null ids are kept; other columns are ignored; an empty table gives an empty result.
     """

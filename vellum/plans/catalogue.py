@@ -289,7 +289,7 @@ def normalize_nodes(spark, sf_dir):
 
 def _conversation_nodes(spark, sf_dir):
     """A conversation as a version with one root and its turns as sentences; conversations of one remainder are one publication."""
-    rows = table(spark, sf_dir, "conversations").where(c("turn") <= 20).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    rows = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     pub, version = F.concat(F.lit("p"), (c("conv_id") % 50).cast("string")), F.concat(F.lit("p"), (c("conv_id") % 50).cast("string"), F.lit("v"), c("conv_id").cast("string"))
     none = F.lit(None).cast("string")
     leaves = rows.select(pub.alias("pub_id"), version.alias("version"), c("n").alias("preorder"), F.lit(0).alias("parent_preorder"), F.lit(1).alias("depth"), (c("n") + 1).alias("subtree_end"), F.lit("sentence").alias("node_type"), none.alias("title"), none.alias("label"), c("text").alias("content"), none.alias("error"))

@@ -9,6 +9,8 @@ odds of its evidence, moved from the global prior to its path's posterior, are i
 from __future__ import annotations
 
 import math
+import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,6 +42,12 @@ def units_of(words: list[str]) -> set[str]:
     return distinct | {w[:5] + "~" for w in distinct if len(w) > 5} | {w[:7] + "~" for w in distinct if len(w) > 7}
 
 
+def upper_case(text: str) -> int:
+    """The upper-case letters of the whole text; those of ASCII are counted as bytes, as that costs less."""
+    ascii_only, rest = (text, "") if text.isascii() else (text.encode("ascii", "ignore").decode(), _ASCII.sub("", text))
+    return len(ascii_only) - len(ascii_only.encode().translate(None, _UPPER)) + sum(map(str.isupper, rest))
+
+
 def measures(text: str, words: list[str]) -> list[float]:
     """Numbers between about -3 and 3 that tell prose from junk."""
     n, chars = len(words), max(1, len(text))
@@ -48,12 +56,13 @@ def measures(text: str, words: list[str]) -> list[float]:
     counted = Counter(words)
     n1 = max(1, n)
     return [
-        math.log1p(n) / 3, math.log1p(chars / n1) - 2, 20 * (chars - len(bare)) / chars, 5 * sum(map(str.isupper, text[::7])) / (chars / 7 + 1),
+        math.log1p(n) / 3, math.log1p(chars / n1) - 2, 20 * (chars - len(bare)) / chars, 5 * upper_case(text) / chars,
         10 * text.count("!") / n1, 3 * (1 - len(set(lines)) / len(lines)), 2 * len(counted) / n1, 5 * (max(counted.values()) if counted else 0) / n1,
         10 * sum(map(text.count, "0123456789")) / chars, 5 * counted.get("", 0) / n1, 1.0,
     ]
 
 
+_ASCII, _UPPER = re.compile(r"[\x00-\x7f]+"), string.ascii_uppercase.encode()
 _NO_SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 
 

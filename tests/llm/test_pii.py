@@ -1,11 +1,12 @@
 import hashlib
+import itertools
 import random
 import re
 
 import pytest
 
 from tests.conftest import SMALL
-from vellum.llm.pii import KINDS, find_personal_data, fit
+from vellum.llm.pii import KINDS, SpanClassifier, apart, find_personal_data, fit, running
 from vellum.llm.queries import op3_weak_supervision
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -73,3 +74,28 @@ def test_odd_rows(spark, odd):
     assert find_personal_data(odd).count() == odd.count()
     assert find_personal_data(odd.limit(0)).count() == 0
     assert fit(odd.limit(0)).weights == pytest.approx((0.0,) * 12)
+
+
+LONG = 200_000
+
+
+@pytest.mark.parametrize("unit", ["a(at)b" + ".c" * (LONG // 2), "a@b.co ", "1 ", "1.2.3.4 ", "+1 555 123 4567 ", "call (555) 123-4567 now ", "ab:"])
+def test_very_long_texts_end_and_keep_their_places(spark, unit):
+    text = unit * (LONG // len(unit))
+    model = SpanClassifier((1.0,) * 12)
+    (row,) = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), classifier=model).collect()
+    assert [tuple(s) for s in row.base_spans] == brute(text)
+    ends = [s.e for s in row.spans]
+    assert all(a <= b.s for a, b in zip(ends, row.spans[1:], strict=False)) and set(map(tuple, row.base_spans)) <= set(map(tuple, row.spans))
+
+
+def test_running_sums_and_spans_apart(spark):
+    rng = random.Random(5)
+    values = [[], [3], list(range(1300)), [rng.randrange(100) for _ in range(513)]]
+    frame = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    assert sorted(r.v for r in running(frame, ["v"], "{a} + {x}").collect()) == sorted(list(itertools.accumulate(v)) for v in values)
+    spans = lambda n, gap: [(s, s + rng.randrange(1, gap)) for s in range(0, n * gap, gap)]
+    cases = [(spans(rng.randrange(9), 7), sorted((s := rng.randrange(60), s + rng.randrange(1, 20)) for _ in range(rng.randrange(5)))) for _ in range(100)]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i long, a array<struct<s:int,e:int>>, b array<struct<s:int,e:int>>")
+    got = {r.i: [tuple(x) for x in r.a] for r in apart(frame, "a", "b").collect()}
+    assert got == {i: [x for x in a if not any(x[0] < e and s < x[1] for s, e in b)] for i, (a, b) in enumerate(cases)}

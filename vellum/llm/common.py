@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be very long, and a Python worker holds one batch at a time.
-BATCH_ROWS = 500
+#: Rows that a Python worker works on at once. Spark bounds a batch by its bytes; within it results are made in smaller pieces.
+PIECE_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that every executor sees: in the one the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) is a temporary one made.
+    Where that is unset a temporary one is made, but only if driver and executors are one process (tests); on a cluster a
+    folder of one machine would lose the data, so there it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellum-"))
     return context.getCheckpointDir()
 
 
@@ -34,19 +39,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply `step` to each Arrow batch; batches are independent, so a lost task is simply run again."""
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: a checkpoint of which later steps read only the columns they need."""
+    place = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a stored DataFrame that nothing will read again."""
+    for file in df.inputFiles()[:1]:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """Apply `step` to pieces of `rows` rows; pieces are independent, so a lost task is simply run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, rows):
             yield step(batch)
 
-    return arrow_stream(df, run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def arrow_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -67,4 +87,4 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def row_key(id_column: str, text_column: str):
     """A string that tells rows apart by id and text: rows that agree in both are repeated rows."""
-    return F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    return F.concat_ws(":", F.coalesce(F.concat(F.lit("i"), F.col(id_column).cast("string")), F.lit("none")), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import fresh, stored
 from vellum.llm.quality_rules import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -23,9 +24,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Every repeated group is possessive: Java runs other ones by recursion, and a long text would overflow a task's stack.
 #: Spans that the base patterns miss: numbers run together with others, phone numbers without a plus, masked emails, long addresses.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{1,63}+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{1,63}+)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?:[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([\x20-])[0-9]{6}\2[0-9]{5}|[0-9]{14,19})(?![0-9])",
     "phone": r"(?:(?<![0-9+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}|(?<![0-9])\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?![0-9])",
@@ -42,27 +44,63 @@ NEAR = {
 }
 AGAINST = r"(?i)\b(?:order|invoice|isbn|issn|version|serial|sku|item|page|part|build|tracking|hash|commit)\b"
 CONTEXT = 40
+#: Values that are folded into one array at a time.
+BLOCK = 512
 LABELERS, ROUNDS, STEPS, RATE = 6, 30, 80, 2.0
 FEATURES = len(KINDS) + LABELERS + 2
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(s, e, m, before, after) of all matches, leftmost and without overlaps; positions in code points, e exclusive."""
+def once(value: str, name: str, body: str) -> str:
+    """SQL of `body`, in which `name` is the value. Spark may put a column's expression where the column is named; in a
+    lambda it would then be computed for each element."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def placed(found: Column, pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>").alias("out"))
 
-        def add(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.length(x["before"])
-            e = s + F.length(x["m"])
-            one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["before"], F.lit(CONTEXT)).alias("before"), F.left(x["after"], F.lit(CONTEXT)).alias("after"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+def running(df: DataFrame, names: list[str], step: str, size: int = BLOCK) -> DataFrame:
+    """`df` with `step` (SQL over {a} and {x}) over all integers up to each place in the arrays `names`; it is associative, as a sum.
+
+    Appending to one array for each value copies it each time. So the values are cut into blocks, each block is folded by
+    itself, and what the blocks before it come to is added: n values cost n * size / 2 + (n / size) ** 2 / 2 copies. The
+    steps are columns of their own, as lambdas nested in lambdas take long to analyse.
+    """
+    add = step.format(a="element_at(acc, -1)", x="x")
+
+    def fold(block: str) -> str:
+        return f"aggregate(slice({block}, 2, greatest(size({block}) - 1, 0)), slice({block}, 1, 1), (acc, x) -> concat(acc, array({add})))"
+
+    before = dict(zip(names, fresh(df, *(f"before_{n}" for n in names)), strict=True))
+    places = "sequence(0, int((size({n}) - 1) div {size}))"
+    df = df.withColumns({n: F.expr(f"if(size({n}) > 0, transform({places.format(n=n, size=size)}, b -> {fold(f'slice({n}, b * {size} + 1, {size})')}), cast(array() as array<array<int>>))") for n in names})
+    df = df.withColumns({o: F.expr(f"if(size({n}) > 1, {fold(f'transform({n}, b -> element_at(b, -1))')}, null)") for n, o in before.items()})
+    return df.withColumns({n: F.expr(once(o, "o", f"flatten(transform({n}, (b, i) -> if(i = 0, b, transform(b, x -> {step.format(a='get(o, i - 1)', x='x')}))))")) for n, o in before.items()}).drop(*before.values())
+
+
+def matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """`df` with a column of that name for each (pattern, whether the text may hold it at all): (s, e, m, before, after) of
+    all matches, leftmost and without overlaps; positions in code points, e exclusive."""
+    found, pieces, ends = ([f"{part}_{n}" for n in patterns] for part in ("found", "pieces", "ends"))
+    none = F.expr("cast(array() as array<string>)")
+    df = df.withColumns({f: F.when(may, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for f, (p, may) in zip(found, patterns.values(), strict=True)})
+    df = df.withColumns({x: F.when(F.size(f) > 0, F.split(text, p, -1)).otherwise(none) for x, f, (p, _) in zip(pieces, found, patterns.values(), strict=True)})
+    df = df.withColumns({e: F.expr(once(x, "p", f"transform({f}, (m, i) -> length(get(p, i)) + length(m))")) for f, x, e in zip(found, pieces, ends, strict=True)})
+    df = running(df, ends, "{a} + {x}")
+    span = f"struct(get(u, i) - length(m) as s, get(u, i) as e, m as m, right(get(p, i), {CONTEXT}) as before, left(get(p, i + 1), {CONTEXT}) as after)"
+    return df.withColumns({n: F.expr(once(e, "u", once(x, "p", f"transform({f}, (m, i) -> {span})"))) for n, f, x, e in zip(patterns, found, pieces, ends, strict=True)}).drop(*found, *pieces, *ends)
 
-        rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
-        return F.aggregate(rows, start, add, lambda acc: acc["out"])
 
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda pieces: placed(found, pieces))))
+def apart(df: DataFrame, spans: str, taken: str) -> DataFrame:
+    """`df` with those of `spans` only that overlap none of `taken`, in time that is linear but for a sort.
+
+    A span overlaps one that begins before its end and not after its start if the furthest end of those lies behind its
+    start, and one that begins later if the nearest start of those lies before its end.
+    """
+    all_, ends, starts = fresh(df, "merged", "ends", "starts")
+    mark = "transform({}, x -> struct(x.s as s, {} as own, x.e as e, x as x))"
+    df = df.withColumn(all_, F.expr(f"if(size({spans}) > 0 and size({taken}) > 0, sort_array(concat({mark.format(taken, 0)}, {mark.format(spans, 1)})), null)"))
+    df = df.withColumns({ends: F.expr(f"transform({all_}, x -> if(x.own = 0, x.e, -1))"), starts: F.expr(f"transform(reverse({all_}), x -> if(x.own = 0, x.s, {1 << 30}))")})
+    df = running(running(df, [ends], "greatest({a}, {x})"), [starts], "least({a}, {x})").withColumn(starts, F.reverse(starts))
+    alone = once(ends, "e", once(starts, "s", f"transform(filter({all_}, (x, i) -> x.own = 1 and get(e, i) <= x.s and get(s, i) >= x.e), x -> x.x)"))
+    return df.withColumn(spans, F.expr(f"if({all_} is null, {spans}, {alone})")).drop(all_, ends, starts)
 
 
 def digits(m: Column) -> Column:
@@ -83,18 +121,6 @@ def valid(kind: str, m: Column) -> Column:
     return {"email": F.lit(True), "ip": octets(m), "card": n.between(14, 19) & luhn(m), "phone": n.between(10, 15)}[kind]
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Matches that fail the check are dropped; nothing is looked for inside them."""
-    here = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.contains(text, F.lit(".")), "card": F.lit(True)}[kind]
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
-    return F.when(here, F.filter(matches(text, BASE[kind]), lambda x: valid(kind, x["m"]))).otherwise(none)
-
-
-def loose_spans(text: Column, kind: str) -> Column:
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
-    return F.when(text.rlike(MAY_HOLD[kind]), matches(text, LOOSE[kind])).otherwise(none)
-
-
 def votes(kind: str, x: Column) -> list[Column]:
     """1 for personal data, 0 against, null for no opinion: format, check digits, gazetteer, words for, words against, length."""
     m, near, n = x["m"], F.concat_ws(" ", x["before"], x["after"]), F.length(digits(x["m"]))
@@ -117,9 +143,16 @@ def judged(spans: Column, kind: str) -> Column:
 
 
 def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, n_chars, base and loose (arrays of judged spans)."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.col(id_column).alias("doc_id"), F.concat(*(judged(base_spans(text, k), k) for k in KINDS)).alias("base"), F.concat(*(judged(loose_spans(text, k), k) for k in KINDS)).alias("loose"))
+    """doc_id, base and loose (arrays of judged spans). Base matches that fail the check are dropped; nothing is looked for inside them."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    holds = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "ip": F.contains("text", F.lit(".")), "card": F.lit(True)}
+    patterns = {f"base_{k}": (BASE[k], holds[k]) for k in KINDS} | {f"loose_{k}": (LOOSE[k], F.col("text").rlike(MAY_HOLD[k])) for k in KINDS}
+    rows = matches(rows, "text", patterns).drop("text")
+
+    def checked(kind: str) -> Column:
+        return F.filter(f"base_{kind}", lambda x: valid(kind, x["m"]))
+
+    return rows.select("doc_id", F.concat(*(judged(checked(k), k) for k in KINDS)).alias("base"), F.concat(*(judged(F.col(f"loose_{k}"), k) for k in KINDS)).alias("loose"))
 
 
 def _logistic(x: Column) -> Column:
@@ -188,10 +221,8 @@ class SpanClassifier:
         return score > 0
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> SpanClassifier:
-    """Learn from all spans of all documents. Of them only counts by kind, votes and features are gathered: 4 kinds, 3^6
-    votes and 4 features bound that table, whatever the input; the driver gets the weights."""
-    spans = _found(docs, id_column, text_column).select(F.explode(F.concat("base", "loose")).alias("x")).select("x.k", "x.v", "x.long", "x.dense")
+def _fit(found: DataFrame) -> SpanClassifier:
+    spans = found.select(F.explode(F.concat("base", "loose")).alias("x")).select("x.k", "x.v", "x.long", "x.dense")
     counted = spans.groupBy("k", "v", "long", "dense").agg(F.count("*").cast("double").alias("n"))
     table = counted.agg(F.sort_array(F.collect_list(F.struct("k", "v", "long", "dense", "n"))).alias("p"))
     learnt = table.select("p", estimate_reliabilities(F.col("p")).alias("t"))
@@ -200,29 +231,34 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     return SpanClassifier(tuple(float(w) for w in weights))
 
 
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> SpanClassifier:
+    """Learn from all spans of all documents. Of them only counts by kind, votes and features are gathered: 4 kinds, 3^6
+    votes and 4 features bound that table, whatever the input; the driver gets the weights."""
+    return _fit(_found(docs, id_column, text_column))
+
+
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classifier: SpanClassifier | None = None) -> DataFrame:
     """doc_id, base_spans and spans (arrays of s, k, e: start, number of the kind in KINDS, end), in the order of start and kind.
 
     spans are the base spans and those loose ones that the classifier takes for personal data and that meet no base span
-    (nor one added for a kind before theirs: cards, emails, addresses, phones). Null texts are empty; null ids are kept;
-    repeated rows count as often as they come; other columns are ignored; with no spans at all nothing is added.
+    (nor one added for a kind before theirs: cards, emails, addresses, phones). Texts are read once: spans and their votes
+    go to the shared folder, and learning and judging read them there. Null texts are empty; null ids are kept; repeated
+    rows count as often as they come; other columns are ignored; with no spans at all, or an empty table, nothing is added.
+    Very long texts are searched whole, in time near their length.
     """
-    model = classifier or fit(docs, id_column, text_column)
     found = _found(docs, id_column, text_column)
-    meets = lambda x, others: F.exists(others, lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"]))
-
-    def added(k: int):
-        return lambda so_far: F.concat(so_far, F.filter("loose", lambda x: (x["k"] == k) & model.keeps(x) & ~meets(x, so_far)))
+    if classifier is None:
+        found = stored(found)
+        classifier = _fit(found)
 
-    def all_spans(base: Column) -> Column:
-        taken = base
-        for kind in ("card", "email", "ip", "phone"):
-            taken = let(taken, added(KINDS.index(kind)))
-        return taken
+    def of_kind(k: int) -> Column:
+        return F.filter("added", lambda x: x["k"] == k)
 
+    found = found.withColumn("added", F.filter("loose", classifier.keeps)).withColumn("taken", F.col("base"))
+    for kind in ("card", "email", "ip", "phone"):
+        found = apart(found.withColumn("mine", of_kind(KINDS.index(kind))), "mine", "taken").withColumn("taken", F.concat("taken", "mine"))
     plain = lambda spans: F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
-    found = found.withColumn("all", F.when(F.size("loose") == 0, F.col("base")).otherwise(all_spans(F.col("base"))))
-    return found.select("doc_id", plain(F.col("base")).alias("base_spans"), plain(F.col("all")).alias("spans"))
+    return found.select("doc_id", plain(F.col("base")).alias("base_spans"), plain(F.col("taken")).alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -44,3 +44,15 @@ def test_odd_rows(spark, odd):
     rows = made.select("doc_id", F.col("size_").alias("size"), "text_crc32", "law", F.col("shard_").alias("shard"), "slot", "grown_shard").collect()
     check(rows, [(r.doc_id, r.text) for r in odd.collect()], 0)
     assert shard_documents(odd.limit(0)).count() == 0
+
+
+def test_many_ranges_take_few_rounds_and_few_probes(spark, monkeypatch):
+    keyed = spark.range(40_000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("l"), (F.col("id") % 50 + 8).alias("size"))
+    seen = []
+    monkeypatch.setattr(sharding, "histogram", lambda k, b, count=sharding.histogram: seen.append(len(b)) or count(k, b))
+    edges = sharding.splitters(keyed, 240, ranges=10)
+    assert len(seen) <= 8 and max(seen) <= 240 * (sharding.PROBES_OF_EACH + 1) + 24 * sharding.PROBES
+    counted = sharding.histogram(keyed, edges)
+    sizes = counted["bytes"].to_numpy()
+    shards = [sizes[i : i + 10].sum() for i in range(0, 240, 10)]
+    assert max(shards) - min(shards) <= 0.004 * sum(shards) / 24 + 2 * 58 and sizes.max() <= 1.6 * sizes.mean()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +16,10 @@ from vellum.llm.common import arrow_map, checkpoint, fresh
 SHARDS, ROW_BYTES = 24, 8
 #: Probes between the ends of each open splitter and round; share of a shard's bytes by which a splitter may miss.
 PROBES, TOLERANCE = 64, 0.001
+#: The same share for the splitters of ranges inside a shard, which only deal out work; more probes for each splitter that a
+#: span holds; most probes of a round (16 bytes each, to every task; one row of counts each, to the driver); rows that a task
+#: adds up at once.
+RANGE_TOLERANCE, PROBES_OF_EACH, MOST_PROBES, ROWS_AT_ONCE = 0.25, 4, 1_000_000, 100_000
 #: Bytes that one task sorts: a shard of more is sorted in several ranges, whose exact row counts give the slots.
 RANGE_BYTES = 512 << 20
 TOP = 1 << 128
@@ -53,42 +59,45 @@ def histogram(keyed: DataFrame, boundaries: list[int]) -> pd.DataFrame:
         fixed = lambda a: pa.array([x.ljust(16, b"\0") for x in a.tolist()], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(bins[first], pa.int32()), pa.array(sums, pa.int64()), pa.array(last - first + 1, pa.int64()), fixed(keys[first]), fixed(keys[last])], names=["bin", "bytes", "rows", "low", "high"])
 
-    parts = arrow_map(keyed, step, "bin int, bytes long, rows long, low binary, high binary")
+    parts = arrow_map(keyed, step, "bin int, bytes long, rows long, low binary, high binary", ROWS_AT_ONCE)
     return parts.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("bin").reset_index(drop=True)
 
 
-def splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[int]:
+def splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, ranges: int = 1) -> list[int]:
     """parts - 1 keys that part the bytes evenly: each misses its target by `tolerance` of a part at most, or by one key's rows.
 
-    Every round counts the exact bytes below all probes in one pass over the keys. A splitter goes on between the least and
-    the greatest key of the bin that holds its target, so that empty stretches and a much repeated text cost no rounds.
+    Only every `ranges`-th of them ends a shard; the tolerance is a share of a shard's bytes, and the others may miss by
+    RANGE_TOLERANCE of a range. Every round counts the exact bytes below all probes in one pass over the keys. A splitter
+    goes on between the least and the greatest key of the bin that holds its target, so that empty stretches and a much
+    repeated text cost no rounds.
     """
     begin = histogram(keyed, [])
     if begin.empty:
         return [TOP - 1] * (parts - 1)
     total, whole = int(begin["bytes"][0]), (int.from_bytes(begin["low"][0], "big"), int.from_bytes(begin["high"][0], "big") + 1)
-    targets = {i: total * i / parts for i in range(1, parts)}
-    spans, done = dict.fromkeys(targets, whole), {}
+    miss = {True: tolerance * ranges * total / parts, False: RANGE_TOLERANCE * total / parts}
+    spans, done = dict.fromkeys(range(1, parts), whole), {}
     while spans:
-        probes = sorted({low + (high - low) * j // (PROBES + 1) for low, high in set(spans.values()) for j in range(1, PROBES + 1)} | {x for s in spans.values() for x in s if x < TOP})
+        held = Counter(spans.values())
+        most = {span: max(3, min(PROBES + PROBES_OF_EACH * n, MOST_PROBES // len(held))) for span, n in held.items()}
+        probes = sorted({low + (high - low) * j // (most[low, high] + 1) for low, high in held for j in range(1, most[low, high] + 1)} | {x for s in held for x in s if x < TOP})
         counted = histogram(keyed, probes)
-        below, at = [0] * len(probes), 0
-        rows = {int(r.bin): r for r in counted.itertuples()}
-        for i in range(len(probes)):
-            at += int(rows[i].bytes) if i in rows else 0
-            below[i] = at
-        ends = np.array(below)
+        sizes = np.zeros(len(probes) + 1, dtype=np.int64)
+        sizes[counted["bin"].to_numpy()] = counted["bytes"].to_numpy()
+        below, place = np.cumsum(sizes[:-1]), dict(zip(counted["bin"].tolist(), range(len(counted)), strict=True))
+        lows, highs = counted["low"].tolist(), counted["high"].tolist()
         for i in list(spans):
-            near = int(np.argmin(np.abs(ends - targets[i])))
-            held = int(np.searchsorted(ends, targets[i], side="left"))  # the bin with the target in it
-            if abs(below[near] - targets[i]) <= tolerance * total / parts or held not in rows:
+            target = total * i / parts
+            at = int(np.searchsorted(below, target, side="left"))  # the bin with the target in it, and the probe that ends it
+            near = min((p for p in (at - 1, at) if 0 <= p < len(probes)), key=lambda p: abs(below[p] - target))
+            row = place.get(at)
+            if abs(below[near] - target) <= miss[i % ranges == 0] or row is None:
                 done[i] = probes[near]
-            elif (r := rows[held]).low == r.high:  # one key: the nearer of its sides
-                before = below[held] - int(r.bytes) if held < len(below) else total - int(r.bytes)
-                key = int.from_bytes(r.low, "big")
-                done[i] = key if targets[i] - before <= before + int(r.bytes) - targets[i] else min(key + 1, TOP - 1)
+            elif lows[row] == highs[row]:  # one key: the nearer of its sides
+                before, key = int(below[at - 1]) if at else 0, int.from_bytes(lows[row], "big")
+                done[i] = key if target - before <= before + int(sizes[at]) - target else min(key + 1, TOP - 1)
             else:
-                spans[i] = (int.from_bytes(r.low, "big"), int.from_bytes(r.high, "big") + 1)
+                spans[i] = (int.from_bytes(lows[row], "big"), int.from_bytes(highs[row], "big") + 1)
             if i in done:
                 del spans[i]
     return sorted(done.values())
@@ -108,9 +117,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc
     keys = checkpoint(keyed.select(high, low, size))
     total = keys.agg(F.sum(size)).first()[0] or 0
     ranges = max(1, -(-total // (shards * RANGE_BYTES)))
-    edges = splitters(keys, shards * ranges)
+    edges = splitters(keys, shards * ranges, ranges=ranges)
     rows = dict(histogram(keys, edges)[["bin", "rows"]].itertuples(index=False))
-    starts = [sum(int(rows.get(b, 0)) for b in range(p - p % ranges, p)) for p in range(shards * ranges)]
+    starts = [0] * (shards * ranges)
+    for p in range(1, len(starts)):
+        starts[p] = starts[p - 1] + int(rows.get(p - 1, 0)) if p % ranges else 0
     packed = _bytes(edges)
 
     @F.pandas_udf("int")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm.bpe import byte_letters
-from vellum.llm.common import arrow_stream, strings
+from vellum.llm.common import pieces, strings
 
 #: Tokens of a sequence, the id that ends a document, and the sequences that a packer holds open.
 CAPACITY, END_OF_DOCUMENT, OPEN_BINS = 1024, 2, 512
@@ -135,25 +135,24 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pack_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_OF_DOCUMENT) -> DataFrame:
     """doc_id, piece, start, length, ids (binary), sequence_id, offset (in tokens): one row per piece of each document.
 
-    Each task packs its own input partition online and without a shuffle, of each Arrow batch the longest pieces first;
-    sequence ids carry the partition's number, so a task that is run again gives the same rows. Full pieces fill a sequence alone. Null and empty texts consist of the end
-    id only; repeated rows are packed as often as they come; null ids are kept; other columns are ignored.
+    Each task packs its own input partition online, piece by piece in the order of its rows and without a shuffle; sequence
+    ids carry the partition's number, so a task that is run again gives the same rows, and neither the size of Arrow batches
+    nor the machine changes them. Full pieces fill a sequence alone. Null and empty texts consist of the end id only; texts of
+    any length are encoded whole; repeated rows are packed as often as they come; null ids are kept; other columns are
+    ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
         bins, end = OpenBins(capacity, open_bins), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             model = load(vocabulary)
             encoded = [model.encode(text) + end for text in strings(batch.column(1))]
-            pieces = [(number, piece, start, length) for number, ids in enumerate(encoded) for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity))]
-            places = {}
-            for at in sorted(range(len(pieces)), key=lambda at: -pieces[at][3]):  # the longest pieces at hand go first
-                places[at] = bins.place(pieces[at][3])
+            found = [(number, piece, start, length) for number, ids in enumerate(encoded) for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity))]
             rows: list[list] = [[], [], [], [], [], [], []]
-            for at, (number, piece, start, length) in enumerate(pieces):
-                sequence, offset = places[at]
+            for number, piece, start, length in found:
+                sequence, offset = bins.place(length)
                 for column, value in zip(rows, (number, piece, start, length, encoded[number][4 * start : 4 * (start + length)], base + sequence, offset), strict=True):
                     column.append(value)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -161,4 +160,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([ids_of_rows, *(pa.array(r, k) for r, k in zip(rows[1:], kinds, strict=True))], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return arrow_stream(narrow, run, f"doc_id {dict(narrow.dtypes)['doc_id']}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, piece int, start long, length long, ids binary, sequence_id long, offset long")

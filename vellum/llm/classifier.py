@@ -1,6 +1,7 @@
 """Quality classifier: evidence of a document's text, combined with what its host and path are like.
 
-The evidence is a logistic regression on measures of the text and on words that tell good from bad documents. Hosts and
+The evidence is a logistic regression on measures of the text and on words that stand in bad documents more often than
+chance has it (words of good ones are those of the language, and say little). Hosts and
 paths (the section of a host) get posteriors by hierarchical empirical Bayes: a path's share of good documents is shrunk
 toward its host's, a host's toward the global one, the more so the fewer documents there are. A document is kept if the
 odds of its evidence, moved from the global prior to its path's posterior, are in favour of good.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow_map, checkpoint, fresh, strings
+from vellum.llm.common import arrow_map, checkpoint, fresh, stored, strings
 
 #: Labelled rows that are learnt from at most (those with the least hash of their id), and words that are evidence.
 LABELLED_ROWS, EVIDENCE_WORDS = 16_000, 256
@@ -38,7 +39,7 @@ def words_of(text: str) -> list[str]:
 
 def units_of(words: list[str]) -> set[str]:
     """What may be evidence: the distinct words, and the stems of 5 and 7 letters of longer ones, marked by a tilde."""
-    distinct = {w for w in words if 0 < len(w) <= 40}
+    distinct = set(words) - {""}
     return distinct | {w[:5] + "~" for w in distinct if len(w) > 5} | {w[:7] + "~" for w in distinct if len(w) > 7}
 
 
@@ -189,8 +190,9 @@ def _judged(docs: DataFrame, evidence: Evidence, text_column: str, host_column:
     n = dict(zip(names, fresh(docs, *names), strict=True))
     rows = docs.withColumns({n["logit"]: logit_column(evidence, F.col(text_column)), n["host"]: F.coalesce(F.col(host_column).cast("string"), F.lit("")), n["path"]: F.coalesce(F.col(path_column).cast("string"), F.lit(""))})
     narrow = [n["logit"], n["host"], n["path"]]
-    if id_column is not None:  # one pass over the texts will do
-        rows = checkpoint(rows.select(F.col(id_column).alias("doc_id"), *narrow))
+    if id_column is not None:
+        rows = rows.select(F.col(id_column).alias("doc_id"), *narrow)
+    rows = stored(rows)  # each text is scored once: the posteriors are made of the logits written here
     posteriors = checkpoint(path_posteriors(rows.select(*narrow), n["host"], n["path"], n["logit"], evidence.prior))
     few = posteriors.count() <= BROADCAST_PATHS
     posteriors = posteriors.select(F.col("host").alias(n["host"]), F.col("path").alias(n["path"]), F.col("good").alias(n["good"]))
@@ -212,6 +214,10 @@ def classify_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc
 
 
 def keep_classified(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", path_column: str = "lang") -> DataFrame:
-    """The rows of `docs` that classify_documents keeps, with its columns."""
+    """The rows of `docs` that classify_documents keeps, with its columns.
+
+    Rows are written once to the shared folder with their logits. Nulls, ties, repeated rows and missing labels are treated as
+    classify_documents does; columns of any name are kept; an empty table gives an empty one.
+    """
     rows, n = _judged(docs, fit_evidence(docs, labels, id_column, text_column), text_column, host_column, path_column, None)
     return rows.where(F.col(n["posterior"]) >= 0.5 - 1e-9).select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.llm.common import arrow_map, checkpoint
+from vellum.llm.common import arrow_map, checkpoint, stored
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: Strings that steer models of various kinds; none of them comes through unescaped from a role or a text.
@@ -54,16 +54,22 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def tree_key():
+    """Trees go by their conv_id as a string; those without one are one tree, which no id can be taken for."""
+    return F.coalesce(F.concat(F.lit("i"), F.col("conv_id").cast("string")), F.lit("none"))
+
+
 def reply_trees(conversations: DataFrame) -> DataFrame:
     """(conv_id, node, parent, role, text, score) of a table of turns: each turn answers the turn before it.
 
     Turns of one conversation are ordered by turn (null first), then role and text, so repeated rows and ties stay, in a
-    defined order. Null roles and texts are empty. The score of a node is the length of its text, 1 at most per 100 letters.
+    defined order. Null roles and texts are empty. The turns are
+    numbered in one exchange and written once to the shared folder, so the joins over the tree read its narrow columns only. The score of a node is the length of its text.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     numbered = rows.withColumn("node", F.row_number().over(order).cast("long"))
-    return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", (F.least(F.length("text"), F.lit(1000)) / 100.0).alias("score"))
+    return stored(numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.length("text").cast("double").alias("score")))
 
 
 def best_paths(trees: DataFrame, paths: int = 1) -> DataFrame:
@@ -74,7 +80,7 @@ def best_paths(trees: DataFrame, paths: int = 1) -> DataFrame:
     thread of n replies takes log n joins. Branches are ranked by mean score, then by the smaller leaf. Nodes in a cycle
     have no root and are left out; null conv_ids are one tree.
     """
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    key = tree_key()
     nodes = trees.select(key.alias("tree"), "conv_id", "node", "parent", "score")
     known = nodes.select("tree", F.col("node").alias("up"))
     jumps = nodes.select("tree", "node", F.col("parent").alias("up"), "score").join(known, ["tree", "up"], "left_semi").select("tree", "node", "up", F.lit(1).cast("long").alias("steps"), "score")
@@ -113,7 +119,7 @@ def _format(batch: pa.RecordBatch) -> pa.RecordBatch:
 def format_conversations(trees: DataFrame, paths: int = 1) -> DataFrame:
     """(conv_id, leaf, formatted, loss_spans): one row per chosen path. A conversation is one string, so its turns meet."""
     chosen = best_paths(trees, paths)
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    key = tree_key()
     texts = trees.select(key.alias("tree"), "node", "role", "text")
     turns = chosen.withColumn("tree", key).join(texts, ["tree", "node"]).groupBy("tree", "conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     return arrow_map(turns.select("conv_id", "leaf", "turns"), _format, f"conv_id {dict(trees.dtypes)['conv_id']}, leaf long, formatted string, loss_spans array<struct<start: long, end: long>>")

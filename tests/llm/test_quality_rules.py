@@ -85,6 +85,8 @@ def test_sql_gives_the_same(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").union(odd.select("doc_id", F.regexp_replace("text", "\u0000", ""), "source"))
     footers = [(10_000 + i, f"own words of {i} " * (i % 7) + "\nAll  rights\treserved\nby us", "s") for i in range(60)]
     docs = docs.union(spark.createDataFrame(footers, docs.schema))
+    near = [(20_000 + i, "\n".join(f"line {k} of near copies with some words" + (f" changed {i}" if k == i % 9 else "") for k in range(9)), "s") for i in range(50)]
+    docs = docs.union(spark.createDataFrame(near, docs.schema))
     documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
     want = con.execute(oracle_sql()["op2_quality_rules"])
     names = [c[0] for c in want.description]

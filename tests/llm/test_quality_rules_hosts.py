@@ -13,3 +13,17 @@ def test_the_bar_does_not_grow_with_the_host(spark, monkeypatch):
         assert len(got) == 1501 and all(r.removed_lines == (r.doc_id < 25) for r in got)
         kept = {r.doc_id: r.text for r in keep_good_documents(frame).collect()}
         assert len(kept) == 1500 and not any("by a few" in t and "fewer" not in t for t in kept.values()) and "by fewer" in kept[25]
+
+
+def test_near_copies_count_once(spark, monkeypatch):
+    """Of 30 near copies, each with a line of its own changed, all stay; a line that other documents hold as well goes."""
+    common = [" ".join(f"c{k}x{j}" for j in range(20 - k)) for k in range(8)]
+    rows = [(i, "\n".join([*(x if k != i % 8 else f"{x} changed{i}" for k, x in enumerate(common)), "foot of all"]), "h") for i in range(30)]
+    rows += [(100 + i, " ".join(f"o{i}x{j}" for j in range(30)) + "\nfoot of all", "h") for i in range(200)]
+    rows += [(400 + i, f"foot of all\nfoot of all\na{i} b{i}", "h") for i in range(25)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for total in (quality_rules.BROADCAST_LINES, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", total)
+        got = {r.doc_id: r for r in rate_documents(frame).collect()}
+        assert all(got[i].kept and got[i].removed_lines == 1 for i in range(30))
+        assert all(r.kept and r.removed_lines == 1 for d, r in got.items() if 100 <= d < 400) and not any(r.kept for d, r in got.items() if d >= 400)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import checkpoint, fresh
+from vellum.llm.common import checkpoint, fresh, stored
 
 #: White space between words, as a list of letters and as a pattern.
 SPACES, SPACE = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
@@ -58,20 +58,49 @@ def line_words(line: Column) -> Column:
     return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("long")
 
 
-def _line_hashes(text: Column) -> Column:
-    return F.transform(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.xxhash64(x))
+def _lines(text: Column) -> Column:
+    """The normalised lines that hold a word, as (h, words)."""
+    return F.transform(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), line_words(x).alias("words")))
+
+
+def _depleted(left: Column, words: Column) -> Column:
+    return (left < LEAST_WORDS) | (left < words * LEAST_LEFT)
+
+
+def _with_found(rows: DataFrame, lines: DataFrame, found: str) -> DataFrame:
+    """`rows` (host, document, lines) with an array `found` of those hashes of their lines that `lines` (host, h) has.
+
+    Short lists go to every task; beyond BROADCAST_LINES and HOST_LINES, which bound them, rows are joined line by line.
+    """
+    total, most = lines.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
+    if (total or 0) <= BROADCAST_LINES and (most or 0) <= HOST_LINES:
+        listed = rows.join(F.broadcast(lines.groupBy("host").agg(F.collect_set("h").alias(found))), "host", "left")
+        return listed.withColumn(found, F.array_intersect(F.transform("lines", lambda x: x["h"]), F.coalesce(found, F.array().cast("array<bigint>"))))
+    each = rows.select("host", "document", F.explode("lines.h").alias("h")).distinct().join(lines, ["host", "h"])
+    return rows.join(each.groupBy("host", "document").agg(F.collect_set("h").alias(found)), ["host", "document"], "left").withColumn(found, F.coalesce(found, F.array().cast("array<bigint>")))
 
 
 def frequent_lines(docs: DataFrame, text_column: str = "text", host_column: str = "source", least_documents: int = LINE_DOCUMENTS) -> DataFrame:
     """(host, h): the hashes of the normalised lines of each host that at least `least_documents` of its distinct documents hold.
 
-    Copies count once: documents whose normalised lines are the same are one.
+    Copies count once. Documents whose normalised lines are the same are one. So are documents that their frequent lines
+    would deplete and that share the longest of these (the first of equals): a group of near copies has all its lines from
+    itself, and counting each of them would remove the whole group. A line that other documents hold too goes all the same.
+    Lines are hashed once and written to the shared folder; texts are not read again for the second count.
     """
     text, host = F.coalesce(F.col(text_column), F.lit("")), F.coalesce(F.col(host_column).cast("string"), F.lit(""))
-    lines = let(F.filter(lines_of(text), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("document"), F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("hs")))
-    hashed = docs.select(host.alias("host"), lines.alias("lines")).where(F.size("lines.hs") > 0)
-    held = hashed.select("host", "lines.document", F.explode("lines.hs").alias("h"))
-    return held.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") >= least_documents).select("host", "h")
+    hashed = docs.select(host.alias("host"), F.explode(F.array(_lines(text))).alias("lines")).where(F.size("lines") > 0)
+    hashed = stored(hashed.select("host", F.xxhash64("lines.h").alias("document"), "lines"))
+    held = hashed.select("host", "document", F.explode(F.array_distinct("lines.h")).alias("h"))
+    often = checkpoint(held.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") >= least_documents).select("host", "h"))
+    rows = _with_found(hashed, often, "often").where(F.size("often") > 0)
+    words = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    frequent = F.filter("lines", lambda x: F.array_contains(F.col("often"), x["h"]))
+    rows = rows.select("host", "document", "often", words(F.col("lines")).alias("words"), F.explode(F.array(frequent)).alias("frequent"))
+    longest = F.array_max(F.transform("frequent", lambda x, i: F.struct(x["words"].alias("words"), (-i).alias("place"), x["h"].alias("h"))))["h"]
+    copy = _depleted(F.col("words") - words(F.col("frequent")), F.col("words"))
+    each = rows.select("host", copy.alias("copy"), F.when(copy, longest).otherwise(F.col("document")).alias("id"), F.explode("often").alias("h"))
+    return each.groupBy("host", "h").agg(F.count_distinct("copy", "id").alias("n")).where(F.col("n") >= least_documents).select("host", "h")
 
 
 def _of_words(text: Column) -> Column:
@@ -92,8 +121,12 @@ def _of_lines(text: Column, bad: Column) -> Column:
 
 
 def _judged(docs: DataFrame, text_column: str, host_column: str) -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with what the rules find, under names that clash with none; those names."""
-    names = ["words", "lines", "n_symbols", "base_failed", "kept", "left_text", "host", "hashes", "text_hash"]
+    """`docs` with what the rules find, under names that clash with none; those names.
+
+    The measures come out of an explode of one element: Spark moves no filter and no later column into it, so each text is
+    measured once.
+    """
+    names = ["found", "base_failed", "kept", "left_text", "host", "hashes", "text_hash"]
     n = dict(zip(names, fresh(docs, *names), strict=True))
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.withColumn(n["host"], F.coalesce(F.col(host_column).cast("string"), F.lit("")))
@@ -104,13 +137,14 @@ def _judged(docs: DataFrame, text_column: str, host_column: str) -> tuple[DataFr
         rows = rows.join(F.broadcast(bad), n["host"], "left")
     else:  # the lines of each distinct text that are removed, joined to the texts by their hash
         rows = rows.withColumn(n["text_hash"], F.xxhash64(text))
-        each = rows.select(F.col(n["host"]).alias("host"), F.col(n["text_hash"]).alias("t"), F.explode(F.array_distinct(_line_hashes(text))).alias("h"))
+        each = rows.select(F.col(n["host"]).alias("host"), F.col(n["text_hash"]).alias("t"), F.explode(F.array_distinct(_lines(text)["h"])).alias("h"))
         gone = each.join(bad, ["host", "h"]).groupBy(F.col("host").alias(n["host"]), F.col("t").alias(n["text_hash"])).agg(F.collect_set("h").alias(n["hashes"]))
         rows = rows.join(checkpoint(gone), [n["host"], n["text_hash"]], "left")
-    rows = rows.withColumns({n["words"]: _of_words(text), n["lines"]: _of_lines(text, F.col(n["hashes"])), n["n_symbols"]: F.regexp_count(text, F.lit(SYMBOLS)).cast("long")})
-    words, left = F.col(n["words"])["n_words"], F.col(n["lines"])["left_words"]
-    rows = rows.withColumn(n["base_failed"], (words < LEAST_WORDS) | (F.col(n["words"])["n_repeat_words"] * 100 > words * MOST_REPEATED))
-    return rows.withColumn(n["kept"], ~F.col(n["base_failed"]) & (left >= LEAST_WORDS) & (left >= words * LEAST_LEFT)), n
+    measured = F.struct(_of_words(text).alias("words"), _of_lines(text, F.col(n["hashes"])).alias("lines"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    rows = rows.select("*", F.explode(F.array(measured)).alias(n["found"]))
+    words, left = F.col(n["found"])["words"]["n_words"], F.col(n["found"])["lines"]["left_words"]
+    rows = rows.withColumn(n["base_failed"], (words < LEAST_WORDS) | (F.col(n["found"])["words"]["n_repeat_words"] * 100 > words * MOST_REPEATED))
+    return rows.withColumn(n["kept"], ~F.col(n["base_failed"]) & ~_depleted(left, words)), n
 
 
 def rate_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
@@ -122,17 +156,21 @@ def rate_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     count once for their lines; null ids are kept; other columns are ignored; an empty table gives an empty result.
     """
     rows, n = _judged(docs, text_column, host_column)
-    w, x = F.col(n["words"]), F.col(n["lines"])
+    w, x = F.col(n["found"])["words"], F.col(n["found"])["lines"]
     return rows.select(
-        F.col(id_column).alias("doc_id"), w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), F.col(n["n_symbols"]).alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
+        F.col(id_column).alias("doc_id"), w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), F.col(n["found"])["n_symbols"].alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
         F.col(n["base_failed"]).alias("base_failed"), x["removed_lines"].alias("removed_lines"), x["left_words"].alias("left_words"), F.col(n["kept"]).alias("kept"),
     )
 
 
 def keep_good_documents(docs: DataFrame, text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """The columns of `docs`: rows that are kept, their texts without the removed lines, n_chars (if there is one) of those."""
+    """The columns of `docs`: rows that are kept, their texts without the removed lines, n_chars (if there is one) of those.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are treated as rate_documents does: null and empty
+    texts fail, repeated rows stay repeated; columns of any name are kept.
+    """
     rows, n = _judged(docs, text_column, host_column)
-    gone = F.col(n["lines"])["gone"]
+    gone = F.col(n["found"])["lines"]["gone"]
     hashes = F.transform(lines_of(F.col(text_column)), lambda x: F.xxhash64(x))
     lines = let(hashes, lambda h: F.filter(F.split(F.col(text_column), "\n", -1), lambda _, i: ~F.array_contains(gone, F.get(h, i))))
     cleaned = F.when(F.size(gone) > 0, F.array_join(lines, "\n")).otherwise(F.col(text_column))

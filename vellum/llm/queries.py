@@ -113,10 +113,17 @@ WITH texts AS (
   SELECT r, host, l, unnest(l) AS line FROM lines
 ), counts AS (
   SELECT host, line, count(DISTINCT l) AS n FROM each GROUP BY host, line
-), totals AS (
-  SELECT host, count(DISTINCT l) AS documents FROM lines WHERE len(l) > 0 GROUP BY host
+), often AS (
+  SELECT host, line FROM counts WHERE n >= 20
+), placed AS (
+  SELECT r, host, l, i, l[i] AS line, len(string_split(l[i], ' ')) AS words FROM (SELECT r, host, l, unnest(range(1, len(l) + 1)) AS i FROM lines)
+), kinds AS (
+  SELECT r, CASE WHEN left_words < 10 OR left_words < 0.2 * words THEN [longest] ELSE l END AS kind FROM (
+    SELECT p.r, any_value(p.l) AS l, sum(p.words) AS words, coalesce(sum(p.words) FILTER (WHERE o.line IS NULL), 0) AS left_words,
+      arg_max(p.line, p.words * 1000000000 - p.i) FILTER (WHERE o.line IS NOT NULL) AS longest
+    FROM placed p LEFT JOIN often o ON p.host = o.host AND p.line = o.line GROUP BY p.r)
 ), gone AS (
-  SELECT host, line FROM counts JOIN totals USING (host) WHERE n >= 20 AND n >= 0.02 * documents
+  SELECT e.host, e.line FROM each e JOIN often o ON e.host = o.host AND e.line = o.line JOIN kinds k ON e.r = k.r GROUP BY e.host, e.line HAVING count(DISTINCT k.kind) >= 20
 ), kept_lines AS (
   SELECT r, count(g.line) AS removed, coalesce(sum(len(string_split(e.line, ' '))) FILTER (WHERE g.line IS NULL), 0) AS left_words
   FROM each e LEFT JOIN gone g ON e.host = g.host AND e.line = g.line GROUP BY r

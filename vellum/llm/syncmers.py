@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow_map, arrow_stream, strings
+from vellum.llm.common import arrow_map, pieces, strings
 
-#: Letters of a k-mer and of its inner substrings; anchors of a fingerprint; letters hashed at once.
-K, S, ANCHORS, BLOCK = 16, 9, 64, 1 << 18
+#: Letters of a k-mer and of its inner substrings (two of K - S + 1 k-mers are chosen, and no gap is longer than K - S);
+#: bytes of an anchor's hash; letters hashed at once.
+K, S, HASH_BYTES, BLOCK = 24, 9, 6, 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text of one sorted range of documents, and most ranges: beyond that ranges grow.
 RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
@@ -61,50 +62,75 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
             least, width = np.minimum(least[:-width], least[width:]), 2 * width
         least = np.minimum(least[:count], least[k - s + 1 - width : k - s + 1 - width + count])
         chosen = np.flatnonzero((least == inner[:count]) | (least == inner[k - s : k - s + count]))
-        hashes.append(_mixed(_grams(letters, k)[chosen]) >> np.uint64(32))
+        hashes.append(_mixed(_grams(letters, k)[chosen]) >> np.uint64(64 - 8 * HASH_BYTES))
         places.append(chosen + at)
     found = np.concatenate(hashes) if hashes else np.array([], dtype=np.uint64)
     if not len(found) and len(codes):
-        whole = int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+        whole = int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:HASH_BYTES], "big")
         return np.array([whole], dtype=np.uint64), np.array([0])
     return found, np.concatenate(places) if places else np.array([], dtype=np.int64)
 
 
-def sketch(text: str, size: int = ANCHORS) -> np.ndarray:
-    """The anchors with the least hashes, each at its first place: rows (hash, place) in the order of the hashes."""
-    hashes, places = anchors(text)
-    if not len(hashes):
-        return np.empty((0, 2), dtype="<u4")
-    if len(hashes) > 8 * size:  # enough of the least hashes for `size` distinct ones, or else all
-        cut = np.partition(hashes, 4 * size)[4 * size]
-        few = hashes <= cut
-        if len(np.unique(hashes[few])) >= size:
-            hashes, places = hashes[few], places[few]
-    values, first = np.unique(hashes, return_index=True)
-    return np.stack([values[:size], places[first[:size]]], axis=1).astype("<u4")
+def encoded(hashes: np.ndarray, places: np.ndarray) -> str:
+    """The fingerprint: base64 of all anchors in the order of their places, a byte for the step from the place before (a step
+    of 255 or more takes further bytes of 255) and the bytes of the hash."""
+    steps = np.diff(places, prepend=0)
+    if len(steps) and steps.max() >= 255:  # only where hashes of inner substrings are equal without end
+        raw = b"".join(b"\xff" * (int(d) // 255) + bytes([int(d) % 255]) + int(h).to_bytes(HASH_BYTES, "little") for d, h in zip(steps, hashes, strict=True))
+        return base64.b64encode(raw).decode()
+    rows = np.empty((len(hashes), 1 + HASH_BYTES), dtype=np.uint8)
+    rows[:, 0], rows[:, 1:] = steps, hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+    return base64.b64encode(rows.tobytes()).decode()
 
 
-def encoded(rows: np.ndarray) -> str:
-    return base64.b64encode(rows.tobytes()).decode()
+def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    raw, at, place, hashes, places = base64.b64decode(fingerprint), 0, 0, [], []
+    while at < len(raw):
+        while raw[at] == 255:
+            place, at = place + 255, at + 1
+        place += raw[at]
+        hashes.append(int.from_bytes(raw[at + 1 : at + 1 + HASH_BYTES], "little"))
+        places.append(place)
+        at += 1 + HASH_BYTES
+    return np.array(hashes, dtype=np.uint64), np.array(places, dtype=np.int64)
 
 
-def decoded(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4").reshape(-1, 2)
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Distinct keys: equal hashes are told apart by how often they came before."""
+    order = np.argsort(hashes, kind="stable")
+    ordered, index = hashes[order], np.arange(len(hashes))
+    begin = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], index, 0)) if len(hashes) else index
+    number = np.empty(len(hashes), dtype=np.uint64)
+    number[order] = (index - begin).astype(np.uint64)
+    return _mixed(hashes ^ _mixed(number + np.uint64(1)))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the least anchors of both that both hold at one shift: 1 for equal fingerprints, 0 for nothing in common."""
+    """Share of the anchors of both texts (hashes in the order of their places) that match: 1 for equal ones, 0 for nothing in common.
+
+    The n-th anchor of a hash in one text is held against the n-th of it in the other, and of such pairs the longest chain
+    counts that has the same order in both, whatever the shifts between: a letter put in costs only the anchors around it.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a[:, 0], b[:, 0])[: max(len(a), len(b))]
-    _, i, j = np.intersect1d(a[:, 0], b[:, 0], return_indices=True)
-    both = a[i, 0] <= union[-1]
-    shifts = Counter((a[i, 1].astype(np.int64) - b[j, 1].astype(np.int64))[both].tolist())
-    return max(shifts.values(), default=0) / len(union)
+    _, i, j = np.intersect1d(_numbered(a), _numbered(b), assume_unique=True, return_indices=True)
+    there = j[np.argsort(i)]
+    if len(there) < 2 or (there[1:] > there[:-1]).all():
+        chain = len(there)
+    else:
+        ends: list[int] = []  # of chains of each length, the least last place
+        for x in there.tolist():
+            at = bisect_left(ends, x)
+            ends[at : at + 1] = [x]
+        chain = len(ends)
+    return chain / (len(a) + len(b) - chain)
 
 
 def document_anchors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, anchors (array of hash, place): all closed syncmers of each whole text, for positional matching."""
+    """doc_id, anchors (array of hash, place): all closed syncmers of each whole text, for positional matching.
+
+    Null and empty texts have none; null ids and repeated rows are kept; an empty table gives an empty result.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [[{"hash": h, "place": p} for h, p in zip(*(x.tolist() for x in anchors(t)), strict=True)] for t in strings(batch.column(1))]
@@ -156,8 +182,10 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per row of `docs`.
 
     The edited text has its last third (rounded down) replaced by the first as many letters of the next document by
-    descending id. Null texts are empty: they have an empty fingerprint, like only other empty ones. A single document is
-    its own next one. Equal texts have equal fingerprints; repeated rows and null ids are kept.
+    descending id. Fingerprints hold all anchors of the whole text with their places, about one in eight letters. Null texts
+    are empty: they have an empty fingerprint, like only other empty ones; texts too short for an anchor are one themselves.
+    A single document is its own next one. Equal texts have equal fingerprints; repeated rows and null ids are kept; other
+    columns are ignored; an empty table gives an empty result.
     """
 
     def edit(text: str, following: str) -> str:
@@ -166,21 +194,21 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, out = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             for bucket, extra, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = None if extra else sketch(text)
+                mine = None if extra else anchors(text)
                 if waiting is not None and waiting[0] == bucket:
-                    out.append(row(*waiting[1:], text, sketch(text) if mine is None else mine))
+                    out.append(row(*waiting[1:], text, anchors(text) if mine is None else mine))
                     waiting = None
                 if not extra:
                     waiting = (bucket, doc_id, text, mine)
             yield made(out)
             out = []
 
-    def row(doc_id: int, text: str, mine: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
+    def row(doc_id: int, text: str, mine: tuple, following: str, theirs: tuple) -> tuple:
         changed = edit(text, following)
-        other = sketch(changed)
-        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), encoded(mine), encoded(other), likeness(mine, other), likeness(mine, theirs)
+        other = anchors(changed)
+        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*mine), encoded(*other), likeness(mine[0], other[0]), likeness(mine[0], theirs[0])
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -189,4 +217,4 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return arrow_stream(with_next_text(docs, id_column, text_column), run, schema)
+    return with_next_text(docs, id_column, text_column).mapInArrow(run, schema)

@@ -32,5 +32,6 @@ def test_query(spark, con, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).columns == ["key", "arxiv_id", "score"]
+    found = __spark_entry__.entry(spark)
+    assert found.columns == ["bib_key", "arxiv_id", "score", "rank"] and found.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

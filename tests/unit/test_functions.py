@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from vellum.functions import latex
 from vellum.functions import similarity as S
 from vellum.functions import text as T
+from vellum.operators import latex_tree
 from vellum.operators.latex_tree import node_rows, parse_version
 from vellum.operators.resolve import include_order
+from vellum.sources import files
 from vellum.sources.bibtex import item_fields, parse_entries
 
 
@@ -85,3 +87,24 @@ def test_bibliography_entries():
     assert (item["author"], item["title"], item["year"], item["pages"], item["type"]) == ("J. Smith", "Deep nets", "2019", "10--20", "article")
     plain = item_fields("P. Agrawal, Dark matter, Springer 2017")
     assert (plain["author"], plain["title"], plain["publisher"], plain["type"]) == ("P. Agrawal", "Dark matter", "Springer", "misc")
+
+
+def test_manual_labels_are_read_by_their_files(spark, tmp_path):
+    (tmp_path / "0001-00001.json").write_text('[{"label": 1, "score": 0.5, "bib_key": "k", "arxiv_id": "2301.1"}, {"label": "", "bib_key": "k", "arxiv_id": "2301.2"}]')
+    (tmp_path / "0001-00002.json").write_text('[{"label": "0", "bib_key": "j", "arxiv_id": "2301.3"}]')
+    got = {(r.pub_id, r.bib_key, r.arxiv_id, r.label) for r in files.manual_labels(spark, str(tmp_path)).collect()}
+    assert got == {("0001-00001", "k", "2301.1", 1), ("0001-00001", "k", "2301.2", None), ("0001-00002", "j", "2301.3", 0)}
+
+
+def test_harvmac_dates_and_blocks():
+    tex = "\\input harvmac\n\\Title{X}{\\vbox{\\centerline{On it}}}\nFirst words.\n\\Date{1/99}\n\\newsec{One}\nText here. \\eqn\\ea{x=1} More text.\n\\ifig\\fa{A caption.}{\\epsfbox{plot.eps}}\n\\appendix{A}{Extra}\nLast words.\n\\bye gone."
+    rows = [(n.node_type, n.title, n.label, n.content) for *_, n in _walk(latex_tree.parse_harvmac(tex))]
+    assert rows[0][:2] == ("document", "On it") and not any("1/99" in (r[3] or "") or "gone" in (r[3] or "") for r in rows)
+    assert ("sentence", None, None, "First words.") in rows and ("math", None, "ea", "x=1") in rows and ("figure", "A caption.", "fa", "plot.eps") in rows
+    assert [r[1] for r in rows if r[0] == "section"] == ["Abstract", "One", "Extra"]
+
+
+def _walk(node):
+    yield (node,)
+    for child in node.children:
+        yield from _walk(child)

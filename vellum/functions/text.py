@@ -6,12 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.ml.feature import StopWordsRemover
 
-# Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = (
-    r"(Figs?|Refs?|Eqs?|Secs?|Tabs?|Apps?|Nos?|Vols?|Pgs?|p|pp)",
-    r"(i\.e|e\.g|vs|cf|et al)",
-    r"(Dr|Mr|Mrs|Ms|Prof|Dept)",
-)
+from vellum.functions.rules import ABBREVIATIONS, HARVMAC_TEXT, HARVMAC_TITLE, INCLUDE, replaced
+
 # Layout commands without arguments.
 LAYOUT = "centering|raggedright|raggedleft|noindent|hline|midrule|toprule|bottomrule|small|large|bfseries|itshape"
 # Fields that an export leaves out, and those it puts first.
@@ -19,13 +15,6 @@ EXPORT_FIRST = ("author", "title", "journal", "booktitle", "volume", "number", "
 EXPORT_HIDDEN = ("type", "key", "ref_id", "raw", "source", "normalized_title", "normalized_authors", "normalized_year", "author_tokens", "title_tokens", "similarity_score", "label", "pair_type")
 
 
-def replaced(column: Column, *pairs: tuple[str, str]) -> Column:
-    """regexp_replace, one pattern after the other."""
-    for pattern, by in pairs:
-        column = F.regexp_replace(column, pattern, by)
-    return column
-
-
 def squeezed(column: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(column, r"\s+", " "))
@@ -61,7 +50,7 @@ def tex_name(name: Column) -> Column:
 
 def includes(text: Column) -> Column:
     """Names of \\input and \\include, in their order, comments aside."""
-    return F.transform(F.regexp_extract_all(strip_comments(text), F.lit(r"\\(?:input|include)(?!graphics)\s*\{?([^}\s]+)\}?"), F.lit(1)), tex_name)
+    return F.transform(F.regexp_extract_all(strip_comments(text), F.lit(INCLUDE), F.lit(1)), tex_name)
 
 
 def sentences(text: Column) -> Column:
@@ -79,14 +68,11 @@ def clean_formatting(text: Column) -> Column:
 
 
 def harvmac_title(title: Column) -> Column:
-    return F.trim(replaced(title, (r"\\vbox\s*\{\s*", ""), (r"\\centerline\s*\{", ""), (r"\\vskip\s*[.0-9]+(?:mm|cm|in|pt)", ""), (r"\}", ""), ("\n", " "), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\s{2,}", " ")))
+    return F.trim(replaced(title, *HARVMAC_TITLE))
 
 
 def harvmac_text(text: Column) -> Column:
-    text = replaced(
-        text, (r"\\(?:big|med|small)skip", "\n"), (r"\\goodbreak\\*\s*", ""), (r"\\(?:vskip|vglue)\s*[.0-9]+(?:mm|cm|in|pt)", ""), (r"\\noindent", ""), (r"\\item\{.*?\}", ""), (r"\\(?:rm|it|bf|tt|sl)\s+", ""), (r"\\\s+", " "),
-    )
-    return F.btrim(replaced(F.replace(text, F.lit("  "), F.lit(" ")), (r"\(\s+", "("), (r"\s+\)", ")")), F.lit(" \t\n\r\x0b\x0c"))
+    return F.btrim(replaced(text, *HARVMAC_TEXT), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def heading(line: Column) -> Column:

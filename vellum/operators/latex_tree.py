@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import latex
+from vellum.functions.rules import DEPTHS, HARVMAC_TEXT, HARVMAC_TITLE, INCLUDE, LEVELS, applied
 
 NODES = "pub_id string, version string, preorder int, parent_preorder int, depth int, subtree_end int, node_type string, title string, label string, content string, error string"
 MATH = "equation|align|gather|eqnarray"
@@ -77,11 +78,11 @@ class LatexParser:
 
     def _open(self, level: str, title: str) -> None:
         if self.level_aware:
-            while len(self.stack) > 1 and self.stack[-1][0] >= latex.LEVELS[level]:
+            while len(self.stack) > 1 and self.stack[-1][0] >= LEVELS[level]:
                 self.stack.pop()
         else:
-            del self.stack[latex.DEPTHS[level] :]
-        self.stack.append((latex.LEVELS[level], self.top.add(level, title=title)))
+            del self.stack[DEPTHS[level] :]
+        self.stack.append((LEVELS[level], self.top.add(level, title=title)))
 
     def _flush(self, text: list[str]) -> None:
         for i in range(0, len(text), FLUSH_LINES):
@@ -117,7 +118,7 @@ class LatexParser:
                 self._open(found[0], found[1])
                 self.top.add_sentences(found[2])
                 continue
-            if names := latex._INCLUDE.findall(line):
+            if names := re.findall(INCLUDE, line):
                 self._flush(text)
                 for inner in filter(None, map(self._included, names)):
                     self._file(inner, inside, (*chain, name))
@@ -226,18 +227,8 @@ def _group(text: str, at: int) -> tuple[str, int]:
     return ("", at) if end is None else (text[at + 1 : end], end + 1)
 
 
-def _clean_title(text: str) -> str:
-    for pattern, by in ((r"\\vbox\s*\{\s*", ""), (r"\\centerline\s*\{", ""), (r"\\vskip\s*[.0-9]+(mm|cm|in|pt)", ""), (r"\}", ""), ("\n", " "), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\s{2,}", " ")):
-        text = re.sub(pattern, by, text)
-    return text.strip()
-
-
-def _clean_text(text: str) -> str:
-    for pattern, by in (
-        (r"\\(?:big|med|small)skip", "\n"), (r"\\goodbreak\\*\s*", ""), (r"\\(?:vskip|vglue)\s*[.0-9]+(?:mm|cm|in|pt)", ""), (r"\\noindent", ""), (r"\\item\{.*?\}", ""), (r"\\(?:rm|it|bf|tt|sl)\s+", ""), (r"\\\s+", " "), ("  ", " "), (r"\(\s+", "("), (r"\s+\)", ")"),
-    ):
-        text = re.sub(pattern, by, text)
-    return text.strip()
+def _prose(text: str) -> str:
+    return applied(text, HARVMAC_TEXT).strip()
 
 
 def parse_harvmac(tex: str) -> Node:
@@ -248,12 +239,12 @@ def parse_harvmac(tex: str) -> Node:
         raise ValueError("no Title")
     _, at = _group(tex, head.end())
     title, at = _group(tex, at)
-    root = Node("document", title=_clean_title(title))
+    root = Node("document", title=applied(_prose(title), HARVMAC_TITLE).strip())
     body = re.split(r"\\bye\b", tex[at:])[0]
     marks = list(re.finditer(r"\\(newsec|appendix)(?![A-Za-z])", body))
     before = body[: marks[0].start()] if marks else body
     abstract = root.add("section", title="Abstract")
-    for s in latex.sentences(_clean_text(before)):
+    for s in latex.sentences(_prose(re.sub(r"\\Date\s*\{[^}]*\}", "", before))):
         if not re.search(r"\\centerline|\\break|\\let\\includefigures", s) and s.count("{") == s.count("}"):
             abstract.add("sentence", content=s)
     if not abstract.children:
@@ -262,7 +253,7 @@ def parse_harvmac(tex: str) -> Node:
         name, at = _group(body, mark.end())
         if mark[1] == "appendix":
             name, at = _group(body, at)
-        _harvmac_section(root.add("section", title=_clean_title(name)), body[at : nxt.start() if nxt else len(body)])
+        _harvmac_section(root.add("section", title=_prose(name)), body[at : nxt.start() if nxt else len(body)])
     pad_headings(root)
     return root
 
@@ -272,13 +263,13 @@ def _harvmac_section(section: Node, text: str) -> None:
     _harvmac_content(section, text[: marks[0].start()] if marks else text)
     for mark, nxt in zip(marks, [*marks, None][1:], strict=True):
         name, at = _group(text, mark.end())
-        _harvmac_content(section.add("subsection", title=_clean_title(name)), text[at : nxt.start() if nxt else len(text)])
+        _harvmac_content(section.add("subsection", title=_prose(name)), text[at : nxt.start() if nxt else len(text)])
 
 
 def _harvmac_content(parent: Node, text: str) -> None:
     at = 0
     while m := re.compile(r"\$\$|\\eqn(?![A-Za-z])|\\i?ifig(?![A-Za-z])").search(text, at):
-        parent.add_sentences(_clean_text(text[at : m.start()]))
+        parent.add_sentences(_prose(text[at : m.start()]))
         if m[0] == "$$":
             end = text.find("$$", m.end())
             end = len(text) if end < 0 else end
@@ -295,8 +286,8 @@ def _harvmac_content(parent: Node, text: str) -> None:
         if m[0] == "\\iifig":
             third, at = _group(text, at)
         name = re.search(r"[\w./-]+\.(?:eps|ps|pdf|png|jpg)", " ".join((second, third)))
-        parent.add("figure", label=label[1] or None, title=_clean_text(first), content=name[0] if name else _clean_text(f"{second} {third}"))
-    parent.add_sentences(_clean_text(text[at:]))
+        parent.add("figure", label=label[1] or None, title=_prose(first), content=name[0] if name else _prose(f"{second} {third}"))
+    parent.add_sentences(_prose(text[at:]))
 
 
 def parse_version(files: dict[str, str], main: str, level_aware: bool = False, fixed_headings: bool = False) -> Node:

@@ -17,7 +17,8 @@ from vellum.functions import latex
 from vellum.functions import similarity as S
 from vellum.functions import text as T
 from vellum.operators import features, latex_tree, matching, ranking, references, resolve, tree_dedup
-from vellum.sources import bibtex, files
+from vellum.session import new_folder
+from vellum.sources import bibtex, files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +103,19 @@ def listed_values(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(files.listed(text), "|").alias("items"))
 
 
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, s_suppkey || v AS version, file_name, '{"2301.' || s_suppkey || '": {"paper_title": "On ' || s_name || '", "authors": ["A B", "C D"], "submission_date": "2023-01-02"}' || CASE WHEN s_suppkey % 4 > 0 THEN '}' ELSE '' END AS text
+FROM supplier, (VALUES ('v2', 'main.tex'), ('v10', 'a.bib'), ('v10', 'b.bib')) AS t(v, file_name) WHERE s_suppkey % 3 > 0""")
+def tex_sources(spark, sf_dir):
+    return files.sources(_folder_files(spark, sf_dir)).select("pub_id", "version", "file_name", "text")
+
+
+@query("SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY p_brand")
+def table_files(spark, sf_dir):
+    """A table written by its brands and read again."""
+    sinks.write_table(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), place := new_folder(spark), "p_brand")
+    return spark.read.parquet(place).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+
+
 # --- text ----------------------------------------------------------------------------------------------------------------
 
 
@@ -153,19 +167,20 @@ def normalize_year(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.year_of(text).alias("year"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(t), '[{}$]', '', 'g'), '~', ' '), '[^a-z0-9 \t\n\f\r\v\-]', ' ', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')), ' '),
-lambda w: w <> '' AND NOT list_contains(['the', 'of', 'a', 'and', 'to', 'in', 'is', 'it', 'on', 'by', 'are', 'for', 'was', 'that', 'this', 'with', 'be', 'an', 'as', 'at', 'from', 'he', 'or', 'i', 'no', 's', 't', 'me', 'her', 'his', 'so', 'do', 'if', 'than', 'them', 'has', 'had', 'have', 'not', 'we', 'you', 'my', 'she', 'they', 'then', 'there', 'these', 'those', 'up', 'out', 'am', 'can', 'will', 'just', 'don', 'should', 'now', 'but', 'because', 'until', 'while', 'about', 'what', 'which', 'who', 'whom', 'when', 'where', 'why', 'how', 'all', 'any', 'both', 'each', 'few', 'more', 'most', 'other', 'some', 'such', 'nor', 'only', 'own', 'same', 'too', 'very', 'our', 'ours', 'your', 'yours', 'him', 'its', 'their', 'theirs', 'myself', 'does', 'did', 'doing', 'into', 'through', 'before', 'after', 'above', 'below', 'over', 'under', 'again', 'once', 'here', 'off', 'down', 'were', 'been', 'being', 'having', 'would', 'could', 'cannot', 'against', 'between', 'during', 'further', 'hers'], w)), ' ') AS words
-FROM (SELECT doc_id, substr(text, 1, 60) || ' {Ab}~c' AS t FROM documents WHERE lang = 'fr')""")
+@query(r"""WITH words AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '\\[a-z]+\{([^}]*)\}', '\1', 'g'), '\\[a-z]+', ' ', 'g'), '[{}$]', '', 'g'), '~', ' '), '[^a-z0-9 \t\n\f\r\v\-]', ' ', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains(string_split('i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now cannot could ought would', ' '), w)) AS w
+FROM (SELECT doc_id, coalesce(text, '') || ' \emph{Ab}~c' AS t FROM documents))
+SELECT doc_id, array_to_string(list_transform(w, lambda w: CASE WHEN regexp_matches(w, '(?:ss|us|is)$') OR length(w) <= 3 THEN w WHEN regexp_matches(w, '[^aeiou]ies$') THEN left(w, length(w) - 3) || 'y'
+WHEN regexp_matches(w, '(?:ch|sh|x|ss|z)es$') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END), ' ') AS words FROM words""")
 def normalize_text(spark, sf_dir):
-    text = F.concat(F.left("text", F.lit(60)), F.lit(" {Ab}~c"))
-    return table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", T.normalized(text, lemma=False).alias("words"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" \\emph{Ab}~c"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalized(text).alias("words"))
 
 
 @query("""SELECT c_custkey, lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) || ' j' AS first_short, lower(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) || ' a' AS second_short, lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) AS first_last, 'x' AS single
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name NOT LIKE '% %'""")
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def author_short_forms(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")).where(~F.contains("n_name", F.lit(" ")))
-    shorts = T.short_names(F.concat(c("c_mktsegment"), F.lit(", {J}ohn Q. and Ann-Marie B. "), c("n_name"), F.lit(" and Xavier")))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
+    shorts = T.short_names(F.concat(c("c_mktsegment"), F.lit(", {J}ohn Q. and Ann-Marie B. "), F.replace("n_name", F.lit(" "), F.lit("")), F.lit(" and Xavier")))
     return rows.select("c_custkey", shorts.alias("s")).select("c_custkey", c("s")[0].alias("first_short"), c("s")[1].alias("second_short"), T.first_author_last(c("s")).alias("first_last"), c("s")[2].alias("single"))
 
 
@@ -179,6 +194,23 @@ def batched(rule: Callable, kind: str = "string"):
     return apply
 
 
+@query(r"SELECT p_partkey, length('{' || p_name || ' {x} \} ' || p_brand) AS place FROM part")
+def balanced_braces(spark, sf_dir):
+    text = F.concat(F.lit("{"), "p_name", F.lit(" {x} \\} "), "p_brand", F.lit("} tail }"))
+    return table(spark, sf_dir, "part").select("p_partkey", batched(lambda t: latex.balanced(t, 0), "long")(text).alias("place"))
+
+
+@query(r"SELECT p_partkey, ' ' || p_name || '\noindentx ' AS text FROM part")
+def remove_noindent(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.remove_noindent(F.concat(F.lit("\\noindent "), "p_name", F.lit("\\noindentx \\noindent"))).alias("text"))
+
+
+@query(r"SELECT p_partkey, '\section*{On ' || p_name || ' {x}}' || chr(10) || 'body' AS text FROM part")
+def reflow_headings(spark, sf_dir):
+    text = F.concat(F.lit("\\section*{On\n  "), "p_name", F.lit(" {x}}\nbody"))
+    return table(spark, sf_dir, "part").select("p_partkey", batched(lambda t: latex.reflow_headings(t, fixed=True))(text).alias("text"))
+
+
 @query(r"SELECT p_partkey, p_name || ' {\bf x} ' || p_brand AS title FROM part")
 def tex_title(spark, sf_dir):
     tex = F.concat(F.lit("% \\title{no}\n\\titlefont{no}\\title[short]{"), "p_name", F.lit(" {\\bf x}\\\\ \n"), "p_brand", F.lit("\\vspace{2cm}} text"))
@@ -297,7 +329,7 @@ def _conversation_nodes(spark, sf_dir):
     return leaves.union(roots)
 
 
-TREE = r"""WITH n AS (SELECT 'p' || conv_id % 50 AS pub_id, 'p' || conv_id % 50 || 'v' || conv_id AS version, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS preorder, trim(regexp_replace(replace(text, '~', ' '), '[ \t\n\f\r\v]+', ' ', 'g')) AS full_text FROM conversations WHERE turn <= 20),
+TREE = r"""WITH n AS (SELECT 'p' || conv_id % 50 AS pub_id, 'p' || conv_id % 50 || 'v' || conv_id AS version, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS preorder, trim(regexp_replace(replace(text, '~', ' '), '[ \t\n\f\r\v]+', ' ', 'g')) AS full_text FROM conversations),
 h AS (SELECT *, sha256('sentence' || full_text) AS subtree_hash FROM n), r AS (SELECT pub_id, version, conv_id, sha256('documentroot' || string_agg(subtree_hash, '' ORDER BY preorder)) AS subtree_hash FROM h GROUP BY ALL)"""
 
 
@@ -325,9 +357,11 @@ def hierarchy(spark, sf_dir):
     return tree_dedup.hierarchy(_kept(spark, sf_dir)).select("version", "id", "parent_id")
 
 
-@query(KEPT + " SELECT id FROM k WHERE canonical_id = id UNION ALL SELECT version || '_000000' FROM r")
+@query(KEPT + """ SELECT id, 'sentence' AS node_type, md5(text) AS content FROM k JOIN (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS preorder FROM conversations) t USING (conv_id, preorder) WHERE canonical_id = id
+UNION ALL SELECT version || '_000000', NULL, md5('root') FROM r""")
 def elements(spark, sf_dir):
-    return tree_dedup.elements(_kept(spark, sf_dir)).select("id")
+    part = lambda path: F.get_json_object("element", path)
+    return tree_dedup.elements(_kept(spark, sf_dir)).select("id", part("$.node_type").alias("node_type"), F.md5(F.coalesce(part("$.content"), part("$"))).alias("content"))
 
 
 @query()
@@ -385,10 +419,10 @@ def ref_key_map(spark, sf_dir):
 
 
 @query("""SELECT s_suppkey, base || CASE WHEN n = 0 THEN '' WHEN n <= 25 THEN '_' || chr(CAST(96 + n AS INTEGER)) ELSE '_' || (97 + n) END AS ref_id FROM (SELECT s_suppkey, base, row_number() OVER (PARTITION BY base ORDER BY s_suppkey) - 1 AS n
-FROM (SELECT s_suppkey, upper(substr(n_name, 1, 1)) || lower(regexp_replace(substr(n_name, 2), '[^A-Za-z]', '', 'g')) || '_1999_MakeDark' AS base FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT LIKE '% %'))""")
+FROM (SELECT s_suppkey, upper(substr(n_name, 1, 1)) || lower(regexp_replace(substr(n_name, 2), '[^A-Za-z]', '', 'g')) || '_1999_MakeDark' AS base FROM supplier JOIN nation ON s_nationkey = n_nationkey))""")
 def semantic_id(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), c("s_nationkey") == c("n_nationkey")).where(~F.contains("n_name", F.lit(" ")))
-    base = T.semantic_base(F.concat(F.lit("Joe "), "n_name", F.lit(" and B")), F.lit("c. 1999"), F.lit("make $dark matter"))
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), c("s_nationkey") == c("n_nationkey"))
+    base = T.semantic_base(F.concat(F.lit("Joe "), F.replace("n_name", F.lit(" "), F.lit("")), F.lit(" and B")), F.lit("c. 1999"), F.lit("make $dark matter"))
     return references.with_semantic_ids(rows, ["s_suppkey"], base).select("s_suppkey", "ref_id")
 
 
@@ -403,6 +437,33 @@ def extraction_rate(spark, sf_dir):
     return references.extraction_rate(docs, docs.select("text").distinct()).select("raw", "kept", F.round("rate", 6).alias("rate"))
 
 
+@query("""SELECT 'p' || p_brand AS pub_id, string_agg('@article{k' || p_partkey || ',' || chr(10) || '  author={' || p_type || '},' || chr(10) || '  title={' || p_name || '},' || chr(10) || '}' || chr(10) || chr(10), '' ORDER BY p_size DESC, p_partkey) AS bibtex
+FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2 DESC) AS n FROM part) WHERE n = 1 GROUP BY p_brand""")
+def bibtex_files(spark, sf_dir):
+    entry = lambda n, v: F.struct(F.lit(n).alias("name"), c(v).alias("value"))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_brand").alias("pub_id"), (c("p_partkey") % 2).cast("string").alias("version"), F.lit("article").alias("type"), F.concat(F.lit("k"), "p_partkey").alias("key"), F.array(entry("title", "p_name"), entry("author", "p_type")).alias("fields"), c("p_size").alias("quality"), c("p_partkey").alias("ref_ord"))
+    return references.export_bibtex(rows)
+
+
+@query("SELECT p_partkey, 'study ' || lower(replace(p_brand, '#', ' ')) AS normalized_title, '2001' AS normalized_year, 'smith j|doe j' AS authors, 'smith' AS first_author_last FROM part")
+def cleaned_references(spark, sf_dir):
+    entry = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    fields = F.array(entry("title", F.concat(F.lit("{A} Study of the "), F.regexp_replace("p_brand", "#", " "))), entry("author", F.lit("Smith, John and Jane Doe")), entry("year", F.lit("c. 2001")))
+    rows = references.clean_references(table(spark, sf_dir, "part").select("p_partkey", fields.alias("fields")))
+    return rows.select("p_partkey", "normalized_title", "normalized_year", F.array_join("normalized_authors", "|").alias("authors"), "first_author_last")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pub_id, 'k' || i AS key, 'article' AS type FROM nation, (SELECT unnest(range(6)) AS i) WHERE n_nationkey % 2 = 0 OR i = 0 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'item', 'article' FROM nation WHERE n_nationkey % 2 = 1""")
+def extracted_references(spark, sf_dir):
+    """Versions with many BibTeX entries, whose \\bibitems are not looked at, and with few."""
+    nations = table(spark, sf_dir, "nation")
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), F.when(c("n_nationkey") % 2 == 0, 5).otherwise(0)), lambda i: F.concat(F.lit("@article{k"), i.cast("string"), F.lit(",\n title = {On "), c("n_name"), F.lit("}\n}\n"))), "")
+    item = F.concat(F.lit("\\bibitem{item} A. Uthor, \\emph{On "), "n_name", F.lit("}, Journal of It, 1999"))
+    both = F.explode(F.array(F.struct(F.lit("r.bib").alias("file_name"), entries.alias("text")), F.struct(F.lit("m.tex").alias("file_name"), item.alias("text"))))
+    found = nations.select(c("n_nationkey").cast("string").alias("pub_id"), F.lit("v1").alias("version"), both.alias("f")).select("pub_id", "version", "f.*")
+    return bibtex.extract_references(found).select("pub_id", "key", "type")
+
+
 # --- similarities ----------------------------------------------------------------------------------------------------------
 
 
@@ -419,6 +480,22 @@ def _ids():
     return c("p_partkey").alias("a"), c("o_p_partkey").alias("b")
 
 
+#: Ratcliff-Obershelp in SQL, for the rows x, y of a relation `strings`: all runs of equal letters, and in each step the
+#: longest of every open range (the first in x, then in y), which leaves one range on its left and one on its right.
+RATIO = """cells AS (SELECT x, y, i, j, i - j AS d FROM (SELECT DISTINCT x, y FROM strings WHERE x <> '' AND y <> ''), unnest(range(length(x))) AS t(i), unnest(range(length(y))) AS u(j) WHERE x[i + 1] = y[j + 1]),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY x, y, d ORDER BY i) AS island FROM cells), runs AS (SELECT x, y, i, j, max(i) OVER (PARTITION BY x, y, d, island) - i + 1 AS run FROM islands),
+ranges AS (SELECT DISTINCT x, y, CAST(0 AS BIGINT) AS alo, length(x) AS ahi, CAST(0 AS BIGINT) AS blo, length(y) AS bhi, CAST(0 AS BIGINT) AS n FROM strings WHERE x <> '' AND y <> '' UNION ALL
+SELECT x, y, CASE side WHEN 0 THEN alo ELSE m.i + m.k END, CASE side WHEN 0 THEN m.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE m.j + m.k END, CASE side WHEN 0 THEN m.j ELSE bhi END, CASE side WHEN 0 THEN m.k ELSE 0 END
+FROM (SELECT s.x, s.y, s.alo, s.ahi, s.blo, s.bhi, arg_max({'i': r.i, 'j': r.j, 'k': least(r.run, s.ahi - r.i, s.bhi - r.j)}, least(r.run, s.ahi - r.i, s.bhi - r.j) * 1000000 - r.i * 1000 - r.j) AS m
+FROM ranges s JOIN runs r ON r.x = s.x AND r.y = s.y AND r.i >= s.alo AND r.i < s.ahi AND r.j >= s.blo AND r.j < s.bhi GROUP BY s.x, s.y, s.alo, s.ahi, s.blo, s.bhi), (VALUES (0), (1)) AS v(side)),
+ratios AS (SELECT x, y, 2.0 * sum(n) / (length(x) + length(y)) AS ratio FROM ranges GROUP BY x, y)"""
+#: Longest common subsequences in SQL: a row of the table for each letter of x.
+INDEL = """steps AS (SELECT DISTINCT x, y, CAST(0 AS BIGINT) AS i, list_transform(range(length(y) + 1), lambda t: CAST(0 AS BIGINT)) AS row FROM strings UNION ALL
+SELECT x, y, i + 1, list_concat([CAST(0 AS BIGINT)], list_transform(range(1, length(y) + 1), lambda t: list_max(best[1:t]))) FROM
+(SELECT x, y, i, list_transform(range(1, length(y) + 1), lambda t: CASE WHEN x[i + 1] = y[t] THEN row[t] + 1 ELSE row[t + 1] END) AS best FROM steps WHERE i < length(x))),
+indels AS (SELECT x, y, 2.0 * row[length(y) + 1] / (length(x) + length(y)) AS ratio FROM steps WHERE i = length(x))"""
+
+
 JACCARD = "len(list_intersect(string_split({a}, ' '), string_split({b}, ' '))) / len(list_distinct(list_concat(string_split({a}, ' '), string_split({b}, ' '))))"
 
 
@@ -438,37 +515,45 @@ def year_score(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.year_score(a, (1993 + c("o_custkey") % 5).cast("string")).alias("score"))
 
 
-@query()
+@query(f"WITH RECURSIVE p AS ({PAIRS}), strings AS (SELECT an AS x, bn AS y FROM p), {RATIO} SELECT a, b, round(ratio, 6) AS ratio FROM p JOIN ratios ON x = an AND y = bn")
 def seq_ratio(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*_ids(), S.sequence_ratio("p_name", "o_p_name").alias("ratio"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.sequence_ratio("p_name", "o_p_name"), 6).alias("ratio"))
 
 
-@query()
+@query(f"WITH RECURSIVE p AS ({PAIRS}), strings AS (SELECT an AS x, bn AS y FROM p), {INDEL} SELECT a, b, round(ratio, 6) AS ratio FROM p JOIN indels ON x = an AND y = bn")
 def indel_ratio(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*_ids(), S.indel_ratio("p_name", "o_p_name").alias("ratio"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.indel_ratio("p_name", "o_p_name"), 6).alias("ratio"))
 
 
-@query()
+YEARS = "CASE abs(a.p_size % 5 - b.p_size % 5) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END"
+
+
+@query(f"""WITH RECURSIVE p AS ({PAIRS.replace("b.p_type AS bty", f"b.p_type AS bty, {YEARS} AS year")}), strings AS (SELECT an AS x, bn AS y FROM p), {RATIO}, z AS (SELECT a, b, ratio AS title, {JACCARD.format(a='aty', b='bty')} AS author, year FROM p JOIN ratios ON x = an AND y = bn)
+SELECT a, b, round(title, 6) AS title, round(author, 6) AS author, CAST(year AS DOUBLE) AS year, round(title * 0.5 + author * 0.3 + year * 0.2, 6) AS total FROM z""")
 def similarity_components(spark, sf_dir):
     names = lambda p: F.split(p, " ")
     x = S.similarity_components(c("p_name"), c("o_p_name"), names(c("p_type")), names(c("o_p_type")), c("year").cast("string"), c("o_year").cast("string"))
-    return _part_pairs(spark, sf_dir).select(*_ids(), x.alias("x")).select("a", "b", "x.*")
+    return _part_pairs(spark, sf_dir).select(*_ids(), x.alias("x")).select("a", "b", *(F.round(f"x.{n}", 6).alias(n) for n in ("title", "author", "year", "total")))
 
 
-OVERLAP = f"least(1.0, CASE WHEN aty[1] = bty[1] THEN 0.5 ELSE 0.0 END + 0.5 * {JACCARD})".replace("string_split({a}, ' ')", "aty").replace("string_split({b}, ' ')", "bty")
+#: With the ratios joined as t (titles) and f (first authors).
+OVERLAP = f"least(1.0, CASE WHEN aty[1] = bty[1] THEN 0.5 WHEN f.ratio > 0.8 THEN 0.25 ELSE 0.0 END + 0.5 * {JACCARD})".replace("string_split({a}, ' ')", "aty").replace("string_split({b}, ' ')", "bty")
 SPLIT_PAIRS = f"SELECT a, b, an, bn, string_split(aty, ' ') AS aty, string_split(bty, ' ') AS bty FROM ({PAIRS})"
+SCORE = f"0.4 * greatest(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), {JACCARD.format(a='an', b='bn')}, t.ratio) + 0.35 * {OVERLAP} + 0.25 * CASE WHEN a % 5 = b % 5 THEN 1.0 ELSE 0.0 END"
+WITH_RATIOS = f"strings AS (SELECT an AS x, bn AS y FROM p UNION SELECT aty[1], bty[1] FROM p), {RATIO}"
+JOINED = "p JOIN ratios t ON t.x = an AND t.y = bn JOIN ratios f ON f.x = aty[1] AND f.y = bty[1]"
 
 
-@query(f"SELECT a, b, round({OVERLAP}, 6) AS overlap FROM ({SPLIT_PAIRS})")
+@query(f"WITH RECURSIVE p AS ({SPLIT_PAIRS}), {WITH_RATIOS} SELECT a, b, round({OVERLAP}, 6) AS overlap FROM {JOINED}")
 def author_overlap(spark, sf_dir):
     names = lambda p: F.split(p, " ")
-    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.author_overlap(names(c("p_type")), names(c("o_p_type")), fuzzy=False), 6).alias("overlap"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.author_overlap(names(c("p_type")), names(c("o_p_type"))), 6).alias("overlap"))
 
 
-@query(f"""SELECT a, b, round(0.4 * greatest(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), {JACCARD.format(a='an', b='bn')}) + 0.35 * {OVERLAP} + 0.25 * CASE WHEN a % 5 = b % 5 THEN 1.0 ELSE 0.0 END, 6) AS score FROM ({SPLIT_PAIRS})""")
+@query(f"WITH RECURSIVE p AS ({SPLIT_PAIRS}), {WITH_RATIOS} SELECT a, b, round({SCORE}, 6) AS score FROM {JOINED}")
 def match_score(spark, sf_dir):
     names, year = (lambda p: F.split(p, " ")), (lambda k: (2000 + k % 5 * 3).cast("string"))
-    s = S.match_score(c("p_name"), c("o_p_name"), names(c("p_type")), names(c("o_p_type")), year(c("p_partkey")), year(c("o_p_partkey")), fuzzy=False)
+    s = S.match_score(c("p_name"), c("o_p_name"), names(c("p_type")), names(c("o_p_type")), year(c("p_partkey")), year(c("o_p_partkey")))
     return _part_pairs(spark, sf_dir).select(*_ids(), F.round(s, 6).alias("score"))
 
 
@@ -486,11 +571,11 @@ def _bibs(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return matching.with_score(matching.candidates(*_bibs(spark, sf_dir)), fuzzy=False)
+    return matching.with_score(matching.candidates(*_bibs(spark, sf_dir)))
 
 
-SCORED = f"""WITH s AS (SELECT a, b, an, bn, aty, bty, pub, 0.4 * greatest(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), {JACCARD.format(a='an', b='bn')}) + 0.35 * {OVERLAP} + 0.25 * CASE WHEN a % 5 = b % 5 THEN 1.0 ELSE 0.0 END AS score
-FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS an, b.p_name AS bn, string_split(a.p_type, ' ') AS aty, string_split(b.p_type, ' ') AS bty, a.p_brand || '/' || a.p_size AS pub FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1)),
+SCORED = f"""WITH RECURSIVE p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS an, b.p_name AS bn, string_split(a.p_type, ' ') AS aty, string_split(b.p_type, ' ') AS bty, a.p_brand || '/' || a.p_size AS pub FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
+{WITH_RATIOS}, s AS (SELECT a, b, an, bn, aty, bty, pub, {SCORE} AS score FROM {JOINED}),
 best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s)"""
 
 
@@ -544,6 +629,26 @@ def label_union(spark, sf_dir):
     return matching.label_union(_manual(spark, sf_dir, scored), matching.auto_pairs(scored)).select(*LABELS)
 
 
+@query(SCORED + " SELECT pub AS pub_id, CAST(a AS VARCHAR) AS bib_key, CAST(b AS VARCHAR) AS candidate_arxiv_id, an AS bib_title_clean, array_to_string(bty, ', ') AS candidate_authors_clean, CAST(n = 1 AS INTEGER) AS label FROM best")
+def csv_pairs(spark, sf_dir):
+    """Labelled pairs written as CSV and read again."""
+    sinks.write_pairs(matching.auto_pairs(_scored(spark, sf_dir)).drop("cand_ord"), place := new_folder(spark))
+    return files.read_pairs(spark, place).select("pub_id", "bib_key", "candidate_arxiv_id", "bib_title_clean", "candidate_authors_clean", "label")
+
+
+@query(SCORED + " SELECT pub AS pub_id, row_number() OVER (PARTITION BY pub ORDER BY CAST(a AS VARCHAR), rank) - 1 AS place, CAST(a AS VARCHAR) AS bib_key, CAST(b AS VARCHAR) AS arxiv_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 4) DESC, b) AS rank FROM s)")
+def task_files(spark, sf_dir):
+    """Label tasks written as a JSON array per publication and read again."""
+    sinks.write_tasks(matching.label_tasks(_scored(spark, sf_dir)), place := new_folder(spark))
+    rows = spark.read.schema("value string, pub_id string").text(place).select("pub_id", F.posexplode(F.from_json("value", f"array<struct<{files.TASKS.replace(' ', ': ').replace(',: ', ', ')}>>")).alias("place", "t"))
+    return rows.select("pub_id", long(c("place")).alias("place"), "t.bib_key", "t.arxiv_id", "t.score")
+
+
+@query("SELECT o_orderkey, o_custkey || '::' || o_orderkey AS query_id FROM orders")
+def query_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", ranking.query_id(c("o_custkey").cast("string"), c("o_orderkey").cast("string")).alias("query_id"))
+
+
 @query("SELECT source AS pub_id, count(*) AS matches, rank FROM (SELECT source, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents WHERE n_chars > 500 GROUP BY source HAVING count(*) >= 20) JOIN documents d USING (source) WHERE d.n_chars > 500 AND rank BETWEEN 2 AND 6 GROUP BY 1, 3")
 def paper_selection(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(c("source").alias("pub_id"), c("doc_id").alias("key"), (c("n_chars") > 500).cast("double").alias("score"))
@@ -636,7 +741,9 @@ def class_balance(spark, sf_dir):
     return ranking.class_balance(rows, "quality", "lang").select("lang", "positives", "negatives", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+@query(f"""WITH s AS ({SUPPLY}), p AS (SELECT pub, bib, string_agg('"' || cand || '"', ',' ORDER BY score DESC, cand) AS v FROM (SELECT *, row_number() OVER (PARTITION BY pub, bib ORDER BY score DESC, cand) AS rank FROM s) WHERE rank <= 5 GROUP BY 1, 2),
+t AS (SELECT pub, bib, max(cand) AS v FROM s WHERE cand % 2 = 1 GROUP BY 1, 2), pj AS (SELECT pub, string_agg('"' || bib || '":[' || v || ']', ',' ORDER BY CAST(bib AS VARCHAR)) AS j FROM p GROUP BY 1), tj AS (SELECT pub, string_agg('"' || bib || '":"' || v || '"', ',' ORDER BY CAST(bib AS VARCHAR)) AS j FROM t GROUP BY 1)
+SELECT pub AS pub_id, '{{"partition":"' || CASE pub WHEN 1 THEN 'test' WHEN 2 THEN 'valid' ELSE 'train' END || '","groundtruth":{{' || coalesce(tj.j, '') || '}},"prediction":{{' || coalesce(pj.j, '') || '}}}}' AS json FROM pj FULL JOIN tj USING (pub)""")
 def prediction_json(spark, sf_dir):
     rows = _supply(spark, sf_dir).withColumn("label", (c("candidate_arxiv_id") % 2).cast("int"))
     parts = rows.select("pub_id").distinct().select("pub_id", ranking.partition(c("pub_id")).alias("partition"))

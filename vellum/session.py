@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +20,26 @@ def session(name: str = "vellum", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` without its lineage, written to the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that every executor sees: in the one the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) is a temporary folder made.
+    Where that is unset a temporary one is made, but only if driver and executors are one process (tests); on a cluster a
+    folder of one machine would lose the data, so there it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellum-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` without its lineage, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,10 @@ from pyspark.sql.types import DoubleType
 WEIGHTS = {"title": 0.40, "author": 0.35, "year": 0.25}
 
 
+#: Pairs of strings whose ratio a worker remembers.
+REMEMBERED = 1 << 15
+
+
 def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
 
@@ -41,10 +46,15 @@ def year_score(a: Column, b: Column) -> Column:
     return F.when(apart == 0, 1.0).when(apart == 1, 0.5).otherwise(0.0)
 
 
+@lru_cache(REMEMBERED)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; 0 if either is empty. Null pairs cost nothing."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp ratio; 0 if either is empty. Null pairs cost nothing, and names and titles that come again are not compared again."""
+    return pd.Series([_ratio(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def indel(a: str, b: str) -> float:

@@ -17,7 +17,7 @@ from vellum.llm.common import shared_folder, table
 from vellum.llm.packing import pack_documents
 from vellum.llm.quality_rules import keep_good_documents
 from vellum.llm.secret_scan import redact_documents
-from vellum.llm.similar import drop_similar
+from vellum.llm.simhash import drop_similar_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+
+    SimHash proposes them: fingerprints of whole sets within two bits, and Golay-code keys of the fingerprints of parts.
+    """
+    return drop_similar_copies(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

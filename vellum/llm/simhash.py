@@ -5,6 +5,12 @@ A fingerprint of 64 bits is cut into three segments. If two fingerprints differ
 padded to the 23 bits of the perfect binary Golay code, is decoded: it and all its one-bit neighbours lie in the spheres of
 one or six codewords, so each fingerprint has one or a few codeword indices, and two segments that differ in at most one bit
 share one of them. (table, equal segment, codeword index) is the key of a join; joined pairs are verified with all 64 bits.
+
+Two bits are exact copies and little more: at a Jaccard similarity of 0.8 fingerprints differ in about ten bits, and keys for
+so many tell nothing apart. For looser copies (drop_similar_copies) the fingerprints of parts are added: the set of shingles is
+dealt by hash, so that similar texts deal alike, and a part that holds none of the differing shingles has the same fingerprint
+in both. The codeword indices of its three segments are its key. All texts that share a key or whose own fingerprints are linked
+are held against each other by their whole sets.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import arrow_map, checkpoint, fresh, row_key, strings
 from vellum.llm.graph import connected_components
+from vellum.llm.similar import SIMILARITY, WORDS, drop_similar
 
 #: Fixed values of the perfect binary Golay code: length, message bits, generator polynomial.
 GOLAY_LENGTH, GOLAY_MESSAGE, GOLAY_POLYNOMIAL = 23, 12, 0xC75
@@ -30,6 +37,10 @@ RADIUS = 2
 #: A key with more candidate pairs than this is not paired: its members are linked through shared midpoints instead.
 PAIRS_OF_A_KEY = 256
 HASHES_AT_ONCE = 8192
+#: Parts of a set, and the shingles that a part must hold to have a key: smaller ones meet wherever a phrase is shared. So many
+#: it holds on average in a set of 2 ** level shingles, and up to twice as many below the next level.
+PARTS, PART_SHINGLES = 48, 3
+_DEAL = np.random.default_rng(7).integers(0, 1 << 31, PARTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -157,3 +168,70 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias(key))
     keyed = docs.withColumn(key, row_key(id_column, text_column))
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*(keyed[c] for c in docs.columns))
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprints of consecutive runs of hashes, of these sizes (none is 0): bits set in over half of a run."""
+    counts = np.zeros((len(sizes), 64), dtype=np.int64)
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        bits = np.unpackbits(hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.diff(run[at : at + HASHES_AT_ONCE], prepend=-1))
+        counts[run[at + first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def part_keys(found: np.ndarray) -> np.ndarray:
+    """Keys of the parts of a set of shingles: level, part and the codeword indices of the three segments of its fingerprint.
+
+    A part is a sample of the set by hash at a rate that the level fixes. The level is that of the size; a set that may have
+    a partner of the next level (at SIMILARITY or more) has the keys of both. Levels under 2 have one part, the whole set.
+    """
+    level = len(found).bit_length() - 1
+    whole = level < 2
+    mixed = (found >> np.uint64(32)).astype(np.uint32)
+    limit = (1 << 32) if whole else (PART_SHINGLES << 32) >> level
+    parts, rows, values = [], [], []
+    for at in range(0, len(found), HASHES_AT_ONCE):
+        dealt = mixed[None, at : at + HASHES_AT_ONCE] * _DEAL[: 1 if whole else PARTS, None]
+        part, row = np.nonzero(dealt < limit)
+        parts.append(part)
+        rows.append(row + at)
+        values.append(dealt[part, row])
+    part, row, value = np.concatenate(parts), np.concatenate(rows), np.concatenate(values)
+    order = np.argsort(part, kind="stable")
+    part, hashes, value = part[order], found[row[order]], value[order]
+    keys = [_keys_of_parts(level, part, hashes)]
+    if len(found) >= SIMILARITY * (2 << level) - 1e-6 and not whole:
+        keys.append(_keys_of_parts(level + 1, *(x[value < limit >> 1] for x in (part, hashes))))
+    return np.concatenate(keys)
+
+
+def _keys_of_parts(level: int, part: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    numbers, sizes = np.unique(part, return_counts=True)
+    enough = (sizes >= PART_SHINGLES) | (level < 2)
+    prints = majority(hashes[np.repeat(enough, sizes)], sizes[enough])
+    keys = np.int64(level << 6) | numbers[enough].astype(np.int64)
+    for at, width in SEGMENTS:
+        keys = keys << np.int64(GOLAY_MESSAGE) | golay_index(((prints >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64))
+    return keys
+
+
+def set_keys(found: np.ndarray) -> list[int]:
+    """Of a set of shingles: its own fingerprint, then the keys of its parts; an empty one has none."""
+    return [int(majority(found, np.array([len(found)])).view(np.int64)[0]), *part_keys(found).tolist()] if len(found) else []
+
+
+def linked_sets(prints: DataFrame) -> DataFrame:
+    """The set_id of the rows (set_id, keys of set_keys) whose own fingerprint differs from another one in two bits at most."""
+    own = checkpoint(prints.where(F.size("keys") > 0).select("set_id", F.col("keys")[0].alias("fp")))
+    linked = fingerprint_links(own.select("fp").distinct()).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    return own.join(linked, "fp", "left_semi").select("set_id")
+
+
+def drop_similar_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
+    """As drop_similar at SIMILARITY, with the near copies proposed by SimHash: of whole sets by their links, of parts by their keys.
+
+    At a similarity of 0.8 no part agrees, by calculation, for one pair in 17,000 at most, and for fewer above that.
+    """
+    return drop_similar(docs, id_column, text_column, words, SIMILARITY, set_keys, linked_sets)

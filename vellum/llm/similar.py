@@ -1,13 +1,15 @@
-"""Near copies by exact similarity: MinHash keys and rare shingles propose pairs, the whole sets of word shingles decide.
+"""Near copies by exact similarity: keys of the sets of word shingles tell which to look at, the whole sets decide.
 
-Fingerprints of 64 bits cannot propose the pairs: at Jaccard 0.8 they differ in about ten bits, often in more, and keys for
-so many bits tell nothing apart. A MinHash key is the hash of ROWS minima of the set; two sets of Jaccard j agree in each of
-the BANDS keys with probability j ** ROWS, so at 0.8 all keys differ for one pair in 17,000, and for fewer above that. In a
-large group of looser copies nearly all sets share keys, so the sets that share any are joined by their rarest shingles.
+The keys are a parameter: those of SimHash fingerprints (`simhash.drop_similar_copies`) or MinHash keys. A MinHash key is the
+hash of ROWS minima of the set; two sets of Jaccard j agree in each of the BANDS keys with probability j ** ROWS, so at 0.8
+all keys differ for one pair in 17,000, and for fewer above that. In a large group of looser copies nearly all sets share
+keys, so the sets that share any are held against each other by their rarest shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -82,14 +84,15 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.select(F.col("rare.shingle").alias("shingle"), "set_id", "n", (F.col("own") + F.col("at")).alias("pos"))
 
 
-def similar_links(prints: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of sets with a common key that are at least so similar.
+def similar_links(prints: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of proposed sets that are at least so similar.
 
     `prints` has rows (row_key, set_id, n, keys), `texts` rows (row_key, text); texts of one set_id have the same shingles.
-    Sets that share a key with another are the candidates. Which of them are compared is told by their rarest shingles: two
-    sets that are similar enough share one of these, and after the first they share enough must be left of both. Of each
-    rare shingle the members are first compared with the one that holds it earliest. Sets in one component by then cannot
-    change the components; those outside the main component of a shingle are compared with its members in the second round.
+    Sets that share a key with another are proposed, and those that `linked` tells of `prints`. Which of them are compared is
+    told by their rarest shingles: two sets that are similar enough share one of these, and after the first they share enough
+    must be left of both. Of each rare shingle the members are first compared with the one that holds it earliest. Sets in one
+    component by then cannot change the components; those outside the main component of a shingle are compared with its
+    members in the second round.
     """
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -101,7 +104,8 @@ def similar_links(prints: DataFrame, texts: DataFrame, words: int = WORDS, simil
 
     keyed = prints.select("set_id", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    live = keyed.join(shared, "key", "left_semi").select("set_id").distinct()
+    live = keyed.join(shared, "key", "left_semi").select("set_id")
+    live = (live.union(linked(prints)) if linked else live).distinct()
     chosen = prints.join(live, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_key").alias("row_key"))
     sets = checkpoint(arrow_map(texts.join(chosen, "row_key").select("set_id", "text"), cut, "set_id long, found binary").dropDuplicates(["set_id"]))
 
@@ -128,16 +132,20 @@ def similar_links(prints: DataFrame, texts: DataFrame, words: int = WORDS, simil
     return first.union(verified(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
 
-def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_similar(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
+    keys: Callable[[np.ndarray], Sequence[int]] = minhash_keys, linked: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The columns of `docs`, one row of each component of near copies: that with the least doc_id (null ids last, then the least text hash).
 
-    Near copies are texts whose sets of word shingles have at least this Jaccard similarity, counted on the whole sets. Null
-    texts are empty, and all texts without a word are one component. Of repeated rows one stays.
+    Near copies are texts whose sets of word shingles have at least this Jaccard similarity, counted on the whole sets, of
+    those that `keys` and `linked` propose. Null texts are empty, and all texts without a word are one component. Of
+    repeated rows one stays.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, words) for t in strings(batch.column(1))]
-        columns = [pa.array(map(_set_id, found), pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(minhash_keys, found), pa.list_(pa.int64()))]
+        columns = [pa.array(map(_set_id, found), pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(keys, found), pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "set_id", "n", "keys"])
 
     (key,) = fresh(docs, "row_key")
@@ -145,7 +153,7 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     schema = f"row struct<doc_id: {dict(narrow.dtypes)['doc_id']}, row_key: string>, set_id long, n long, keys array<long>"
     prints = checkpoint(arrow_map(narrow.select(F.struct("doc_id", "row_key").alias("row"), "text"), step, schema).select("row.doc_id", "row.row_key", "set_id", "n", "keys"))
     rows = prints.select("doc_id", "row_key", "set_id")
-    roots = connected_components(similar_links(prints, narrow.select("row_key", "text"), words, similarity))
+    roots = connected_components(similar_links(prints, narrow.select("row_key", "text"), words, similarity, linked))
     found = rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias(key))
     keyed = docs.withColumn(key, row_key(id_column, text_column))

@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_similar import brute_kept, brute_sets, near_rows
-from vellum.llm import simhash
+from vellum.llm import common, simhash
 from vellum.llm.simhash import PARTS, RADIUS, drop_similar_copies, linked_sets, majority, part_keys, set_keys
 from vellum.llm.similar import jaccard, shingles
 
@@ -64,7 +64,13 @@ def test_linked_sets_match_brute_force(spark):
     assert got == {i for i, k in keys.items() if k[0] in near} and got
 
 
-def test_odd_rows(spark, odd):
-    kept = drop_similar_copies(odd)
-    assert kept.columns == odd.columns and kept.count() == 7
-    assert drop_similar_copies(odd.limit(0)).count() == 0
+def test_odd_rows_and_crowded_bitmaps(spark, odd, monkeypatch):
+    """Chance hits in the bitmaps change nothing."""
+    rows = near_rows(9)
+    frame = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    for size in (1 << 23, 128):
+        monkeypatch.setattr(common, "MARKS", size)
+        kept = drop_similar_copies(odd)
+        assert kept.columns == odd.columns and kept.count() == 7
+        assert drop_similar_copies(odd.limit(0)).count() == 0
+        assert sorted(r.doc_id for r in drop_similar_copies(frame).collect()) == brute_kept(rows)

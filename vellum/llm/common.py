@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker works on at once. Spark bounds a batch by its bytes; within it results are made in smaller pieces.
 PIECE_ROWS = 500
+#: Bits of a bitmap of hashes: 131,072 words, whatever the input.
+MARKS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,24 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def marks(keys: DataFrame) -> DataFrame:
+    """Of the values of the only column: rows (word, bits) of a bitmap with a bit for each value's hash, at most MARKS / 64 of them."""
+    placed = keys.toDF("key").select(F.expr(f"pmod(xxhash64(key), {MARKS})").alias("place"))
+    return checkpoint(placed.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")))
+
+
+def marked(df: DataFrame, column: str, bitmap: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose value may be among those of the bitmap or, with among=False, all others, which surely are not.
+
+    The bitmap is broadcast, so of a table that is to be joined with few keys only these and some chance hits are shuffled.
+    """
+    word, bits = fresh(df, "word", "bits")
+    place = F.pmod(F.xxhash64(column), F.lit(MARKS))
+    known = df.withColumn(word, F.floor(place / 64)).join(F.broadcast(bitmap.toDF(word, bits)), word, "left")
+    hit = F.call_function("getbit", F.coalesce(bits, F.lit(0).cast("long")), (place % 64).cast("int")) == 1
+    return known.where(hit if among else ~hit).select(*(known[c] for c in df.columns))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of `df` has, whatever its case."""
     taken, found = {c.lower() for c in df.columns}, []

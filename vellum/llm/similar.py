@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow_map, checkpoint, fresh, row_key, strings
+from vellum.llm.common import arrow_map, checkpoint, fresh, marked, marks, row_key, strings
 from vellum.llm.graph import connected_components
 
 #: Words of a shingle, and the Jaccard similarity of the sets of shingles from which texts are near copies.
@@ -102,15 +102,17 @@ def similar_links(prints: DataFrame, texts: DataFrame, words: int = WORDS, simil
         found = [jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    keyed = prints.select("set_id", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    live = keyed.join(shared, "key", "left_semi").select("set_id")
-    live = (live.union(linked(prints)) if linked else live).distinct()
-    chosen = prints.join(live, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_key").alias("row_key"))
-    sets = checkpoint(arrow_map(texts.join(chosen, "row_key").select("set_id", "text"), cut, "set_id long, found binary").dropDuplicates(["set_id"]))
+    keyed = prints.select("set_id", F.explode("keys").alias("key"))
+    shared = checkpoint(keyed.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a <> b").select("key"))
+    live = marked(keyed, "key", marks(shared)).join(shared, "key", "left_semi").select("set_id")
+    live = checkpoint((live.union(linked(prints)) if linked else live).distinct())
+    chosen = checkpoint(prints.join(live, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_key").alias("row_key")))
+    picked = marked(texts, "row_key", marks(chosen.select("row_key"))).join(chosen, "row_key").dropDuplicates(["row_key"])  # repeated rows
+    sets = checkpoint(arrow_map(picked.select("set_id", "text"), cut, "set_id long, found binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("set_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("found").alias("y"))
+        pairs = checkpoint(pairs)
+        left, right = (marked(sets, "set_id", marks(pairs.select(c))).toDF(c, found) for c, found in (("a", "x"), ("b", "y")))
         return checkpoint(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), judge, "a long, b long"))
 
     def may_be_similar(n: str, pos: str, other_n: str, other_pos: str):
@@ -140,7 +142,7 @@ def drop_similar(
 
     Near copies are texts whose sets of word shingles have at least this Jaccard similarity, counted on the whole sets, of
     those that `keys` and `linked` propose. Null texts are empty, and all texts without a word are one component. Of
-    repeated rows one stays.
+    repeated rows one stays. Rows that are alone in their component are not shuffled.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +156,12 @@ def drop_similar(
     prints = checkpoint(arrow_map(narrow.select(F.struct("doc_id", "row_key").alias("row"), "text"), step, schema).select("row.doc_id", "row.row_key", "set_id", "n", "keys"))
     rows = prints.select("doc_id", "row_key", "set_id")
     roots = connected_components(similar_links(prints, narrow.select("row_key", "text"), words, similarity, linked))
-    found = rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias(key))
+    found = checkpoint(rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    groups = checkpoint(found.groupBy("root").agg(first, F.count("*").alias("rows")))
+    kept = groups.select(F.col("first.row_key").alias(key))
+    several = marks(found.join(groups.where("rows > 1"), "root", "left_semi").select("row_key"))
     keyed = docs.withColumn(key, row_key(id_column, text_column))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*(keyed[c] for c in docs.columns))
+    alone = marked(keyed, key, several, among=False)
+    others = marked(keyed, key, several).join(kept, key, "left_semi").dropDuplicates([key])
+    return alone.select(*(alone[c] for c in docs.columns)).union(others.select(*(others[c] for c in docs.columns)))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that a Python worker works on at once. Spark bounds a batch by its bytes; within it results are made in smaller pieces.
 PIECE_ROWS = 500
@@ -48,6 +49,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` written to the shared folder as a table bucketed by `key`: joins by that key leave its rows where they are.
+
+    There are as many buckets as shuffles have partitions. The table goes from the catalogue at once; its files stay.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored DataFrame that nothing will read again."""
     for file in df.inputFiles()[:1]:
@@ -55,7 +69,7 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = PIECE_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = PIECE_ROWS) -> DataFrame:
     """Apply `step` to pieces of `rows` rows; pieces are independent, so a lost task is simply run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

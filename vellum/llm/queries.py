@@ -12,12 +12,15 @@ from vellum.llm.bpe import encode_documents
 from vellum.llm.chat import format_conversations, read_back, reply_trees
 from vellum.llm.classifier import classify_documents
 from vellum.llm.common import table
+from vellum.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from vellum.llm.packing import pack_documents
+from vellum.llm.passages import drop_repeats
 from vellum.llm.pii import KINDS, find_personal_data, written
 from vellum.llm.quality_rules import rate_documents
 from vellum.llm.secret_scan import scan_documents
 from vellum.llm.sharding import shard_documents
 from vellum.llm.simhash import near_copies
+from vellum.llm.spelling import MISSPELT, group_variants
 from vellum.llm.syncmers import compare_with_edits
 
 
@@ -75,8 +78,27 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(reply_trees(turns.union(added))))
 
 
+def op11_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has an even CRC-32 are tampered with: they lose the line feeds of their text and should not verify."""
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.when(F.crc32(F.coalesce(fields["doc_id"].cast("string"), F.lit("")).cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    docs = docs.select("doc_id", "source", leaf_digest(list(fields.values())).alias("digest"), leaf_digest([*list(fields.values())[:-1], tampered]).alias("digest_now"))
+    found = merkle_manifest(docs, F.col("digest")).withColumn("folded_root", folded(F.col("digest_now"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_symmetric_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"), misspelt=MISSPELT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_weak_supervision, op4_secret_forest, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op9_quality_classifier, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_weak_supervision, op4_secret_forest, op5_syncmers, op6_histogram_sort, op7_word_bpe, op8_best_fit_packing, op9_quality_classifier, op10_reply_trees, op11_level_doubling, op12_merkle_manifest, op13_symmetric_delete)}
 
 
 CHAT_SQL = r"""
@@ -139,6 +161,25 @@ SELECT *, NOT base_failed AND left_words >= 10 AND left_words >= 0.2 * n_words A
 """
 
 
+PASSAGES_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+), later AS (
+  SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM windows) WHERE doc_id > least
+), gone AS (
+  SELECT DISTINCT r, i + k AS i FROM later, (SELECT unnest(range(50)) AS k)
+), placed AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+  SELECT p.r, string_agg(word, ' ' ORDER BY p.i) AS text, count(*) AS n FROM placed p ANTI JOIN gone g ON p.r = g.r AND p.i = g.i GROUP BY p.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has neither XXH64 nor the tokenizers, forests and fingerprints of the other queries; those are tested by brute force."""
-    return {"op2_quality_rules": QUALITY_SQL, "op10_reply_trees": CHAT_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op10_reply_trees": CHAT_SQL, "op11_level_doubling": PASSAGES_SQL}

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark import RDD, StorageLevel
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.llm.common import fresh, shared_folder, stored
 
-#: Consecutive nodes below a node of the next level; nodes that a task hashes in a superstep, at least and at most.
-FAN_OUT, LEAST_OF_A_TASK, MOST_OF_A_TASK = 3, 1_000, 50_000
+#: Consecutive nodes below a node of the next level; levels that a superstep climbs; vertices that a task takes in a superstep,
+#: at least and at most; supersteps between checkpoints.
+FAN_OUT, LEVELS, LEAST_OF_A_TASK, MOST_OF_A_TASK, CHECKPOINT_STEPS = 3, 3, 1_000, 20_000, 2
+SPAN = FAN_OUT**LEVELS
 
-Key = tuple[int, int]  # group, place in its level
+Key = tuple[int, int]  # group, place among the vertices of a superstep
 
 
 def digest(parts: list[bytes]) -> bytes:
@@ -58,48 +60,81 @@ def _tasks(nodes: int, parallel: int) -> int:
     return max(-(-nodes // MOST_OF_A_TASK), min(parallel, -(-nodes // LEAST_OF_A_TASK)), 1)
 
 
-def climb(leaves: RDD, nodes: int) -> tuple[list[RDD], RDD]:
-    """Upward supersteps over `leaves`: ((group, place), (digest, nodes of the group at this level)).
+def vertices(sizes: DataFrame, size: str) -> list[int]:
+    """The vertices of all groups in each superstep, from the leaves up to the one in which every group has a single one."""
+    found = sizes.agg(*(F.sum(F.ceil(F.col(size) / SPAN**step)).alias(str(step)) for step in range(14))).first()
+    counts = [int(n or 0) for n in found]
+    return counts[: counts.index(counts[-1]) + 1]
 
-    Every node messages its digest to its parent; a parent that has all its children hashes them in their order and is a node
-    of the next superstep. A group of one node is complete, its digest is the group's root. Returns for each level the
-    parents with their children's digests ((group, place), [digest, ...]), and the roots ((group, 0), digest). What a
-    superstep gives is written to the shared folder, so a lost executor costs one superstep at most.
+
+def levels_of(digests: list[bytes], nodes: int) -> tuple[list[list[bytes]], bytes, int]:
+    """The levels that a vertex hashes, from the digests it was told up; its own digest; the nodes that its group has then.
+
+    A group of one node is complete: it isn't hashed again.
+    """
+    levels = []
+    while nodes > 1 and len(levels) < LEVELS:
+        levels.append(digests)
+        digests, nodes = [digest(digests[k : k + FAN_OUT]) for k in range(0, len(digests), FAN_OUT)], -(-nodes // FAN_OUT)
+    return levels, digests[0], nodes
+
+
+def climb(leaves: RDD, counts: list[int]) -> tuple[list[RDD], RDD]:
+    """Upward supersteps over `leaves`: ((group, place), (digest, nodes of the group)).
+
+    Every node messages its digest to the vertex that stands for its ancestor LEVELS above; a vertex that has been told by all
+    hashes the levels between and is a node of the next superstep. A group of one node is complete, its digest is the group's
+    root. `counts` are the vertices of each superstep. Returns for each superstep the vertices with what they were told
+    ((group, place), (digests, nodes)), and the roots ((group, 0), digest). Every few supersteps, and the roots, are written
+    to the shared folder, so that a lost executor costs a few supersteps at most.
     """
-    levels: list[RDD] = []
-    roots, now = leaves.context.emptyRDD(), leaves
-    while nodes:
-        roots = roots.union(now.filter(lambda x: x[1][1] == 1).mapValues(lambda v: v[0]))
-        messages = now.filter(lambda x: x[1][1] > 1).map(lambda x: ((x[0][0], x[0][1] // FAN_OUT), (x[0][1] % FAN_OUT, *x[1])))
-        parents = messages.groupByKey(_tasks(nodes, leaves.context.defaultParallelism)).mapValues(sorted).persist(StorageLevel.DISK_ONLY)
-        parents.checkpoint()
-        nodes = parents.count()
-        parents.unpersist()
-        levels.append(parents.mapValues(lambda found: [d for _, d, _ in found]))
-        now = parents.mapValues(lambda found: (digest([d for _, d, _ in found]), -(-found[0][2] // FAN_OUT)))
-    return levels[:-1], roots
-
-
-def descend(levels: list[RDD], roots: RDD) -> RDD:
+    told: list[RDD] = []
+    parallel, now = leaves.context.defaultParallelism, leaves
+    done = [now.filter(lambda x: x[1][1] == 1)]
+    for step, expected in enumerate(counts[1:], 1):
+        messages = now.filter(lambda x: x[1][1] > 1).map(lambda x: ((x[0][0], x[0][1] // SPAN), (x[0][1] % SPAN, *x[1])))
+        vertex = messages.groupByKey(_tasks(expected, parallel)).mapValues(_ordered)
+        if step % CHECKPOINT_STEPS == 1:
+            vertex.checkpoint()
+        told.append(vertex)
+        now = vertex.mapValues(lambda v: levels_of(*v)[1:])
+        done.append(now.filter(lambda x: x[1][1] == 1))
+    roots = leaves.context.union(done).mapValues(lambda v: v[0]).partitionBy(_tasks(counts[-1], parallel))
+    roots.checkpoint()
+    return told, roots
+
+
+def _ordered(messages: Iterable[tuple]) -> tuple[list[bytes], int]:
+    found = sorted(messages)
+    return [d for _, d, _ in found], found[0][2]
+
+
+def descend(told: list[RDD], roots: RDD) -> RDD:
     """Downward supersteps: from ((group, 0), (mark, path)) of the roots to ((group, place), (mark, path)) of the leaves.
 
-    A parent messages each child its siblings' digests, before its own path. A path is a list of (place in its run, siblings
-    in their order), from the node up to the root. Nodes of a level that no parent waits for are roots of lower groups: they
-    stay until their level comes.
+    A vertex messages each node that told it the siblings' digests of the levels between, before its own path. A path is a
+    list of (place in its run, siblings in their order), from the node up to the root. What no vertex of a superstep waits
+    for are roots of lower groups: they stay until their superstep comes.
     """
     now = roots
-    for parents in reversed(levels):
-        now = parents.cogroup(now.partitionBy(parents.getNumPartitions()), numPartitions=parents.getNumPartitions()).flatMap(_told)
+    for vertex in reversed(told):
+        now = vertex.cogroup(now.partitionBy(vertex.getNumPartitions()), numPartitions=vertex.getNumPartitions()).flatMap(_tell)
     return now
 
 
-def _told(node: tuple[Key, tuple]) -> Iterator[tuple[Key, tuple]]:
-    (group, place), (children, told) = node
+def _tell(node: tuple[Key, tuple]) -> Iterator[tuple[Key, tuple]]:
+    (group, place), (known, told) = node
     mark, path = next(iter(told))
-    found = list(children)
-    for digests in found:
+    found = list(known)
+    for digests, nodes in found:
+        levels = levels_of(digests, nodes)[0]
         for k in range(len(digests)):
-            yield (group, place * FAN_OUT + k), (mark, [(k, digests[:k] + digests[k + 1 :]), *path])
+            own, at = [], k
+            for level in levels:
+                first = at - at % FAN_OUT
+                own.append((at % FAN_OUT, level[first:at] + level[at + 1 : first + FAN_OUT]))
+                at //= FAN_OUT
+            yield (group, place * SPAN + k), (mark, own + path)
     if not found:
         yield (group, place), (mark, path)
 
@@ -127,18 +162,18 @@ def merkle_manifest(docs: DataFrame, leaf: Column, group_column: str = "source",
     placed = rows.join(sizes, F.col(group_column).eqNullSafe(F.col(key))).drop(key)
     placed = stored(numbered(placed, [g], [id_column, own], place))
     leaves = placed.select(g, place, own, size).rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), r[3])))
-    levels, subroots = climb(leaves, placed.count())
+    told, subroots = climb(leaves, vertices(sizes, size))
     groups = sizes.count()
-    upper, roots = climb(subroots.map(lambda x: ((0, x[0][0]), (x[1], groups))), groups)
-    found = roots.values().take(1)
+    upper, roots = climb(subroots.map(lambda x: ((0, x[0][0]), (x[1], groups))), vertices(sizes.agg(F.count("*").alias(size)), size))
+    found = roots.values().collect()
     root = found[0].hex() if found else None
     down = descend(upper, spark.sparkContext.parallelize([((0, 0), (None, []))] if found else [], 1))
     marked = down.map(lambda x: ((x[0][1], 0), x[1][1])).join(subroots).map(lambda x: (x[0], (x[1][1], x[1][0])))
-    paths = descend(levels, marked).map(lambda x: (*x[0], bytearray(x[1][0]), [(k, [bytearray(d) for d in siblings]) for k, siblings in x[1][1]]))
-    told = spark.createDataFrame(paths, f"`{g}` long, `{place}` long, `{sub}` binary, `{binary_path}` {PATH}")
+    paths = descend(told, marked).map(lambda x: (*x[0], bytearray(x[1][0]), [(k, [bytearray(d) for d in siblings]) for k, siblings in x[1][1]]))
+    found_paths = spark.createDataFrame(paths, f"`{g}` long, `{place}` long, `{sub}` binary, `{binary_path}` {PATH}")
     hexed = F.transform(binary_path, lambda s: F.struct(s["place"].alias("place"), F.transform(s["siblings"], lambda d: F.lower(F.hex(d))).alias("siblings")))
     values = (F.lower(F.hex(own)), F.lower(F.hex(sub)), F.lit(root).cast("string"), hexed)
-    return placed.join(told, [g, place]).select(*docs.columns, *(v.alias(a) for v, a in zip(values, added, strict=True)))
+    return placed.join(found_paths, [g, place]).select(*docs.columns, *(v.alias(a) for v, a in zip(values, added, strict=True)))
 
 
 def proof_digest(path: Column) -> Column:

@@ -3,12 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.unit import plain_latex
+
 from vellum.functions import latex
 from vellum.functions import similarity as S
+from vellum.functions import tex as X
 from vellum.functions import text as T
 from vellum.operators import latex_tree
-from vellum.operators.latex_tree import node_rows, parse_version
-from vellum.operators.resolve import include_order
+from vellum.operators.latex_tree import LatexParser, node_rows
 from vellum.sources import files
 from vellum.sources.bibtex import item_fields, parse_entries
 
@@ -21,7 +23,7 @@ def test_text_rules(spark):
     assert one(spark, T.sentences(F.lit("See Fig. 2 now. Then e.g. this! Ok? A"))) == ["See Fig. 2 now.", "Then e.g. this!", "Ok?"] == latex.sentences("See Fig. 2 now. Then e.g. this! Ok? A")
     assert one(spark, T.sentences(F.lit("By J. Smith now."))) == ["By J.", "Smith now."]
     for tex, want in (("a % b\n", "a \n"), ("% x\n", ""), ("50\\% of\n", "50\\% of\n\n"), ("a\\\\% c\n", "a\\\n")):
-        assert one(spark, T.strip_comments(F.lit(tex))) == want == latex.strip_comments(tex)
+        assert one(spark, T.strip_comments(F.lit(tex))) == want == plain_latex.strip_comments(tex)
     assert one(spark, T.includes(F.lit("\\input{a} \\include b.tex % \\input{c}\n\\includegraphics{d}"))) == ["a.tex", "b.tex"]
     assert one(spark, T.clean_formatting(F.lit("\\centering a~b\\\\ [ht] \\citep{x} c\\label{l}"))) == "a b c\\label{l}"
     assert one(spark, T.year_of(F.lit("x1999 in 2004, 2005"))) == "2004" and one(spark, T.year_of(F.lit("none"))) is None
@@ -40,43 +42,114 @@ def test_similarities(spark):
     score = S.match_score(F.lit("deep learning neural networks"), F.lit("deep learning for neural networks"), names("smith john", "doe jane"), names("smith john", "brown bob"), F.lit("2020"), F.lit("2020"))
     assert one(spark, score) == pytest.approx(0.8575, abs=1e-4)
     assert [one(spark, S.year_score(F.lit(a), F.lit(b))) for a, b in (("2023", "2023"), ("2023", "2024"), ("2023", "2025"), (None, "2023"), ("x", "2023"))] == [1.0, 0.5, 0.0, 0.0, 0.0]
-    assert S.greedy_soft_jaccard("a b c", "a b d") == 0.5 and S.indel("", "") == 1.0
-    assert S.greedy_author_ratio([["a", "b"]], [["a", "b"], ["c"]]) == 1.0
-
-
-def test_indel_matches_a_plain_longest_common_subsequence():
-    rng = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(12))) for _ in range(2))
-        row = [0] * (len(b) + 1)
-        for x in a:
-            row = _next(row, x, b)
-        assert S.indel(a, b) == pytest.approx(2 * row[-1] / (len(a) + len(b)) if a or b else 1.0)
-
-
-def _next(row, x, b):
-    new = [0]
-    for j, y in enumerate(b):
-        new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-    return new
 
 
-def test_latex_kernels():
-    assert latex.balanced("{a{b}\\}}", 0) == 7 and latex.balanced("{a", 0) is None and latex.balanced("a", 0) is None
-    assert latex.find_title("\\title[s]{A {b}\\\\ c}") == "A {b} c" and latex.find_title("\\titlefoo{x}") is None
-    macros = latex.macro_map(["\\newcommand{\\a}{X\\b}\\def\\b{Y}\\newcommand{\\c}[1]{no}"])
-    assert macros == {"\\a": "XY", "\\b": "Y"} and latex.expand("\\a \\ab \\b", macros) == "XY \\ab Y"
-    assert latex.remove_styles("\\textbf{a \\emph{b}} \\bfseries c \\other{d}") == "a b c \\other{d}"
+def plain_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def plain_greedy(left, right, least):
+    used, reached = set(), []
+    for x in left:
+        best, at = least, None
+        for i, y in enumerate(right):
+            if i not in used and plain_ratio(x, y) > best:
+                best, at = plain_ratio(x, y), i
+        if at is not None:
+            used.add(at)
+            reached.append(best)
+    return reached
+
+
+def test_indel_ratio_matches_a_plain_longest_common_subsequence(spark):
+    draw = random.Random(7)
+    word = lambda n, letters: "".join(draw.choice(letters) for _ in range(n))
+    rows = [(word(draw.randrange(12), "abc"), word(draw.randrange(12), "abcé😀")) for _ in range(60)]
+    rows += [(word(n, "abcd"), word(m, "abcd")) for n in (59, 60, 61, 119, 120, 121, 200) for m in (1, 60, 150)] + [("", ""), ("", "a"), ("a" * 130, "a" * 129), (None, "a"), (None, None)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.indel_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in got:
+        assert r.r == pytest.approx(plain_ratio(r.a or "", r.b or "")), r
+
+
+def test_greedy_scores_match_a_plain_assignment(spark):
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcdefgh"[:n]) for _ in range(draw.randrange(1, 9)))
+    rows = []
+    for _ in range(80):
+        words = [word(3) + draw.choice(("", "tion", "ology")) for _ in range(6)]
+        left, right = draw.choices(words, k=draw.randrange(5)), draw.choices([*words, *(w + "s" for w in words)], k=draw.randrange(5))
+        rows.append((" ".join(left), "  ".join(right), [[w, "x"] for w in left], [[w] for w in right]))
+    rows += [(None, "a", None, [["a"]]), ("", "", [], []), ("a b c", "a b d", [["a", "b"]], [["a", "b"], ["c"]]), ("q" * 70 + " b", "q" * 69 + " b", [["q" * 70]], [["q" * 69], []])]
+    frame = spark.createDataFrame(rows, "a string, b string, x array<array<string>>, y array<array<string>>")
+    plan = frame.select(S.soft_jaccard(F.col("a"), F.col("b")).alias("t"), S.author_ratio(F.col("x"), F.col("y")).alias("n"))
+    assert "Python" not in plan._jdf.queryExecution().toString() and "Arrow" not in plan._jdf.queryExecution().toString()
+    for r in frame.select("*", S.soft_jaccard(F.col("a"), F.col("b")).alias("t"), S.author_ratio(F.col("x"), F.col("y")).alias("n")).collect():
+        left, right = (r.a or "").split(), (r.b or "").split()
+        n = len(plain_greedy(left, right, 0.8))
+        assert r.t == pytest.approx(n / (len(left) + len(right) - n) if left and right else 0.0), r
+        mine, theirs = ([" ".join(t) for t in side or []] for side in (r.x, r.y))
+        assert r.n == pytest.approx(sum(plain_greedy(mine, theirs, -1)) / len(mine) if mine and theirs else 0.0), r
+
+
+def test_latex_rules(spark):
+    assert [one(spark, X.closing(F.lit(t))) for t in ("{a{b}\\}}", "{a", "a", "")] == [7, None, None, None]
+    assert one(spark, X.find_title(F.lit("\\title[s]{A {b}\\\\ c}"))) == "A {b} c" and one(spark, X.find_title(F.lit("\\titlefoo{x}"))) is None
+    macros = X.macro_map(X.macros_of(F.lit("\\newcommand{\\a}{X\\b}\\def\\b{Y}\\newcommand{\\c}[1]{no}")))
+    assert [tuple(m) for m in one(spark, macros)] == [("\\a", "XY"), ("\\b", "Y")] and one(spark, X.expand(F.lit("\\a \\ab \\b"), macros)) == "XY \\ab Y"
+    assert one(spark, X.remove_styles(F.lit("\\textbf{a \\emph{b}} \\bfseries c \\other{d}"))) == "a b c \\other{d}"
     assert latex.heading("\\section*[x]{A {b} c} rest") == ("section", "A {b} c", "rest") and latex.heading("\\appendix") is None
-    assert latex.reflow_headings("\\section{a\nb}") == "\\section{a\nb}" and latex.reflow_headings("\\section{a\nb}", True) == "\\section{a b}"
-    assert include_order({"m.tex": "\\input{a}\\input{x/b}", "a.tex": "\\input{m}", "b.tex": ""}, "m.tex") == ["m.tex", "a.tex", "b.tex"]
+    assert one(spark, X.reflow_headings(F.lit("\\section{a\nb} \\paragraph{open"))) == "\\section{a b} \\paragraph{open"
+    files_ = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, i)).cast("array<string>").alias("includes")) for n, i in (("m.tex", ["a.tex", "x/b.tex", "none.tex", "./c.tex"]), ("a.tex", ["m.tex", "c.tex"]), ("b.tex", []), ("c.tex", ["b.tex"]))))
+    assert one(spark, X.include_order(files_, F.lit("m.tex"))) == ["m.tex", "a.tex", "c.tex", "b.tex"]
+
+
+def test_latex_rules_match_plain_ones(spark):
+    draw = random.Random(11)
+    pieces = ["\\textbf", "\\emph", "\\bfseries", "\\mathrm", "{", "}", "{", "}", " ", "a", "b c", "\\{", "\\\\", "\n", "% x", "\\%", "\\newcommand", "{\\foo}", "\\def", "\\foo", "\\ba", "\\gdef\\ba", "[0]", "[1]", "\\title", "[s]", "\\section", "\\section*{", "\\noindent", "\\if", "\\fi", "$1"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(40))) for _ in range(400)]
+    texts += ["\\def\\ba{x{\\def\\foo{y$1\\\\z}}}\\title {\\foo}", "\\textbf{" * 20 + "x" + "}" * 20, "\\te\\emph{xtbf}{x}", "\\emph{\\textbf}{x}", "\\emph{\\bfseries} \\foo"]
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", X.closing(c).alias("closing"), X.find_title(c).alias("title"), X.macros_of(c).alias("macros"), X.macro_map(X.macros_of(c)).alias("map"), X.remove_styles(c).alias("styles"), X.reflow_headings(c).alias("reflowed"),
+        X.expand(c, X.macro_map(X.macros_of(c))).alias("expanded"), X.prepared(c, X.macro_map(X.macros_of(c)), True).alias("prepared"),
+    )
+    for r in rows.collect():
+        macros = plain_latex.zero_argument_macros(r.t)
+        assert {m.name: m.body for m in r.macros} == macros, r.t
+        assert r.closing == plain_latex.balanced(r.t, 0) and r.title == plain_latex.find_title(r.t), r.t
+        assert {m.name: m.body for m in r.map} == plain_latex.macro_map([r.t]), r.t
+        assert r.styles == plain_latex.remove_styles(r.t) and r.reflowed == plain_latex.reflow_headings(r.t, True), r.t
+        assert r.expanded == plain_latex.expand(r.t, plain_latex.macro_map([r.t])), r.t
+        assert r.prepared.splitlines() == plain_latex.prepared_lines(r.t, plain_latex.macro_map([r.t]), True), r.t
+
+
+def test_include_orders_match_plain_ones(spark):
+    draw, rows = random.Random(12), []
+    for k in range(60):
+        names = [f"f{i}.tex" for i in range(draw.randrange(1, 7))]
+        rows.append((k, [(n, [draw.choice([*names, "x/" + names[0], "./" + names[-1], "none.tex"]) for _ in range(draw.randrange(4))]) for n in names]))
+    frame = spark.createDataFrame(rows, "k int, files array<struct<name: string, includes: array<string>>>")
+    for r in frame.select("files", X.include_order(F.col("files"), F.lit("f0.tex")).alias("order")).collect():
+        order, todo, known = [], ["f0.tex"], {f.name: f.includes for f in r.files}
+        while todo:
+            name = todo.pop().removeprefix("./")
+            name = name if name in known else name.rsplit("/", 1)[-1]
+            if name in known and name not in order:
+                order.append(name)
+                todo += reversed(known[name])
+        assert r.order == order
 
 
 def test_headings_by_length_and_by_level():
     tex = "\\begin{document}\n" + "\n".join(f"\\section{{S{i}}}" for i in range(6)) + "\n\\end{document}"
     parents = lambda rows: [rows[r[1]][5] for r in rows if r[4] == "section"]
-    assert parents(node_rows(parse_version({"m": tex}, "m"))) == [None, "S0", "S1", "S1", "S1", "S1"]
-    assert parents(node_rows(parse_version({"m": tex}, "m", level_aware=True))) == [None] * 6
+    assert parents(node_rows(LatexParser({"m": tex}, "m").parse())) == [None, "S0", "S1", "S1", "S1", "S1"]
+    assert parents(node_rows(LatexParser({"m": tex}, "m", level_aware=True).parse())) == [None] * 6
 
 
 def test_bibliography_entries():

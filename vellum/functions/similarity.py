@@ -1,7 +1,8 @@
-"""Similarities of titles, authors and years. Edit distance and sets are built in; two string kernels run over Arrow batches."""
+"""Similarities of titles, authors and years, as built-in expressions; only the Ratcliff-Obershelp ratio runs over Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -57,69 +58,118 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def indel(a: str, b: str) -> float:
-    """2 * longest common subsequence / sum of lengths, by bits of one long integer; two empty strings are equal."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        shared = row & places.get(c, 0)
-        row = ((row + shared) | (row - shared)) & full
-    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+#: Letters of a block: so many bits of a long take part, and a sum of two blocks and a carry is still one.
+BLOCK = 60
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def greedy_soft_jaccard(title: str | None, other: str | None, threshold: float = 0.8) -> float:
-    """Words of the left title each take the likest unused right word; those above the threshold count as shared."""
-    left, right = (title or "").split(), (other or "").split()
-    if not left or not right:
-        return 0.0
-    used, shared = set(), 0
-    for w in left:
-        best, at = 0.0, -1
-        for i, v in enumerate(right):
-            if i not in used and (2 * min(len(w), len(v)) / (len(w) + len(v)) > max(best, threshold)) and (r := indel(w, v)) > best:
-                best, at = r, i
-        if best > threshold:
-            used.add(at)
-            shared += 1
-    return shared / (len(left) + len(right) - shared)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@F.pandas_udf(DoubleType())
-def soft_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([greedy_soft_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def letters(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def with_masks(text: Column) -> Column:
+    """(text, size, masks): of each letter the places where it stands in the text, as bits, in blocks of BLOCK places."""
+
+    def masks(found: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+        bit = lambda letter, b: lambda sum_, at: F.when(F.get(found, b * BLOCK + at) == letter, sum_.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))).otherwise(sum_)
+        places = lambda b: F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.size(found) - b * BLOCK) - 1)
+        one = lambda letter: F.transform(blocks, lambda b: F.aggregate(places(b), F.lit(0).cast("long"), bit(letter, b)))
+        distinct = F.array_distinct(found)
+        return F.when(F.size(found) > 0, F.map_from_arrays(distinct, F.transform(distinct, one)))
+
+    return F.struct(text.alias("text"), F.length(text).alias("size"), masks(letters(text)).alias("masks"))
+
+
+def longest_common(masked: Column, other: Column) -> Column:
+    """Length of the longest common subsequence of a text with masks and another text, neither of them empty.
+
+    Bit-parallel: a row of the textbook table is one long, or several with a carry between them. A zero bit is a place
+    where the row's value rises.
+    """
+    size, masks = masked["size"], masked["masks"]
+    none = F.lit(0).cast("long")
+    ones = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+    full = ones(F.least(size, F.lit(BLOCK)))
+
+    def row(v: Column, letter: Column) -> Column:
+        return let(v.bitwiseAND(F.coalesce(F.get(F.try_element_at(masks, letter), F.lit(0)), none)), lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(full))
+
+    def long_row(v: Column, letter: Column) -> Column:
+        def block(state: Column, b: Column) -> Column:
+            mine = F.get(v, b)
+            u = mine.bitwiseAND(F.coalesce(F.get(F.try_element_at(masks, letter), b), none))
+            total = mine + u + state["carry"]
+            return F.struct(F.call_function("shiftright", total, F.lit(BLOCK)).alias("carry"), F.concat(state["out"], F.array(total.bitwiseAND(F.lit((1 << BLOCK) - 1)).bitwiseOR(mine - u))).alias("out"))
+
+        start = F.struct(none.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), start, block)["out"]
+
+    short = F.bit_count(F.aggregate(letters(other), full, row))
+    blocks = F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))
+    rows = F.aggregate(letters(other), F.transform(blocks, lambda b: F.lit((1 << BLOCK) - 1)), long_row)
+    counts = F.zip_with(rows, blocks, lambda v, b: F.bit_count(v.bitwiseAND(ones(F.least(F.lit(BLOCK), size - b * BLOCK)))))
+    return size - F.when(size <= BLOCK, short).otherwise(F.aggregate(counts, F.lit(0), lambda s, n: s + n))
+
+
+def _indel(masked: Column, other: Column) -> Column:
+    both = masked["size"] + F.length(other)
+    return F.when(masked["text"] == other, 1.0).when((masked["size"] == 0) | (other == ""), 0.0).otherwise(2 * longest_common(masked, other) / both)
 
 
-def greedy_author_ratio(left: list | None, right: list | None) -> float:
+def indel_ratio(a: Column, b: Column) -> Column:
+    """2 * longest common subsequence / sum of lengths; nulls are empty, two empty strings are equal."""
+    return let(with_masks(F.coalesce(a, F.lit(""))), lambda x: _indel(x, F.coalesce(b, F.lit(""))))
+
+
+def _greedy(left: Column, right: Column, ratio: Callable[[Column, Column], Column], least: Column) -> Column:
+    """The ratios that the left strings reach, each with the likest right one that no earlier one has taken, the first of equals.
+
+    Taken is a right string whose ratio is above `least`; left strings without one reach nothing.
+    """
+
+    def take(state: Column, x: Column) -> Column:
+        open_ = F.transform(right, lambda y, k: F.when(F.array_contains(state["used"], k), -1.0).otherwise(ratio(x, y)))
+        chosen = let(open_, lambda r: F.struct(F.array_max(r).alias("best"), (F.array_position(r, F.array_max(r)) - 1).cast("int").alias("at")))
+        return let(chosen, lambda c: F.when(c["best"] > least, F.struct(F.array_append(state["used"], c["at"]).alias("used"), F.array_append(state["reached"], c["best"]).alias("reached"))).otherwise(state))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<double>").alias("reached"))
+    return F.aggregate(F.transform(left, with_masks), start, take)["reached"]
+
+
+def soft_jaccard(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    """Words of the left title each take the likest unused right word; those above the threshold count as shared.
+
+    Words that are too far apart by edit distance, which is never above the distance by insertions and deletions, are not
+    compared further.
+    """
+    tokens = lambda t: F.filter(F.split(F.trim(F.coalesce(t, F.lit(""))), r"\s+"), lambda w: w != "")
+
+    def ratio(x: Column, y: Column) -> Column:
+        most = F.floor((1 - threshold) * (x["size"] + F.length(y)) + 1e-9).cast("int")
+        far = F.call_function("levenshtein", x["text"], y, most) < 0
+        return F.when(x["text"] == y, 1.0).when(far, 0.0).otherwise(_indel(x, y))
+
+    def shared(left: Column, right: Column) -> Column:
+        n = F.size(_greedy(left, right, ratio, F.lit(threshold)))
+        return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(n / (F.size(left) + F.size(right) - n))
+
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda t: shared(t["a"], t["b"]))
+
+
+def author_ratio(a: Column, b: Column) -> Column:
     """Each left author (names joined) takes the likest unused right one; the mean ratio over the left authors."""
-    mine, theirs = ([" ".join(t) for t in (side if side is not None else [])] for side in (left, right))
-    if not mine or not theirs:
-        return 0.0
-    used, total = set(), 0.0
-    for a in mine:
-        best, at = -1.0, -1
-        for i, b in enumerate(theirs):
-            if i not in used and (r := indel(a, b)) > best:
-                best, at = r, i
-        if at >= 0:
-            used.add(at)
-            total += best
-    return total / len(mine)
+    names = lambda c: F.transform(F.coalesce(c, F.array().cast("array<array<string>>")), lambda n: F.array_join(n, " "))
 
+    def mean(left: Column, right: Column) -> Column:
+        total = F.aggregate(_greedy(left, right, _indel, F.lit(-0.5)), F.lit(0.0), lambda s, r: s + r)
+        return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(total / F.size(left))
 
-@F.pandas_udf(DoubleType())
-def author_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([greedy_author_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return let(F.struct(names(a).alias("a"), names(b).alias("b")), lambda t: mean(t["a"], t["b"]))
 
 
 def author_overlap(a: Column, b: Column, fuzzy: bool = True) -> Column:

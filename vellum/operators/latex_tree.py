@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import latex
-from vellum.functions.rules import DEPTHS, HARVMAC_TEXT, HARVMAC_TITLE, INCLUDE, LEVELS, applied
+from vellum.functions import tex as tex_rules
+from vellum.functions.rules import DEPTHS, HARVMAC_SENTENCE, HARVMAC_TEXT, HARVMAC_TITLE, INCLUDE, LEVELS, NO_ABSTRACT, applied
 
 NODES = "pub_id string, version string, preorder int, parent_preorder int, depth int, subtree_end int, node_type string, title string, label string, content string, error string"
 MATH = "equation|align|gather|eqnarray"
@@ -51,20 +54,15 @@ class _Math:
 
 
 class LatexParser:
-    """Reads lines in order; what is tried first decides. level_aware gives headings their nearest higher heading as parent,
-    instead of the original rule, which cuts the stack of open headings to a length."""
+    """Reads the lines of texts made ready by functions.tex, in order; what is tried first decides. level_aware gives headings
+    their nearest higher heading as parent, instead of the original rule, which cuts the stack of open headings to a length."""
 
-    def __init__(self, files: dict[str, str], main: str, level_aware: bool = False, fixed_headings: bool = False):
-        self.files, self.main, self.level_aware, self.fixed = files, main, level_aware, fixed_headings
-        self.root, self.done = Node("document"), set()
+    def __init__(self, files: dict[str, str], main: str, title: str | None = None, level_aware: bool = False):
+        self.files, self.main, self.level_aware = files, main, level_aware
+        self.root, self.done = Node("document", title=title), set()
         self.stack: list[tuple[int, Node]] = [(0, self.root)]
 
     def parse(self) -> Node:
-        macros = latex.macro_map(list(self.files.values()))
-        self.macros = macros
-        title = latex.find_title(self.files.get(self.main, ""))
-        if title:
-            self.root.title = latex.remove_styles(latex.expand(title, macros))
         self._file(self.main, False, ())
         for name in self.files:
             if name not in self.done:
@@ -104,7 +102,7 @@ class LatexParser:
         env: str | None = None  # list or listing
         math: str | None = None
         area: str | None = None  # figure or table
-        for line in map(str.strip, latex.prepared_lines(self.files[name], self.macros, self.fixed)):
+        for line in map(str.strip, self.files[name].splitlines()):
             if not line:
                 self._flush(text)
                 continue
@@ -232,8 +230,8 @@ def _prose(text: str) -> str:
 
 
 def parse_harvmac(tex: str) -> Node:
-    """\\Title, \\newsec, \\appendix, \\subsec; equations by $$ and \\eqn, figures by \\ifig and \\iifig."""
-    tex = re.sub(r"\\lref\s*\\\w+\s*(?:\{[^{}]*\})?", "", latex.strip_comments(tex))
+    """\\Title, \\newsec, \\appendix, \\subsec; equations by $$ and \\eqn, figures by \\ifig and \\iifig. No comments in `tex`."""
+    tex = re.sub(r"\\lref\s*\\\w+\s*(?:\{[^{}]*\})?", "", tex)
     head = re.search(r"\\Title\s*(?=\{)", tex)
     if not head:
         raise ValueError("no Title")
@@ -243,12 +241,11 @@ def parse_harvmac(tex: str) -> Node:
     body = re.split(r"\\bye\b", tex[at:])[0]
     marks = list(re.finditer(r"\\(newsec|appendix)(?![A-Za-z])", body))
     before = body[: marks[0].start()] if marks else body
-    abstract = root.add("section", title="Abstract")
-    for s in latex.sentences(_prose(re.sub(r"\\Date\s*\{[^}]*\}", "", before))):
-        if not re.search(r"\\centerline|\\break|\\let\\includefigures", s) and s.count("{") == s.count("}"):
-            abstract.add("sentence", content=s)
-    if not abstract.children:
-        root.children.remove(abstract)
+    if opening := _prose(re.sub(r"\\Date\s*\{[^}]*\}", "", before)):
+        abstract = root.add("section", title="Abstract")
+        for s in latex.sentences(opening):
+            if not any(mark in s for mark in NO_ABSTRACT) and ("{" in s) == ("}" in s):
+                abstract.add("sentence", content=re.sub(r"\s{2,}", " ", s).replace("\n", " "))
     for mark, nxt in zip(marks, [*marks, None][1:], strict=True):
         name, at = _group(body, mark.end())
         if mark[1] == "appendix":
@@ -269,7 +266,7 @@ def _harvmac_section(section: Node, text: str) -> None:
 def _harvmac_content(parent: Node, text: str) -> None:
     at = 0
     while m := re.compile(r"\$\$|\\eqn(?![A-Za-z])|\\i?ifig(?![A-Za-z])").search(text, at):
-        parent.add_sentences(_prose(text[at : m.start()]))
+        _harvmac_sentences(parent, text[at : m.start()])
         if m[0] == "$$":
             end = text.find("$$", m.end())
             end = len(text) if end < 0 else end
@@ -287,13 +284,13 @@ def _harvmac_content(parent: Node, text: str) -> None:
             third, at = _group(text, at)
         name = re.search(r"[\w./-]+\.(?:eps|ps|pdf|png|jpg)", " ".join((second, third)))
         parent.add("figure", label=label[1] or None, title=_prose(first), content=name[0] if name else _prose(f"{second} {third}"))
-    parent.add_sentences(_prose(text[at:]))
+    _harvmac_sentences(parent, text[at:])
 
 
-def parse_version(files: dict[str, str], main: str, level_aware: bool = False, fixed_headings: bool = False) -> Node:
-    if "harvmac" in files.get(main, "")[:1024]:
-        return parse_harvmac(files[main])
-    return LatexParser(files, main, level_aware, fixed_headings).parse()
+def _harvmac_sentences(parent: Node, text: str) -> None:
+    for s in latex.sentences(_prose(text)):
+        if s := applied(s, HARVMAC_SENTENCE).strip():
+            parent.add("sentence", content=s)
 
 
 def node_rows(root: Node) -> list[tuple]:
@@ -312,24 +309,45 @@ def node_rows(root: Node) -> list[tuple]:
     return [(at, parent, depth, ends[at], n.node_type, n.title, n.label, n.content) for at, parent, depth, n in rows]
 
 
+def ready_versions(sources: DataFrame, resolved: DataFrame, fixed_headings: bool = False) -> DataFrame:
+    """(pub_id, version, main_tex, harvmac, title, files): one row per version with all that the parser of lines reads.
+
+    files is an array of (name, text), the main file first and then by name; comments, definitions and styles are gone and
+    macros expanded. The macros are those of all files, later ones winning. harvmac is the main text without comments if
+    harvmac is named in its first 1,024 letters, else null; then neither title nor texts are made ready.
+    """
+    c = F.col
+    tex = sources.where(c("file_name").endswith(".tex")).join(resolved.where("main_tex is not null").select("pub_id", "version", "main_tex"), ["pub_id", "version"])
+    one = F.struct((c("file_name") != c("main_tex")).alias("other"), c("file_name").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = tex.groupBy("pub_id", "version", "main_tex").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    main = F.get("all", F.lit(0))
+    plain = F.contains(F.left(main["text"], F.lit(1024)), F.lit("harvmac"))
+    rows = rows.withColumn("harvmac", F.when(plain, tex_rules.strip_comments(main["text"])))
+    rows = rows.withColumn("macros", F.when(plain, F.array().cast(tex_rules.MACROS)).otherwise(tex_rules.macro_map(F.flatten(F.transform("all", lambda f: tex_rules.macros_of(f["text"]))))))
+    rows = rows.select("*", F.explode(F.array(F.struct("macros"))).alias("m"))  # so that the macros are worked out once
+    title = tex_rules.remove_styles(tex_rules.expand(tex_rules.find_title(main["text"]), c("m.macros")))
+    texts = F.transform("all", lambda f: F.struct(f["name"].alias("name"), tex_rules.prepared(f["text"], c("m.macros"), fixed_headings).alias("text")))
+    return rows.select("pub_id", "version", "main_tex", "harvmac", F.when(~plain, title).alias("title"), F.when(~plain, texts).alias("files"))
+
+
 def parse_versions(sources: DataFrame, resolved: DataFrame, level_aware: bool = False, fixed_headings: bool = False) -> DataFrame:
     """The nodes of every version. `sources` has (pub_id, version, file_name, text), `resolved` (pub_id, version, main_tex).
 
-    The files of one version meet in one task (they are one document). A version that cannot be parsed gives one row with
-    its error instead of nodes, so it is lost alone.
+    The files of one version meet in one row (they are one document). A version that cannot be parsed gives one row with its
+    error instead of nodes, so it is lost alone.
     """
 
-    def parse(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("file_name")
-        main = rows["main_tex"].iloc[0]
-        names = [main, *(n for n in rows["file_name"] if n != main)]
-        texts = dict(zip(rows["file_name"], rows["text"].fillna(""), strict=True))
+    def parse(row: Any) -> list[tuple]:
         try:
-            found = [(*key, *r, None) for r in node_rows(parse_version({n: texts[n] for n in names if n in texts}, main, level_aware, fixed_headings))]
+            files = {f["name"]: f["text"] for f in ([] if row.files is None else row.files)}
+            root = parse_harvmac(row.harvmac) if row.harvmac is not None else LatexParser(files, row.main_tex, row.title, level_aware).parse()
+            return [(row.pub_id, row.version, *r, None) for r in node_rows(root)]
         except Exception as e:  # noqa: BLE001  one version's trouble isn't the job's
-            found = [(*key, *[None] * 8, f"{type(e).__name__}: {e}"[:500])]
-        frame = pd.DataFrame(found, columns=[c.split()[0] for c in NODES.split(", ")])
-        return frame.astype({c: "Int32" for c in ("preorder", "parent_preorder", "depth", "subtree_end")})
+            return [(row.pub_id, row.version, *[None] * 8, f"{type(e).__name__}: {e}"[:500])]
+
+    def parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            frame = pd.DataFrame([r for row in batch.itertuples(index=False) for r in parse(row)], columns=[c.split()[0] for c in NODES.split(", ")])
+            yield frame.astype({c: "Int32" for c in ("preorder", "parent_preorder", "depth", "subtree_end")})
 
-    tex = sources.where(F.col("file_name").endswith(".tex")).join(resolved.where("main_tex is not null").select("pub_id", "version", "main_tex"), ["pub_id", "version"])
-    return tex.groupBy("pub_id", "version").applyInPandas(parse, NODES)
+    return ready_versions(sources, resolved, fixed_headings).mapInPandas(parse_all, NODES)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import similarity as S
+from vellum.operators.ordering import draw, least
+from vellum.session import cut
 
 SHARED = ("normalized_title", "normalized_authors", "author_tokens", "normalized_year", "first_author_last")
 #: Selection of papers to label by hand, of papers to label by score, and the share that is sampled.
@@ -47,8 +49,10 @@ def manual_papers(bibs: DataFrame, papers: DataFrame, scored: DataFrame, **setti
     s = MANUAL | settings
     pools = bibs.groupBy("pub_id").agg(F.count("*").alias("bibs")).join(papers.groupBy("pub_id").agg(F.count("*").alias("papers")), "pub_id").where((F.col("bibs") >= s["least_pool"]) & (F.col("papers") >= s["least_pool"]))
     matches = scored.where(F.col("score") >= s["threshold"]).groupBy("pub_id").agg(F.count_distinct("key").alias("matches")).where(F.col("matches") >= s["least_matches"])
-    ranked = pools.join(matches, "pub_id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("matches"), "pub_id")))
-    return ranked.where(F.col("rank").between(s["first_rank"], s["last_rank"]))
+    top = pools.join(matches, "pub_id").orderBy(F.desc("matches"), "pub_id").limit(s["last_rank"])
+    few = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("matches")).alias("less"), "pub_id", "bibs", "papers", "matches"))).alias("all"))
+    ranked = few.select(F.posexplode("all").alias("at", "p")).select("p.pub_id", "p.bibs", "p.papers", "p.matches", (F.col("at") + 1).alias("rank"))
+    return ranked.where(F.col("rank") >= s["first_rank"])
 
 
 def label_tasks(scored: DataFrame) -> DataFrame:
@@ -85,8 +89,8 @@ def auto_publications(scored: DataFrame, manual: DataFrame, threshold: float = A
 
 
 def sampled(publications: DataFrame, population: int, share: float = AUTO_SHARE, seed: int = SEED) -> DataFrame:
-    """ceil(share * population) publications, drawn by the hash of the id: the same ones on every run."""
-    return publications.orderBy(F.xxhash64(F.col("pub_id").cast("string"), F.lit(seed)), "pub_id").limit(-int(-share * population // 1))
+    """ceil(share * population) publications, those of the least draws: the same ones on every run. Ids are distinct."""
+    return least(cut(publications), -int(-share * population // 1), draw(F.col("pub_id"), seed), F.col("pub_id"))
 
 
 def auto_pairs(scored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import text as T
+from vellum.operators.ordering import numbered
 
 
 def field(name: str, fields: str = "fields") -> Column:
@@ -34,15 +35,12 @@ def key_mapping(deduplicated: DataFrame, keys: tuple[str, ...] = ("pub_id", "ver
 
 
 def with_semantic_ids(refs: DataFrame, order: list[str], base: Column | None = None) -> DataFrame:
-    """ref_id: Lastname_year_Words, the second and later of a base with a suffix, numbered over all publications in `order`."""
-    rows = refs.withColumn("base_id", base if base is not None else T.semantic_base(field("author"), field("year"), field("title")))
-    number = F.row_number().over(Window.partitionBy("base_id").orderBy(*order)) - 1
-    return rows.withColumn("ref_id", F.concat("base_id", T.semantic_suffix(number)))
-
+    """ref_id: Lastname_year_Words, the second and later of a base with a suffix, numbered over all publications in `order`.
 
-def clashing_ids(refs: DataFrame) -> DataFrame:
-    """Ids that two references have all the same, because one's base looks like another's suffixed id."""
-    return refs.groupBy("ref_id").agg(F.count("*").alias("n")).where("n > 1")
+    The base of references that say nothing can be a large part of all; its rows are numbered in many tasks.
+    """
+    rows = refs.withColumn("base_id", base if base is not None else T.semantic_base(field("author"), field("year"), field("title")))
+    return numbered(rows, ["base_id"], order, "_number").withColumn("ref_id", F.concat("base_id", T.semantic_suffix(F.col("_number")))).drop("_number")
 
 
 def last_versions(refs: DataFrame, pub: str = "pub_id", version: str = "version") -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.functions import latex
-from vellum.functions.text import file_contains_line
+from vellum.functions.tex import include_order
+from vellum.functions.text import file_contains_line, includes
 from vellum.sources.files import bib_files
 
-RESOLVED = "pub_id string, version string, status string, main_tex string, used_tex_files array<string>"
-
 
 def main_tier(text: Column) -> Column:
     """1 with \\documentclass, 2 with \\begin{document}, 3 with harvmac, else 4 (of which the largest file counts)."""
@@ -26,33 +23,16 @@ def main_files(files: DataFrame, keys: list[str], name: str, text: Column, size:
     return ranked.withColumn("n", F.row_number().over(best)).where("n = 1").select(*keys, F.col(name).alias("main_tex"), "tier")
 
 
-def include_order(texts: dict[str, str], main: str) -> list[str]:
-    """Depth-first, each file once; a name that isn't there is tried without its folders."""
-    order, seen, todo = [], set(), [main]
-    while todo:
-        name = todo.pop().removeprefix("./")
-        if name not in texts:
-            name = name.rsplit("/", 1)[-1]
-        if name in seen or name not in texts:
-            continue
-        seen.add(name)
-        order.append(name)
-        todo += reversed(latex.includes(texts[name]))
-    return order
-
-
 def resolve_versions(sources: DataFrame) -> DataFrame:
-    """(pub_id, version, status, main_tex, used_tex_files, bib_files); NO_TEX_FILES if no .tex lies at the top."""
+    """(pub_id, version, status, main_tex, used_tex_files, bib_files); NO_TEX_FILES if no .tex lies at the top.
+
+    Texts are read where they lie; only the names that they include meet, in one row per version.
+    """
     top = sources.where(F.col("file_name").rlike(r"^[^./][^/]*\.tex$"))
     main = main_files(top, ["pub_id", "version"], "file_name", F.col("text"), F.col("size"))
-    tex = sources.where(F.col("file_name").endswith(".tex")).join(main, ["pub_id", "version"])
-
-    def order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        main_tex = rows["main_tex"].iloc[0]
-        used = include_order(dict(zip(rows["file_name"], rows["text"].fillna(""), strict=True)), main_tex)
-        return pd.DataFrame([(*key, "RESOLVED", main_tex, used)], columns=[c.split()[0] for c in RESOLVED.split(", ")])
-
-    found = tex.groupBy("pub_id", "version").applyInPandas(order, RESOLVED)
+    tex = sources.where(F.col("file_name").endswith(".tex")).select("pub_id", "version", "file_name", includes(F.coalesce("text", F.lit(""))).alias("includes")).join(main, ["pub_id", "version"])
+    files = tex.groupBy("pub_id", "version", "main_tex").agg(F.collect_list(F.struct(F.col("file_name").alias("name"), "includes")).alias("files"))
+    found = files.select("pub_id", "version", F.lit("RESOLVED").alias("status"), "main_tex", include_order(F.col("files"), F.col("main_tex")).alias("used_tex_files"))
     versions = sources.select("pub_id", "version").distinct().join(found, ["pub_id", "version"], "left").join(bib_files(sources), ["pub_id", "version"], "left")
     none = F.array().cast("array<string>")
     return versions.select("pub_id", "version", F.coalesce("status", F.lit("NO_TEX_FILES")).alias("status"), "main_tex", F.coalesce("used_tex_files", none).alias("used_tex_files"), F.coalesce("bib_files", none).alias("bib_files"))

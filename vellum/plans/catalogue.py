@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.functions import latex
 from vellum.functions import similarity as S
+from vellum.functions import tex as X
 from vellum.functions import text as T
 from vellum.operators import features, latex_tree, matching, ranking, references, resolve, tree_dedup
-from vellum.session import new_folder
-from vellum.sources import bibtex, files, sinks
+from vellum.operators.boosting import Booster
+from vellum.session import cut, new_folder
+from vellum.plans import summaries
+from vellum.sources import bibtex, files, folders, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,17 +93,44 @@ def arxiv_references(spark, sf_dir):
     return files.arxiv_references(_folder_files(spark, sf_dir)).select("pub_id", "arxiv_id", "paper_title", F.array_join("authors", "|").alias("authors"), "submission_date")
 
 
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, path, '{"2301.' || s_suppkey || '": {"paper_title": "On ' || s_name || '", "authors": ["A B", "C D"], "submission_date": "2023-01-02"}' || CASE WHEN s_suppkey % 4 > 0 THEN '}' ELSE '' END AS text FROM supplier, (VALUES ('metadata.json', 7), ('references.json', 5)) AS t(path, n) WHERE s_suppkey % n > 0""")
+def side_file_texts(spark, sf_dir):
+    return files.side_files(_folder_files(spark, sf_dir))[0].select("pub_id", "path", "text")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, 'NO_TEX' AS status, '' AS versions FROM supplier WHERE s_suppkey % 35 <> 0 AND s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 3 = 0 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'INVALID', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_suppkey || 'v10,' || s_suppkey || 'v2' END FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'READY', s_suppkey || 'v10,' || s_suppkey || 'v2' FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 3 > 0""")
+def listed_folders(spark, sf_dir):
+    """The same folders really written, then listed by the reader of folders."""
+    rows = _folder_files(spark, sf_dir).select(F.concat_ws("/", "pub_id", "path").alias("place"), c("content").cast("string").alias("text"))
+    folders.write_files(rows, place := new_folder(spark), "text", "{key}", "place")
+    return files.scan(folders.list_folders(spark, place)).select("pub_id", "status", F.array_join("versions", ",").alias("versions"))
+
+
+@query("""SELECT 'n' || n_regionkey AS pub_id, 'k' || n_nationkey AS bib_key, 'a' || n_nationkey AS arxiv_id, CAST(CASE WHEN n_nationkey % 3 = 0 THEN -1 ELSE n_nationkey % 2 END AS BIGINT) AS label FROM nation""")
+def manual_labels(spark, sf_dir):
+    """Label tasks as people give them back, an array for each publication: filled in, or left empty (-1 here)."""
+    task = F.struct(F.when(c("n_nationkey") % 3 == 0, "").otherwise((c("n_nationkey") % 2).cast("string")).alias("label"), F.lit(0.5).alias("score"), F.concat(F.lit("k"), "n_nationkey").alias("bib_key"), F.concat(F.lit("a"), "n_nationkey").alias("arxiv_id"))
+    rows = table(spark, sf_dir, "nation").groupBy(F.concat(F.lit("n"), "n_regionkey").alias("pub_id")).agg(F.to_json(F.collect_list(task)).alias("json"))
+    folders.write_files(rows, place := new_folder(spark), "json", "{key}.json")
+    return files.manual_labels(spark, place).select("pub_id", "bib_key", "arxiv_id", F.coalesce(long(c("label")), F.lit(-1).cast("long")).alias("label"))
+
+
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, path FROM supplier, (VALUES ('metadata.json', 7), ('references.json', 5)) AS t(path, n) WHERE s_suppkey % n = 0")
 def missing_side_files(spark, sf_dir):
     return files.side_files(_folder_files(spark, sf_dir))[1].select("pub_id", "path")
 
 
-@query("SELECT p_partkey, p_brand || '|' || p_type AS items FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || '|' || p_type WHEN 1 THEN p_brand || '|' || p_type WHEN 2 THEN 'o''brien ' || p_brand || '|' || p_type || ', "x"' WHEN 3 THEN '' ELSE '[' || chr(39) || p_brand || chr(39) END AS items FROM part""")
 def listed_values(spark, sf_dir):
-    text = F.when(c("p_partkey") % 2 == 0, F.concat(F.lit("['"), "p_brand", F.lit("', '"), "p_type", F.lit("']"))).otherwise(F.concat("p_brand", F.lit(", , "), "p_type", F.lit(" ,")))
+    """Lists in brackets with either kind of quotes, empty ones, parts between commas, and a list that never ends."""
+    quoted = F.concat(F.lit("['"), "p_brand", F.lit("', '"), "p_type", F.lit("']"))
+    mixed = F.concat(F.lit("[ \"o'brien "), "p_brand", F.lit("\", '"), "p_type", F.lit(", \\\"x\"',]"))
+    text = F.when(c("p_partkey") % 5 == 0, quoted).when(c("p_partkey") % 5 == 1, F.concat("p_brand", F.lit(", , "), "p_type", F.lit(" ,"))).when(c("p_partkey") % 5 == 2, mixed).when(c("p_partkey") % 5 == 3, "[ ]").otherwise(F.concat(F.lit("['"), "p_brand", F.lit("'")))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(files.listed(text), "|").alias("items"))
 
 
+
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, s_suppkey || v AS version, file_name, '{"2301.' || s_suppkey || '": {"paper_title": "On ' || s_name || '", "authors": ["A B", "C D"], "submission_date": "2023-01-02"}' || CASE WHEN s_suppkey % 4 > 0 THEN '}' ELSE '' END AS text
 FROM supplier, (VALUES ('v2', 'main.tex'), ('v10', 'a.bib'), ('v10', 'b.bib')) AS t(v, file_name) WHERE s_suppkey % 3 > 0""")
 def tex_sources(spark, sf_dir):
@@ -184,20 +212,10 @@ def author_short_forms(spark, sf_dir):
     return rows.select("c_custkey", shorts.alias("s")).select("c_custkey", c("s")[0].alias("first_short"), c("s")[1].alias("second_short"), T.first_author_last(c("s")).alias("first_last"), c("s")[2].alias("single"))
 
 
-def batched(rule: Callable, kind: str = "string"):
-    """A rule of one text as a function of Columns, applied in Arrow batches."""
-
-    @F.pandas_udf(kind)
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(rule)
-
-    return apply
-
-
 @query(r"SELECT p_partkey, length('{' || p_name || ' {x} \} ' || p_brand) AS place FROM part")
 def balanced_braces(spark, sf_dir):
     text = F.concat(F.lit("{"), "p_name", F.lit(" {x} \\} "), "p_brand", F.lit("} tail }"))
-    return table(spark, sf_dir, "part").select("p_partkey", batched(lambda t: latex.balanced(t, 0), "long")(text).alias("place"))
+    return table(spark, sf_dir, "part").select("p_partkey", long(X.closing(text)).alias("place"))
 
 
 @query(r"SELECT p_partkey, ' ' || p_name || '\noindentx ' AS text FROM part")
@@ -208,26 +226,25 @@ def remove_noindent(spark, sf_dir):
 @query(r"SELECT p_partkey, '\section*{On ' || p_name || ' {x}}' || chr(10) || 'body' AS text FROM part")
 def reflow_headings(spark, sf_dir):
     text = F.concat(F.lit("\\section*{On\n  "), "p_name", F.lit(" {x}}\nbody"))
-    return table(spark, sf_dir, "part").select("p_partkey", batched(lambda t: latex.reflow_headings(t, fixed=True))(text).alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.reflow_headings(text).alias("text"))
 
 
 @query(r"SELECT p_partkey, p_name || ' {\bf x} ' || p_brand AS title FROM part")
 def tex_title(spark, sf_dir):
     tex = F.concat(F.lit("% \\title{no}\n\\titlefont{no}\\title[short]{"), "p_name", F.lit(" {\\bf x}\\\\ \n"), "p_brand", F.lit("\\vspace{2cm}} text"))
-    return table(spark, sf_dir, "part").select("p_partkey", batched(latex.find_title)(tex).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.find_title(tex).alias("title"))
 
 
 @query(r"SELECT p_partkey, 'x ' || p_name || '\ of ' || p_brand || ' y \names z \arg{1}' AS expanded FROM part")
 def expand_macros(spark, sf_dir):
-    rule = lambda tex: latex.expand(tex.split("\n")[1], latex.macro_map([tex]))
     tex = F.concat(F.lit("\\newcommand{\\name}{old}\\renewcommand{\\name}{"), "p_name", F.lit("}\\def\\both{\\name\\ of \\brand}\\newcommand{\\brand}[0]{"), "p_brand", F.lit("}\\newcommand{\\arg}[1]{#1}\nx \\both y \\names z \\arg{1}"))
-    return table(spark, sf_dir, "part").select("p_partkey", batched(rule)(tex).alias("expanded"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.expand(F.element_at(F.split(tex, "\n"), 2), X.macro_map(X.macros_of(tex))).alias("expanded"))
 
 
 @query(r"SELECT p_partkey, p_name || ' ' || p_brand || ' \textit x \color{red}' AS plain FROM part")
 def remove_styles(spark, sf_dir):
     tex = F.concat(F.lit("\\textbf{\\emph {"), "p_name", F.lit("} \\bfseries "), "p_brand", F.lit("} \\textit x \\color{red}"))
-    return table(spark, sf_dir, "part").select("p_partkey", batched(latex.remove_styles)(tex).alias("plain"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.remove_styles(tex).alias("plain"))
 
 
 def _supplier_files(spark, sf_dir):
@@ -254,11 +271,17 @@ def latex_nodes(spark, sf_dir):
     return latex_tree.parse_versions(found, resolve.resolve_versions(found)).select("pub_id", long(c("preorder")).alias("preorder"), F.coalesce(long(c("parent_preorder")), F.lit(-1)).alias("parent"), "node_type", "title", "content")
 
 
-@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pub_id, CAST(preorder AS BIGINT) AS preorder, CAST(parent AS BIGINT) AS parent, node_type, replace(title, '?', n_name) AS title, content FROM nation,
-(VALUES (0, -1, 'document', 'On ?', NULL), (1, 0, 'section', 'Abstract', NULL), (2, 1, 'sentence', NULL, 'An abstract of it.'), (3, 0, 'section', 'First', NULL), (4, 3, 'sentence', NULL, 'One is here.'), (5, 3, 'sentence', NULL, 'Two follows.'),
-(6, 3, 'subsection', 'Inner', NULL), (7, 6, 'sentence', NULL, 'Three of it.')) AS t(preorder, parent, node_type, title, content)""")
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pub_id, CAST(preorder AS BIGINT) AS preorder, CAST(parent AS BIGINT) AS parent, node_type, replace(title, '?', n_name) AS title, replace(content, '?', n_name) AS content FROM nation,
+(VALUES (0, -1, 'document', 'On ?', NULL), (1, 0, 'section', 'Abstract', NULL), (2, 1, 'sentence', NULL, 'An abstract of ?.'), (3, 1, 'sentence', NULL, 'It has {{one} group.'), (4, 0, 'section', 'First', NULL), (5, 4, 'sentence', NULL, 'One of ? is here.'),
+(6, 4, 'sentence', NULL, 'Two follows (x).'), (7, 4, 'math', NULL, 'a = ?'), (8, 4, 'sentence', NULL, 'Behind it.'), (9, 4, 'figure', 'How ? looks', 'plot.eps'), (10, 4, 'subsection', 'Inner', NULL), (11, 10, 'sentence', NULL, 'Three of it.'), (12, 10, 'math', NULL, '$$b=c$$'),
+(13, 0, 'section', 'More on ?', NULL), (14, 13, 'sentence', NULL, 'Last words.')) AS t(preorder, parent, node_type, title, content)""")
 def harvmac_nodes(spark, sf_dir):
-    text = F.concat(F.lit("\\input harvmac\n\\Title{}{On "), "n_name", F.lit("}\nAn abstract of it.\n\\newsec{First}\nOne is here. Two follows.\n\\subsec{Inner}\nThree of it.\n\\bye\n"))
+    """An abstract with line feeds and braces, equations of both kinds, a figure, an appendix, and marks that are no text."""
+    lines = (
+        "\\input harvmac\n\\Title{}{On ", c("n_name"), "}\nAn abstract\nof ", c("n_name"), ". It has {{one} group. \\centerline{Nobody}. A loose } brace.\n\\Date{5/99}\n\\newsec{First}\nOne of\n", c("n_name"), " is here. Two follows (\nx\n).\n\\eqn\\first{a = ", c("n_name"), "}\n",
+        "Behind it.\n\\ifig\\one{How ", c("n_name"), " looks}{\\epsfbox{plot.eps}}\n\\subsec{Inner}\nThree of it. $$b=c$$\n\\appendix{A}{More on ", c("n_name"), "}\nLast words.\n\\listrefs\n\\end\n\\bye\nnot this",
+    )
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
     found = table(spark, sf_dir, "nation").select(c("n_nationkey").cast("string").alias("pub_id"), F.lit("v1").alias("version"), F.lit("m.tex").alias("file_name"), text.alias("text"))
     return latex_tree.parse_versions(found, found.withColumn("main_tex", c("file_name"))).select("pub_id", long(c("preorder")).alias("preorder"), F.coalesce(long(c("parent_preorder")), F.lit(-1)).alias("parent"), "node_type", "title", "content")
 
@@ -364,11 +387,31 @@ def elements(spark, sf_dir):
     return tree_dedup.elements(_kept(spark, sf_dir)).select("id", part("$.node_type").alias("node_type"), F.md5(F.coalesce(part("$.content"), part("$"))).alias("content"))
 
 
-@query()
+JSON = KEPT + """, e AS (SELECT k.version, id, '{"node_type":"sentence"' || CASE WHEN text <> '' THEN ',"content":' || to_json(text) ELSE '' END || '}' AS element FROM k JOIN (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS preorder FROM conversations) t USING (conv_id, preorder)
+WHERE canonical_id = id UNION ALL SELECT version, version || '_000000', '"root"' FROM r), el AS (SELECT pub_id, string_agg('"' || id || '": ' || element, ', ' ORDER BY id) AS elements FROM e JOIN r USING (version) GROUP BY pub_id),
+hi AS (SELECT version, canonical_id AS id, '"' || version || '_000000"' AS parent FROM k WHERE starts_with(canonical_id, version || '_') GROUP BY 1, 2, 3 UNION ALL SELECT version, version || '_000000', 'null' FROM r),
+hv AS (SELECT pub_id, version, '"' || version || '":{' || string_agg('"' || id || '":' || parent, ',' ORDER BY id) || '}' AS tree FROM hi JOIN r USING (version) GROUP BY 1, 2), hp AS (SELECT pub_id, string_agg(tree, ',' ORDER BY version) AS trees FROM hv GROUP BY 1),
+pj AS (SELECT pub_id, '{"elements": {' || elements || '}, "hierarchy": {' || trees || '}}' AS json FROM el JOIN hp USING (pub_id))"""
+
+
+@query(JSON + " SELECT pub_id, json FROM pj")
 def publication_json(spark, sf_dir):
     return tree_dedup.publication_json(_kept(spark, sf_dir))
 
 
+@query(JSON + " SELECT pub_id, pub_id || '.json' AS file, md5(json) AS content FROM pj")
+def publication_files(spark, sf_dir):
+    """One file for each publication, found by its name and read again."""
+    folders.write_files(tree_dedup.publication_json(_kept(spark, sf_dir)), place := new_folder(spark), "json")
+    return _written(spark, place).select("pub_id", "file", F.md5("content").alias("content"))
+
+
+def _written(spark, place):
+    """(pub_id, file, content) of files <place>/<pub_id>/<file>, listed and read."""
+    read = files.read_files(spark, place).withColumnRenamed("path", "file")
+    return folders.list_folders(spark, place).where("size > 0").select("pub_id", c("path").alias("file")).join(read, ["pub_id", "file"])
+
+
 # --- references ----------------------------------------------------------------------------------------------------------
 
 
@@ -445,6 +488,23 @@ def bibtex_files(spark, sf_dir):
     return references.export_bibtex(rows)
 
 
+@query("""SELECT replace(pub_id, '#', '-') AS pub_id, 'refs.bib' AS file, md5(bibtex) AS content FROM (SELECT 'p' || p_brand AS pub_id, string_agg('@article{k' || p_partkey || ',' || chr(10) || '  author={' || p_type || '},' || chr(10) || '  title={' || p_name || '},' || chr(10) || '}' || chr(10) || chr(10), '' ORDER BY p_size DESC, p_partkey) AS bibtex
+FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2 DESC) AS n FROM part) WHERE n = 1 GROUP BY p_brand)""")
+def bibliography_files(spark, sf_dir):
+    """A refs.bib for each publication, found by its name and read again."""
+    rows = bibtex_files(spark, sf_dir).withColumn("pub_id", F.replace("pub_id", F.lit("#"), F.lit("-")))
+    folders.write_files(rows, place := new_folder(spark), "bibtex", "{key}/refs.bib")
+    return _written(spark, place).select("pub_id", "file", F.md5("content").alias("content"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, 'x' || s_suppkey AS arxiv_id, 'supplier tale' AS normalized_title, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(1990 + s_suppkey % 30 AS VARCHAR) END AS normalized_year, 'smith j|doe j' AS authors, 'smith' AS first_author_last FROM supplier""")
+def cleaned_papers(spark, sf_dir):
+    """The same of known papers: authors in an array, the year from the date of submission, none if that is too short."""
+    date = F.when(c("s_suppkey") % 3 == 0, "199").otherwise(F.concat((1990 + c("s_suppkey") % 30).cast("string"), F.lit("-05-06")))
+    rows = table(spark, sf_dir, "supplier").select(c("s_suppkey").cast("string").alias("pub_id"), F.concat(F.lit("x"), c("s_suppkey").cast("string")).alias("arxiv_id"), F.lit("The {S}upplier's tales").alias("paper_title"), F.array(F.lit("John Smith"), F.lit("Doe, Jane")).alias("authors"), date.alias("submission_date"))
+    return references.clean_arxiv(rows).select("pub_id", "arxiv_id", "normalized_title", "normalized_year", F.array_join("normalized_authors", "|").alias("authors"), "first_author_last")
+
+
 @query("SELECT p_partkey, 'study ' || lower(replace(p_brand, '#', ' ')) AS normalized_title, '2001' AS normalized_year, 'smith j|doe j' AS authors, 'smith' AS first_author_last FROM part")
 def cleaned_references(spark, sf_dir):
     entry = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
@@ -522,7 +582,7 @@ def seq_ratio(spark, sf_dir):
 
 @query(f"WITH RECURSIVE p AS ({PAIRS}), strings AS (SELECT an AS x, bn AS y FROM p), {INDEL} SELECT a, b, round(ratio, 6) AS ratio FROM p JOIN indels ON x = an AND y = bn")
 def indel_ratio(spark, sf_dir):
-    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.indel_ratio("p_name", "o_p_name"), 6).alias("ratio"))
+    return _part_pairs(spark, sf_dir).select(*_ids(), F.round(S.indel_ratio(c("p_name"), c("o_p_name")), 6).alias("ratio"))
 
 
 YEARS = "CASE abs(a.p_size % 5 - b.p_size % 5) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END"
@@ -655,13 +715,23 @@ def paper_selection(spark, sf_dir):
     return matching.manual_papers(docs, docs, docs).select("pub_id", "matches", long(c("rank")).alias("rank"))
 
 
-@query()
+DRAW = "CAST('0x' || substr(md5({} || ':42'), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT source AS pub_id FROM (SELECT source, row_number() OVER (ORDER BY {DRAW.format('source')}) AS n, count(*) OVER () AS all_ FROM (SELECT DISTINCT source FROM documents)) WHERE n <= ceil(all_ / 10.0)")
 def sampled_publications(spark, sf_dir):
     """A sampling operator: a tenth of the sources, rounded up."""
     pubs = table(spark, sf_dir, "documents").select(c("source").alias("pub_id")).distinct()
     return matching.sampled(pubs, pubs.count())
 
 
+@query(f"SELECT doc_id AS pub_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {DRAW.format('doc_id')}) AS n, count(*) OVER () AS all_ FROM documents) WHERE n <= ceil(all_ / 10.0)")
+def sampled_documents(spark, sf_dir):
+    """The same of all documents: the cut between drawn and not drawn is found by counting."""
+    pubs = table(spark, sf_dir, "documents").select(c("doc_id").alias("pub_id"))
+    return matching.sampled(pubs, pubs.count())
+
+
 # --- features and ranking ----------------------------------------------------------------------------------------------------
 
 
@@ -672,9 +742,24 @@ def pair_features(spark, sf_dir):
     return _part_pairs(spark, sf_dir).select(*_ids(), features.title_length_difference(c("p_name"), c("o_p_name")).alias("title_length"), F.round(features.author_set_overlap(names(c("p_type")), names(c("o_p_type"))), 6).alias("authors"), features.year_difference(year, (c("o_p_partkey") % 7).cast("string")).alias("years"))
 
 
-@query()
+#: Greedy assignment in SQL: of each pair of lists the ratios of all words, and a step for each left word.
+GREEDY = f"""lists AS (SELECT a, b, 't' AS kind, string_split(an, ' ') AS l, string_split(bn, ' ') AS r, 0.8 AS least FROM s UNION ALL SELECT a, b, 'n', aty, bty, -0.5 FROM s),
+word_pairs AS (SELECT DISTINCT x, y FROM (SELECT unnest(l) AS x, r FROM lists), unnest(r) AS t(y)), {INDEL.replace("strings", "word_pairs")},
+cell AS (SELECT a, b, kind, i, j, q.ratio FROM (SELECT a, b, kind, i, l[i] AS x, j, r[j] AS y FROM lists, unnest(range(1, len(l) + 1)) AS t(i), unnest(range(1, len(r) + 1)) AS u(j)) JOIN indels q USING (x, y)),
+matrix AS (SELECT a, b, kind, list(line ORDER BY i) AS m FROM (SELECT a, b, kind, i, list(ratio ORDER BY j) AS line FROM cell GROUP BY a, b, kind, i) GROUP BY a, b, kind),
+greedy AS (SELECT a, b, kind, CAST(0 AS BIGINT) AS i, m, len(m) AS n, len(m[1]) AS k, least, CAST([] AS BIGINT[]) AS used, CAST([] AS DOUBLE[]) AS reached FROM matrix JOIN lists USING (a, b, kind) UNION ALL
+SELECT a, b, kind, i + 1, m, n, k, least, CASE WHEN best > least THEN list_append(used, list_position(line, best)) ELSE used END, CASE WHEN best > least THEN list_append(reached, best) ELSE reached END
+FROM (SELECT *, list_max(line) AS best FROM (SELECT *, list_transform(range(1, k + 1), lambda j: CASE WHEN list_contains(used, j) THEN -1.0 ELSE m[i + 1][j] END) AS line FROM greedy WHERE i < n))),
+reached AS (SELECT a, b, kind, len(reached) AS hits, coalesce(list_sum(reached), 0) AS total, n, k FROM greedy WHERE i = n)"""
+FEATURES = f"""SELECT CAST(z.n = 1 AS INTEGER) AS label, pub AS pub_id, CAST(z.a AS VARCHAR) AS bib_key, CAST(z.b AS VARCHAR) AS candidate_arxiv_id, 'automatic' AS source, round(t.hits / (t.n + t.k - t.hits), 6) AS Title_Soft_Jaccard, CAST(abs(length(an) - length(bn)) AS INTEGER) AS Title_Length_Diff,
+round({JACCARD.replace("string_split({a}, ' ')", "aty").replace("string_split({b}, ' ')", "bty")}, 6) AS Author_Overlap_Score, round(u.total / u.n, 6) AS Author_Levenshtein_Ratio, CAST(abs(z.a % 5 - z.b % 5) * 3 AS DOUBLE) AS Year_Diff
+FROM best z JOIN reached t ON t.a = z.a AND t.b = z.b AND t.kind = 't' JOIN reached u ON u.a = z.a AND u.b = z.b AND u.kind = 'n'"""
+
+
+@query(SCORED + f", {GREEDY} {FEATURES}")
 def fuzzy_features(spark, sf_dir):
-    return features.pair_features(matching.auto_pairs(_scored(spark, sf_dir)))
+    found = features.pair_features(matching.auto_pairs(_scored(spark, sf_dir)))
+    return found.withColumns({f: F.round(f, 6) for f in ("Title_Soft_Jaccard", "Author_Overlap_Score", "Author_Levenshtein_Ratio")})
 
 
 @query("SELECT 'quality' AS feature, CAST(count(*) FILTER (WHERE quality IS NULL) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS infinite FROM documents LEFT JOIN (SELECT DISTINCT ON (doc_id) * FROM labels) USING (doc_id) UNION ALL SELECT 'n_chars', CAST(count(*) FILTER (WHERE n_chars IS NULL) AS BIGINT), 0 FROM documents")
@@ -683,6 +768,23 @@ def feature_quality(spark, sf_dir):
     return features.feature_quality(rows, ("quality", "n_chars"))
 
 
+@query(PART_REFS + """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE n = 1) AS kept FROM w), s AS (SELECT count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
+l AS (SELECT CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS part, toxic AS label FROM labels)
+SELECT 'references' AS summary, 'raw' AS name, CAST(n AS DOUBLE) AS value FROM c UNION ALL SELECT 'references', 'rate', kept / n FROM c UNION ALL SELECT 'references', 'publications', count(DISTINCT pub) FROM w UNION ALL SELECT 'features', 'samples', n FROM s
+UNION ALL SELECT 'features', unnest(['missing', 'infinite', 'features']), unnest([0, 0, 5]) UNION ALL SELECT part, 'rows', count(*) FROM l GROUP BY part UNION ALL SELECT part, 'positives', count(*) FILTER (WHERE label = 1) FROM l GROUP BY part
+UNION ALL SELECT part, 'negatives', count(*) FILTER (WHERE label = 0) FROM l GROUP BY part UNION ALL SELECT part, 'ratio', count(*) FILTER (WHERE label = 0) / greatest(1, count(*) FILTER (WHERE label = 1)) FROM l GROUP BY part""")
+def console_summaries(spark, sf_dir):
+    """What is told of references, features and parts, counted while these are written."""
+    refs = summaries.watch_references(references.deduplicate(_part_refs(spark, sf_dir).withColumn("type", F.lit("article"))))
+    bibs = summaries.watch_bibliographies(references.export_bibtex(cut(refs.rows).where("kept")))
+    found = summaries.watch_features(features.pair_features(matching.auto_pairs(_scored(spark, sf_dir))))
+    labels = table(spark, sf_dir, "labels").withColumn("label", c("toxic"))
+    parts = {part: summaries.watch_labels(labels.where((c("quality") == 1) == good)) for part, good in (("good", True), ("bad", False))}
+    for watched in (bibs, found, *parts.values()):
+        watched.rows.write.format("noop").mode("overwrite").save()
+    return summaries.table(spark, refs, bibs, found, parts)
+
+
 @query("SELECT doc_id, CASE WHEN n = 1 THEN 'test' WHEN n = 2 THEN 'valid' ELSE 'train' END AS partition FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -705,6 +807,13 @@ def hard_negatives(spark, sf_dir):
     return ranking.sample_negatives(rows, F.transform("embedding", lambda x: x.cast("double")), "q", "label", "vec_id", 9, 1.0).select("vec_id")
 
 
+@query(f"""SELECT vec_id FROM (SELECT vec_id, vec_id % 5 = 0 AS pos, row_number() OVER (PARTITION BY label, vec_id % 5 = 0 ORDER BY {DRAW.format('vec_id')}) AS n FROM embeddings) WHERE pos OR n <= 9""")
+def random_negatives(spark, sf_dir):
+    """Positives and nine random negatives of each class: the other part of the sampling."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", c("label").alias("q"), "embedding", (c("vec_id") % 5 == 0).cast("int").alias("label"))
+    return ranking.sample_negatives(rows, F.transform("embedding", lambda x: x.cast("double")), "q", "label", "vec_id", 9, 0.0).select("vec_id")
+
+
 SUPPLY = "SELECT l_suppkey AS pub, l_partkey % 40 AS bib, l_orderkey AS cand, round(sum(l_quantity), 2) AS score FROM lineitem GROUP BY 1, 2, 3"
 
 
@@ -750,8 +859,36 @@ def prediction_json(spark, sf_dir):
     return ranking.prediction_json(ranking.top_candidates(rows, c("score")), ranking.ground_truth(rows), parts)
 
 
+@query(ORACLE["prediction_json"].replace("SELECT pub AS pub_id, '{", "SELECT CAST(pub AS VARCHAR) AS pub_id, 'pred.json' AS file, md5('{").replace("'}}}}' AS json", "'}}}}') AS content").replace("'}}' AS json", "'}}') AS content"))
+def prediction_files(spark, sf_dir):
+    """A pred.json for each publication, found by its name and read again."""
+    folders.write_files(prediction_json(spark, sf_dir), place := new_folder(spark), "json", "{key}/pred.json")
+    return _written(spark, place).select("pub_id", "file", F.md5("content").alias("content"))
+
+
+def _ranker(spark, sf_dir):
+    """Features of all labelled pairs, and a ranker trained on nine tenths of the publications that the others tell when to stop."""
+    rows = cut(features.pair_features(matching.auto_pairs(_scored(spark, sf_dir))))
+    valid = F.pmod(F.xxhash64("pub_id"), F.lit(10)) == 0
+    return rows, ranking.train_ranker(rows.where(~valid), rows.where(valid))
+
+
 @query()
 def trained_ranking(spark, sf_dir):
-    """Features of all labelled pairs, a ranker trained on them, and its best five candidates per entry."""
-    rows = features.pair_features(matching.auto_pairs(_scored(spark, sf_dir)))
-    return ranking.top_candidates(rows, ranking.train_ranker(rows).score())
+    """A ranker's best five candidates of each entry, among all pairs."""
+    rows, ranker = _ranker(spark, sf_dir)
+    return ranking.top_candidates(rows, ranker.score())
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    return _ranker(spark, sf_dir)[1].importance(spark)
+
+
+@query()
+def saved_ranker(spark, sf_dir):
+    """A ranker written as Parquet and read again: both rank all pairs, and the differences are counted."""
+    rows, ranker = _ranker(spark, sf_dir)
+    loaded = Booster.load(spark, ranker.save(spark, new_folder(spark)))
+    one, other = (ranking.top_candidates(rows, r.score()) for r in (ranker, loaded))
+    return one.exceptAll(other).agg(F.count("*").alias("different")).crossJoin(one.agg(F.count("*").alias("ranked")))

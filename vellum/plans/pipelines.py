@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import features, latex_tree, matching, ranking, references, resolve, tree_dedup
+from vellum.operators.boosting import Booster
+from vellum.session import cut
 from vellum.sources import bibtex, files
+from vellum.sources.cache import through_cache
+from vellum.sources.folders import list_folders
 
 
 @dataclass
@@ -21,13 +25,18 @@ class Documents:
     publications: DataFrame
 
 
-def documents(spark: SparkSession, root: str, level_aware: bool = False, fixed_headings: bool = False) -> Documents:
-    """Folders of LaTeX versions to one JSON per publication; what re-appears in later versions is told apart by content."""
+def documents(spark: SparkSession, root: str, level_aware: bool = False, fixed_headings: bool = False, cache: str | None = None) -> Documents:
+    """Folders of LaTeX versions to one JSON per publication; what re-appears in later versions is told apart by content.
+
+    With a folder as `cache` only versions whose files have changed since an earlier run are parsed. A root that isn't there
+    is a ValueError.
+    """
+    scanned = cut(files.scan(list_folders(spark, root)))
     found = files.read_files(spark, root)
-    scanned = files.scan(found)
     ready = files.sources(found).join(scanned.where("status = 'READY'").select("pub_id"), "pub_id", "left_semi")
     resolved = resolve.resolve_versions(ready)
-    parsed = latex_tree.parse_versions(ready, resolved, level_aware, fixed_headings).cache()
+    parse = lambda rows: latex_tree.parse_versions(rows, resolved, level_aware, fixed_headings)
+    parsed = cut(parse(ready) if cache is None else through_cache(ready, cache, parse, f"{level_aware} {fixed_headings}"))
     kept = tree_dedup.deduplicate(tree_dedup.subtree_hashes(tree_dedup.normalize_nodes(parsed)))
     return Documents(scanned, resolved, parsed.where("error is null"), parsed.where("error is not null").select("pub_id", "version", "error"), kept, tree_dedup.publication_json(kept))
 
@@ -50,7 +59,7 @@ def labelled_pairs(spark: SparkSession, root: str, labels: DataFrame | None = No
     kept = references.with_semantic_ids(kept, ["pub_id", "version", "ref_ord"])
     bibs = references.clean_references(references.last_versions(kept))
     papers = references.clean_arxiv(files.arxiv_references(found))
-    scored = matching.with_score(matching.candidates(bibs, papers))
+    scored = cut(matching.with_score(matching.candidates(bibs, papers)))
     empty = spark.createDataFrame([], "pub_id string, bib_key string, arxiv_id string, label int, ord long")
     labels = empty if labels is None else labels
     by_hand = labels.select("pub_id").distinct()
@@ -65,7 +74,7 @@ def labelled_pairs(spark: SparkSession, root: str, labels: DataFrame | None = No
 class Ranking:
     features: DataFrame
     parts: DataFrame
-    ranker: ranking.Ranker
+    ranker: Booster
     predictions: DataFrame
     truth: DataFrame
     mrr: dict[str, float]
@@ -75,7 +84,7 @@ class Ranking:
 
 def ranked(pairs: DataFrame) -> Ranking:
     """Labelled pairs to features, a ranker, its best five candidates per entry and its reciprocal ranks."""
-    rows = features.pair_features(pairs).cache()
+    rows = cut(features.pair_features(pairs))
     parts = ranking.split(rows)
     by = {p: rows.join(parts.where(F.col("partition") == p).select("pub_id"), "pub_id", "left_semi") for p in ("train", "valid", "test")}
     valid = by["valid"] if by["valid"].limit(1).count() else None

@@ -90,7 +90,13 @@ def read_pairs(spark: SparkSession, path: str, schema: str = LABELLED) -> DataFr
 
 
 def listed(text: Column) -> Column:
-    """An array that a CSV holds as text: a list in brackets, or parts between commas."""
-    quoted = F.from_json(F.translate(text, "'", '"'), "array<string>")
+    """An array that a CSV holds as text: a list in brackets of quoted strings or numbers, or else parts between commas.
+
+    Strings may be in either kind of quotes, so each may hold the other kind, and both kinds after a backslash.
+    """
+    single, double, number = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"[-+]?[0-9]++(?:[.][0-9]*+)?"
+    value = f"(?:{single}|{double}|{number})"
+    inner = lambda v: F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(['\"\\])", "$1")
+    values = F.transform(F.regexp_extract_all(text, F.lit(value), F.lit(0)), lambda v: F.when(v.rlike("^['\"]"), inner(v)).otherwise(v))
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
-    return F.when(F.startswith(F.trim(text), F.lit("[")), F.coalesce(quoted, parts)).otherwise(parts)
+    return F.when(text.rlike(rf"(?s)^\s*\[\s*(?:{value}\s*(?:,\s*{value}\s*)*+,?\s*)?\]\s*$"), values).otherwise(parts)

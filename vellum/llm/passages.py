@@ -148,6 +148,17 @@ def repeated(windows: DataFrame) -> DataFrame:
     return windows.join(common, "hash")
 
 
+def later_copies(texts: DataFrame) -> DataFrame:
+    """(row) of the texts (row, rank, text) that are equal to one of a smaller rank: all their windows start there too.
+
+    Of equal texts only those of the smallest rank need be looked at, as no window starts earlier in another. Only digests of
+    128 bits move, aggregated first.
+    """
+    keyed = stored(texts.select("row", "rank", F.unhex(F.md5("text")).alias("digest")).where("digest is not null"))
+    first = keyed.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("digest", "least")
+    return stored(keyed.join(first, "digest").where("rank > least").select("row"))
+
+
 def repeated_windows(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """(row, start) of the windows of `window` words of `texts` (row, rank, text) that also start in a text of a smaller rank.
 
@@ -178,19 +189,21 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     numbers. A column whose name clashes with one of the added keeps its name, and the added one gets a longer name. An empty
     table gives an empty result. Texts are shuffled once, into a bucketed table in the shared folder, which every level reads.
     """
-    row, rank, starts = fresh(docs, "row", "rank", "starts")
+    row, rank, starts, whole = fresh(docs, "row", "rank", "starts", "whole")
     n_words, n_removed, removed, kept = fresh(docs, "n_words", "n_removed", "removed", "kept_text")
     numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(rank, F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)))
     table = bucketed(numbered, row)
     texts = table.select(F.col(row).alias("row"), F.col(rank).alias("rank"), F.col(text_column).alias("text"))
-    found = repeated_windows(texts, window, first).groupBy(F.col("row").alias(row)).agg(F.collect_list("start").alias(starts))
+    copies = later_copies(texts)
+    found = repeated_windows(texts.join(copies, "row", "left_anti"), window, first).groupBy(F.col("row").alias(row)).agg(F.collect_list("start").alias(starts))
+    copies = copies.select(F.col("row").alias(row), F.lit(True).alias(whole))
     carried = docs.columns
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for text, places in zip(batch.column(text_column).cast(pa.binary()).to_pylist(), batch.column(starts).to_pylist(), strict=True):
+        for text, places, copy in zip(batch.column(text_column).cast(pa.binary()).to_pylist(), batch.column(starts).to_pylist(), batch.column(whole).to_pylist(), strict=True):
             words = split_words(text)
-            spans = _spans(places or [], window)
+            spans = [(0, len(words))] if copy and len(words) >= window else _spans(places or [], window)
             parts = [words[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(words)], strict=True)]
             out.append((len(words), sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], b" ".join(w for p in parts for w in p)))
         columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -199,7 +212,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         added[3] = added[3].cast(pa.string())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *added], names=[*carried, n_words, n_removed, removed, kept])
 
-    joined = table.join(found, row, "left").select(*carried, starts)
+    joined = table.join(found, row, "left").join(copies, row, "left").select(*carried, starts, whole)
     more = StructType.fromDDL(f"`{n_words}` long, `{n_removed}` long, `{removed}` array<struct<start: int, end: int>>, `{kept}` string")
     return arrow_map(joined, step, StructType([*docs.schema.fields, *more.fields]))
 

@@ -56,3 +56,15 @@ def test_many_ranges_take_few_rounds_and_few_probes(spark, monkeypatch):
     sizes = counted["bytes"].to_numpy()
     shards = [sizes[i : i + 10].sum() for i in range(0, 240, 10)]
     assert max(shards) - min(shards) <= 0.004 * sum(shards) / 24 + 2 * 58 and sizes.max() <= 1.6 * sizes.mean()
+
+
+def test_groups_of_equal_texts_stay_whole(spark, monkeypatch):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat((F.col("id") % 900).cast("string"), 20).alias("text"))
+    for size in (sharding.RANGE_BYTES, 3000):
+        monkeypatch.setattr(sharding, "RANGE_BYTES", size)
+        rows = shard_documents(docs).collect()
+        check(rows, [(r.doc_id, r.text) for r in docs.collect()], 0)
+        assert all(len({r.shard for r in rows if r.doc_id % 900 == k}) == 1 for k in range(0, 900, 7))
+        assert len({(r.shard, r.doc_id % 900) for r in rows}) == 900
+        sizes = [sum(r.size for r in rows if r.shard == s) for s in range(24)]
+        assert max(sizes) - min(sizes) <= 2 * 7 * 68  # a group of seven rows at either end

@@ -20,6 +20,8 @@ PROBES, TOLERANCE = 64, 0.001
 #: span holds; most probes of a round (16 bytes each, to every task; one row of counts each, to the driver); rows that a task
 #: adds up at once.
 RANGE_TOLERANCE, PROBES_OF_EACH, MOST_PROBES, ROWS_AT_ONCE = 0.25, 4, 1_000_000, 100_000
+#: A group of equal texts of at most this share of a shard's bytes lies in one shard; a larger one is parted where bytes are even.
+GROUP_SHARE = 0.05
 #: Bytes that one task sorts: a shard of more is sorted in several ranges, whose exact row counts give the slots.
 RANGE_BYTES = 512 << 20
 TOP = 1 << 128
@@ -103,12 +105,38 @@ def splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, ranges
     return sorted(done.values())
 
 
+def whole_groups(keyed: DataFrame, edges: list[int], parts: int, ranges: int = 1) -> list[int]:
+    """`edges` with each that ends a shard moved to the nearer end of the group of equal texts that it parts.
+
+    Only groups of up to GROUP_SHARE of a shard are kept whole, so a shard's bytes change by half of that at most at either
+    end. One pass counts the bytes on both sides.
+    """
+    ends = list(range(ranges - 1, len(edges), ranges))
+    around = {i: ((edges[i] >> 64) << 64, min(((edges[i] >> 64) + 1) << 64, TOP - 1)) for i in ends}
+    probes = sorted({x for i in ends for x in (*around[i], edges[i])} - {0})
+    counted = histogram(keyed, probes)
+    sizes = np.zeros(len(probes) + 1, dtype=np.int64)
+    sizes[counted["bin"].to_numpy()] = counted["bytes"].to_numpy()
+    below = {0: 0} | dict(zip(probes, np.cumsum(sizes[:-1]).tolist(), strict=True))
+    moved, most = list(edges), GROUP_SHARE * int(sizes.sum()) * ranges / parts
+    for i in ends:
+        low, high = around[i]
+        before, behind = below[edges[i]] - below[low], below[high] - below[edges[i]]
+        if before and behind and before + behind <= most:
+            moved[i] = low if before < behind else high
+    for i in ends:  # ranges inside a shard stay inside it
+        for k in range(i - ranges + 1, i):
+            moved[k] = min(max(moved[k], moved[i - ranges] if i >= ranges else 0), moved[i])
+    last = ends[-1] if ends else -1
+    return [*moved[: last + 1], *(max(x, moved[last]) if ends else x for x in moved[last + 1 :])]
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns in `carry` (default: all of `docs`), then size, text_crc32, law, shard, slot and grown_shard.
 
     The law is `bytes`: every shard has near the same sum of sizes (bytes of the text plus 8). Rows go in the order of
-    (hash of text, hash of id), so equal texts stay together except where a shard ends. The rows are exchanged once. Rows
-    equal in text and id share a shard. Null texts are empty, null ids are rows like any other. A column whose name clashes
+    (hash of text, hash of id), and equal texts share a shard unless there are more than GROUP_SHARE of its bytes of them. The
+    rows are exchanged once. Rows equal in text and id share a shard. Null texts are empty, null ids are rows like any other. A column whose name clashes
     with one of the added keeps its name, and the added one gets a longer name. An empty table gives an empty result.
     """
     carry = docs.columns if carry is None else carry
@@ -117,22 +145,23 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc
     keys = checkpoint(keyed.select(high, low, size))
     total = keys.agg(F.sum(size)).first()[0] or 0
     ranges = max(1, -(-total // (shards * RANGE_BYTES)))
-    edges = splitters(keys, shards * ranges, ranges=ranges)
+    edges = whole_groups(keys, splitters(keys, shards * ranges, ranges=ranges), shards * ranges, ranges)
     rows = dict(histogram(keys, edges)[["bin", "rows"]].itertuples(index=False))
     starts = [0] * (shards * ranges)
     for p in range(1, len(starts)):
         starts[p] = starts[p - 1] + int(rows.get(p - 1, 0)) if p % ranges else 0
-    packed = _bytes(edges)
+    packed, firsts = _bytes(edges), np.array(starts, dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def place(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(packed, _packed(a.to_numpy(), b.to_numpy()), side="right").astype(np.int32))
+    @F.pandas_udf("part int, first long")
+    def place(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(packed, _packed(a.to_numpy(), b.to_numpy()), side="right").astype(np.int32)
+        return pd.DataFrame({"part": at, "first": firsts[at]})
 
     unsigned = [F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("long")) for c in (high, low)]
-    crc = fresh(docs, "crc")[0]
-    placed = keyed.withColumn(part, place(high, low)).withColumn(crc, F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
-    placed = placed.select(*carry, high, low, size, crc, part).repartitionById(shards * ranges, F.col(part))
-    slot = F.get(F.lit(starts).cast("array<bigint>"), F.col(part)) + F.row_number().over(Window.partitionBy(part).orderBy(*unsigned)) - 1
+    crc, begin, spot = fresh(docs, "crc", "begin", "spot")
+    placed = keyed.withColumn(spot, place(high, low)).withColumns({part: F.col(spot)["part"], begin: F.col(spot)["first"]}).withColumn(crc, F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
+    placed = placed.select(*carry, high, low, size, crc, part, begin).repartitionById(shards * ranges, F.col(part))
+    slot = F.col(begin) + F.row_number().over(Window.partitionBy(part).orderBy(*unsigned)) - 1
     added = dict(zip(("size", "text_crc32", "law", "shard", "slot", "grown_shard"), fresh(placed.select(*carry), "size", "text_crc32", "law", "shard", "slot", "grown_shard"), strict=True))
     return placed.select(
         *carry, F.col(size).alias(added["size"]), F.col(crc).alias(added["text_crc32"]), F.lit("bytes").alias(added["law"]), F.floor(F.col(part) / ranges).cast("int").alias(added["shard"]),

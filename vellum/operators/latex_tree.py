@@ -182,6 +182,11 @@ class LatexParser:
             raise ValueError(f"{env} without items")
         items[-1] = items[-1].split(f"\\end{{{env}}}")[0]
         node, text, math, held = Node(env), [], None, []
+
+        def flush() -> None:
+            node.add_sentences(" ".join(text).strip())
+            text.clear()
+
         for line in (x.strip() for item in items for x in item.splitlines()):
             if math:
                 held.append(line)
@@ -191,6 +196,7 @@ class LatexParser:
                     math, held = None, []
                 continue
             if line.count("$$") >= 2:
+                flush()
                 _, inner, rest = line.split("$$", 2)
                 node.add("math", content=f"$${inner}$$")
                 node.add_sentences(rest.strip())
@@ -198,12 +204,14 @@ class LatexParser:
             begin = "$$" if "$$" in line else "\\[" if line.startswith("\\[") else m[1] if (m := re.search(rf"\\begin\{{((?:{MATH})\*?)\}}", line)) else None
             if begin is None:
                 text.append(line)
-            elif begin != "$$" and (end := _Math.closes(begin, line)) is not None:
+                continue
+            flush()
+            if begin != "$$" and (end := _Math.closes(begin, line)) is not None:
                 node.add("math", content=line)
                 node.add_sentences(line[end:].strip())
             else:
                 math, held = begin, [line]
-        node.add_sentences(" ".join(text).strip())
+        flush()
         self.top.children.append(node)
 
 

@@ -271,6 +271,23 @@ def latex_nodes(spark, sf_dir):
     return latex_tree.parse_versions(found, resolve.resolve_versions(found)).select("pub_id", long(c("preorder")).alias("preorder"), F.coalesce(long(c("parent_preorder")), F.lit(-1)).alias("parent"), "node_type", "title", "content")
 
 
+@query(r"""SELECT CAST(c_custkey AS VARCHAR) AS pub_id, CAST(preorder AS BIGINT) AS preorder, CAST(parent AS BIGINT) AS parent, node_type, replace(title, '?', c_name) AS title, replace(replace(content, '^', chr(10)), '?', c_name) AS content FROM customer,
+(VALUES (0, -1, 'document', 'Blocks of ?', NULL), (1, 0, 'section', 'Lists', NULL), (2, 1, 'sentence', NULL, 'Before it.'), (3, 1, 'itemize', NULL, NULL), (4, 3, 'sentence', NULL, 'first of ?.'), (5, 3, 'sentence', NULL, 'second thing.'), (6, 3, 'sentence', NULL, 'third one.'),
+(7, 1, 'enumerate', NULL, NULL), (8, 7, 'sentence', NULL, 'zeroth.'), (9, 7, 'math', NULL, '$$x=y$$'), (10, 7, 'sentence', NULL, 'behind it.'), (11, 7, 'sentence', NULL, 'only.'), (12, 1, 'listing', NULL, '\begin{lstlisting}^code = "?"^\end{lstlisting}'), (13, 1, 'figure', NULL, '\begin{figure}[h]^\includegraphics{?.png}^\caption{How}^\end{figure}'),
+(14, 1, 'table', NULL, '\begin{table*}^a & ?^\end{table*}'), (15, 1, 'math', NULL, '$$a=b$$'), (16, 1, 'sentence', NULL, 'rest of ?.'), (17, 1, 'math', NULL, '\begin{align*}^c &= d^\end{align*} Then more.'), (18, 1, 'sentence', NULL, 'Then more.'), (19, 1, 'math', NULL, '\[ e=f \]'), (20, 1, 'subsection', 'Last', NULL),
+(21, 20, 'math', NULL, '$$^g=h^$$'), (22, 20, 'sentence', NULL, 'End of it.'), (23, 20, 'section', 'Bare', NULL), (24, 23, 'subsection', 'Empty of ?', NULL), (25, 24, 'sentence', NULL, '')) AS t(preorder, parent, node_type, title, content)""")
+def latex_blocks(spark, sf_dir):
+    """Lists, a listing, a figure, a table, display math of all kinds, and headings without content, of which subsections get an empty sentence."""
+    lines = (
+        "\\documentclass{article}\n\\newcommand{\\who}{", c("c_name"), "}\n\\title{Blocks of \\textbf{\\who}}\n\\begin{document}\n\\section{Lists}\nBefore it. % no\n\\begin{itemize}\n\\item first of \\who. second thing.\n\\item \\emph{third} one.\n\\end{itemize}\n\\begin{enumerate}\n\\item zeroth.\n\\item $$x=y$$ behind it.\n\\item only.\n\\end{enumerate}\n",
+        "\\begin{lstlisting}\ncode = \"\\who\"\n\\end{lstlisting}\n\\begin{figure}[h]\n\\includegraphics{\\who.png}\n\\caption{How}\n\\end{figure}\n\\begin{table*}\na & \\who\n\\end{table*}\nText with $$a=b$$ rest of \\who.\n\\begin{align*}\nc &= d\n\\end{align*} Then more.\n\\[ e=f \\]\n",
+        "\\subsection{Last}\n$$\ng=h\n$$\nEnd of it.\n\\section{Bare}\n\\subsection{Empty of \\who}\n\\end{document}\nNot this.",
+    )
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    found = table(spark, sf_dir, "customer").select(c("c_custkey").cast("string").alias("pub_id"), F.concat(c("c_custkey").cast("string"), F.lit("v1")).alias("version"), F.lit("m.tex").alias("file_name"), text.alias("text"))
+    return latex_tree.parse_versions(found, found.withColumn("main_tex", c("file_name"))).select("pub_id", long(c("preorder")).alias("preorder"), F.coalesce(long(c("parent_preorder")), F.lit(-1)).alias("parent"), "node_type", "title", "content")
+
+
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS pub_id, CAST(preorder AS BIGINT) AS preorder, CAST(parent AS BIGINT) AS parent, node_type, replace(title, '?', n_name) AS title, replace(content, '?', n_name) AS content FROM nation,
 (VALUES (0, -1, 'document', 'On ?', NULL), (1, 0, 'section', 'Abstract', NULL), (2, 1, 'sentence', NULL, 'An abstract of ?.'), (3, 1, 'sentence', NULL, 'It has {{one} group.'), (4, 0, 'section', 'First', NULL), (5, 4, 'sentence', NULL, 'One of ? is here.'),
 (6, 4, 'sentence', NULL, 'Two follows (x).'), (7, 4, 'math', NULL, 'a = ?'), (8, 4, 'sentence', NULL, 'Behind it.'), (9, 4, 'figure', 'How ? looks', 'plot.eps'), (10, 4, 'subsection', 'Inner', NULL), (11, 10, 'sentence', NULL, 'Three of it.'), (12, 10, 'math', NULL, '$$b=c$$'),
@@ -387,6 +404,51 @@ def elements(spark, sf_dir):
     return tree_dedup.elements(_kept(spark, sf_dir)).select("id", part("$.node_type").alias("node_type"), F.md5(F.coalesce(part("$.content"), part("$"))).alias("content"))
 
 
+def _customer_nodes(spark, sf_dir):
+    """The customers of a nation as a version four levels deep: market segments, parts of these, and a sentence for each customer."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
+    rows = rows.select(F.concat(F.lit("p"), "n_regionkey").alias("pub_id"), F.concat(F.lit("p"), "n_regionkey", F.lit("v"), "n_nationkey").alias("version"), c("c_mktsegment").alias("seg"), (c("c_custkey") % 20).cast("int").alias("k"), c("c_custkey").alias("cust"))
+    none, keys = F.lit(None).cast("string"), ("pub_id", "version", "seg", "k", "cust")
+
+    def level(frame, depth, kind, title, content):
+        return frame.select("pub_id", "version", *(c(n) if n in frame.columns else F.lit(None).cast("string" if n == "seg" else "long").alias(n) for n in keys[2:]), F.lit(depth).alias("depth"), F.lit(kind).alias("node_type"), title.alias("title"), content.alias("content"))
+
+    sentence = level(rows, 3, "sentence", none, F.concat(F.lit("About "), (c("cust") % 2).cast("string")))
+    parts = level(rows.select(*keys[:4]).distinct(), 2, "subsection", F.concat(F.lit("Part "), (c("k") % 5).cast("string")), none)
+    sections = level(rows.select(*keys[:3]).distinct(), 1, "section", c("seg"), none)
+    roots = level(rows.select(*keys[:2]).distinct(), 0, "document", F.lit("root"), none)
+    order = Window.partitionBy("version").orderBy(*(c(n).asc_nulls_first() for n in keys[2:]))
+    nodes = sentence.unionByName(parts).unionByName(sections).unionByName(roots).withColumn("preorder", (F.row_number().over(order) - 1).cast("int"))
+    inside = lambda *names: Window.partitionBy("version", *names)
+    ends = F.when(c("depth") == 3, c("preorder")).when(c("depth") == 2, F.max("preorder").over(inside("seg", "k"))).when(c("depth") == 1, F.max("preorder").over(inside("seg"))).otherwise(F.max("preorder").over(inside()))
+    first = lambda depth, *names: F.max(F.when(c("depth") == depth, c("preorder"))).over(inside(*names))
+    parent = F.when(c("depth") == 3, first(2, "seg", "k")).when(c("depth") == 2, first(1, "seg")).when(c("depth") == 1, F.lit(0))
+    made = nodes.withColumns({"subtree_end": ends + 1, "parent_preorder": parent, "label": none, "error": none})
+    return made.select("pub_id", "version", "preorder", "parent_preorder", "depth", "subtree_end", "node_type", "title", "label", "content", "error")
+
+
+DEEP = r"""WITH b AS (SELECT 'p' || n_regionkey AS pub, n_nationkey AS v, 'p' || n_regionkey || 'v' || n_nationkey AS version, c_mktsegment AS seg, c_custkey % 20 AS k, c_custkey AS cust FROM customer JOIN nation ON c_nationkey = n_nationkey),
+u AS (SELECT pub, v, version, seg, k, cust, 3 AS depth, 'About ' || cust % 2 AS txt FROM b UNION ALL SELECT DISTINCT pub, v, version, seg, k, NULL, 2, 'Part ' || k % 5 FROM b UNION ALL SELECT DISTINCT pub, v, version, seg, NULL, NULL, 1, seg FROM b UNION ALL SELECT DISTINCT pub, v, version, NULL, NULL, NULL, 0, 'root' FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY seg NULLS FIRST, k NULLS FIRST, cust NULLS FIRST) - 1 AS preorder FROM u),
+h3 AS (SELECT *, sha256('sentence' || txt) AS h FROM n WHERE depth = 3), h2 AS (SELECT n.*, sha256('subsection' || n.txt || c.hs) AS h FROM n JOIN (SELECT version, seg, k, string_agg(h, '' ORDER BY preorder) AS hs FROM h3 GROUP BY ALL) c ON n.depth = 2 AND n.version = c.version AND n.seg = c.seg AND n.k = c.k),
+h1 AS (SELECT n.*, sha256('section' || n.txt || c.hs) AS h FROM n JOIN (SELECT version, seg, string_agg(h, '' ORDER BY preorder) AS hs FROM h2 GROUP BY ALL) c ON n.depth = 1 AND n.version = c.version AND n.seg = c.seg), h0 AS (SELECT n.*, sha256('document' || n.txt || c.hs) AS h FROM n JOIN (SELECT version, string_agg(h, '' ORDER BY preorder) AS hs FROM h1 GROUP BY ALL) c ON n.depth = 0 AND n.version = c.version),
+h AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3), i AS (SELECT *, version || '_' || lpad(CAST(preorder AS VARCHAR), 6, '0') AS id FROM h),
+f AS (SELECT *, first_value(id) OVER (PARTITION BY pub, h, txt ORDER BY v, preorder) AS first_id, count(*) FILTER (WHERE depth = 0) OVER (PARTITION BY pub) AS versions FROM i),
+m AS (SELECT *, versions > 1 AND first_id <> id AND NOT bool_or(depth = 0 AND versions > 1 AND first_id <> id) OVER (PARTITION BY version) AS swapped FROM f),
+g AS (SELECT *, coalesce(bool_or(swapped AND depth = 1) OVER (PARTITION BY version, seg), FALSE) AS s1, coalesce(bool_or(swapped AND depth = 2) OVER (PARTITION BY version, seg, k), FALSE) AS s2 FROM m)"""
+
+
+@query(DEEP + " SELECT version, CAST(preorder AS BIGINT) AS preorder, h AS subtree_hash FROM h")
+def deep_content_hash(spark, sf_dir):
+    return tree_dedup.subtree_hashes(tree_dedup.normalize_nodes(_customer_nodes(spark, sf_dir))).select("version", long(c("preorder")).alias("preorder"), "subtree_hash")
+
+
+@query(DEEP + " SELECT version, CAST(preorder AS BIGINT) AS preorder, CASE WHEN swapped THEN first_id ELSE id END AS canonical_id FROM g WHERE NOT (depth > 1 AND s1) AND NOT (depth > 2 AND s2)")
+def deep_dedup_canonical(spark, sf_dir):
+    kept = tree_dedup.deduplicate(tree_dedup.subtree_hashes(tree_dedup.normalize_nodes(_customer_nodes(spark, sf_dir))))
+    return kept.select("version", long(c("preorder")).alias("preorder"), "canonical_id")
+
+
 JSON = KEPT + """, e AS (SELECT k.version, id, '{"node_type":"sentence"' || CASE WHEN text <> '' THEN ',"content":' || to_json(text) ELSE '' END || '}' AS element FROM k JOIN (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS preorder FROM conversations) t USING (conv_id, preorder)
 WHERE canonical_id = id UNION ALL SELECT version, version || '_000000', '"root"' FROM r), el AS (SELECT pub_id, string_agg('"' || id || '": ' || element, ', ' ORDER BY id) AS elements FROM e JOIN r USING (version) GROUP BY pub_id),
 hi AS (SELECT version, canonical_id AS id, '"' || version || '_000000"' AS parent FROM k WHERE starts_with(canonical_id, version || '_') GROUP BY 1, 2, 3 UNION ALL SELECT version, version || '_000000', 'null' FROM r),
@@ -635,14 +697,15 @@ def _scored(spark, sf_dir):
 
 
 SCORED = f"""WITH RECURSIVE p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS an, b.p_name AS bn, string_split(a.p_type, ' ') AS aty, string_split(b.p_type, ' ') AS bty, a.p_brand || '/' || a.p_size AS pub FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
-{WITH_RATIOS}, s AS (SELECT a, b, an, bn, aty, bty, pub, {SCORE} AS score FROM {JOINED}),
+{WITH_RATIOS}, s AS (SELECT a, b, an, bn, aty, bty, pub, {SCORE} AS score, {OVERLAP} AS overlap FROM {JOINED}),
 best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s)"""
 
 
-@query(SCORED + " SELECT CAST(a AS VARCHAR) AS key, CAST(b AS VARCHAR) AS arxiv_id, round(score, 6) AS score FROM best WHERE n = 1 AND score >= 0.6")
+@query(SCORED + """ SELECT CAST(a AS VARCHAR) AS key, CAST(b AS VARCHAR) AS arxiv_id, round(score, 6) AS score, round(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), 6) AS title, round(overlap, 6) AS author, CASE WHEN a % 5 = b % 5 THEN 1.0 ELSE 0.0 END AS year FROM best WHERE n = 1 AND score >= 0.6""")
 def best_match(spark, sf_dir):
+    """Each entry's best paper with the parts of its score."""
     pairs = _scored(spark, sf_dir)
-    return matching.best_matches(pairs, 0.6).select("key", "arxiv_id", F.round("score", 6).alias("score"))
+    return matching.best_matches(pairs, 0.6).select("key", "arxiv_id", *(F.round(n, 6).alias(n) for n in ("score", "title", "author", "year")))
 
 
 @query("""SELECT CAST(a.p_partkey AS VARCHAR) AS key, CAST(b.p_partkey AS VARCHAR) AS arxiv_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1

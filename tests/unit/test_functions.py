@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.unit import plain_latex
+from tests.unit.plain_parser import LatexParser
 
 from vellum.functions import latex
 from vellum.functions import similarity as S
 from vellum.functions import tex as X
 from vellum.functions import text as T
 from vellum.operators import latex_tree
-from vellum.operators.latex_tree import LatexParser, node_rows
+from vellum.operators.latex_tree import node_rows
 from vellum.sources import files
 from vellum.sources.bibtex import item_fields, parse_entries
 
@@ -145,11 +146,45 @@ def test_include_orders_match_plain_ones(spark):
         assert r.order == order
 
 
-def test_headings_by_length_and_by_level():
+def _parsed(spark, versions, **settings):
+    """The rows of versions ({file: text}, main), and what the plain machine makes of the same texts made ready."""
+    sources = spark.createDataFrame([("p", f"v{k:03d}", n, t) for k, (texts, _) in enumerate(versions) for n, t in texts.items()], "pub_id string, version string, file_name string, text string")
+    mains = spark.createDataFrame([("p", f"v{k:03d}", m) for k, (_, m) in enumerate(versions)], "pub_id string, version string, main_tex string")
+    got, want = {}, {}
+    for r in latex_tree.parse_versions(sources, mains, **settings).collect():
+        got.setdefault(r.version, []).append(tuple(r)[2:-1] if r.error is None else "error")
+    for r in latex_tree.ready_versions(sources, mains, settings.get("fixed_headings", False)).collect():
+        try:
+            want[r.version] = node_rows(LatexParser({f.name: f.text for f in r.files}, r.main_tex, r.title, settings.get("level_aware", False)).parse())
+        except ValueError:
+            want[r.version] = ["error"]
+    return got, want
+
+
+def test_headings_by_length_and_by_level(spark):
     tex = "\\begin{document}\n" + "\n".join(f"\\section{{S{i}}}" for i in range(6)) + "\n\\end{document}"
     parents = lambda rows: [rows[r[1]][5] for r in rows if r[4] == "section"]
-    assert parents(node_rows(LatexParser({"m": tex}, "m").parse())) == [None, "S0", "S1", "S1", "S1", "S1"]
-    assert parents(node_rows(LatexParser({"m": tex}, "m", level_aware=True).parse())) == [None] * 6
+    for aware, want in ((False, [None, "S0", "S1", "S1", "S1", "S1"]), (True, [None] * 6)):
+        got, plain = _parsed(spark, [({"m.tex": tex}, "m.tex")], level_aware=aware)
+        assert got == plain and parents(got["v000"]) == want
+
+
+@pytest.mark.parametrize("level_aware", [False, True])
+def test_folds_over_lines_match_a_plain_machine(spark, level_aware):
+    draw = random.Random(21 + level_aware)
+    lines = [
+        "", "", "Words here. More of it", "a", "See Fig. 2 now.", "\\section{One} Trailing. Text.", "\\subsection*[x[y]]{Two {b}}", "\\paragraph{P}", "\\part{X}", "\\chapter{C}", "\\subsubsection{T}", "\\appendix{A}", "\\section{open", "\\input{a}", "\\include{x/b.tex} tail",
+        "\\input{c}\\input{none}", "\\begin{itemize}", "\\item one. two", "\\item $$x$$ behind", "more $$", "\\end{itemize}", "\\end{itemize} after", "\\begin{enumerate} \\item x \\end{enumerate}", "\\begin{enumerate}", "\\end{enumerate}", "\\begin{lstlisting}", "\\end{lstlisting}", "$$", "a $$ b",
+        "$$a=b$$ rest. Of it.", "$$a$$ and $$b$$", "\\[", "\\] end. Here", "\\[ x \\] y.", "in \\[ z", "\\begin{equation} q", "\\end{equation} r.", "\\begin{align*}", "\\end{align*}", "\\begin{gather}x\\end{gather}", "\\begin{figure}[h]", "\\end{figure}", "\\begin{table*}x\\end{table*}", "\\begin{table}", "\\end{table}", "\\end{document}",
+    ]
+    text = lambda n: "\n".join(draw.choice(lines) for _ in range(draw.randrange(n)))
+    versions = [({"m.tex": "\\title{On it}\n\\begin{document}\n" + text(60), "a.tex": text(12), "b.tex": text(8), "c.tex": text(8), "d.tex": text(5)}, "m.tex") for _ in range(150)]
+    versions += [({"m.tex": "\\begin{document}\n" + "\n".join(f"Line {i}." for i in range(n)), "z.tex": "\\subsection{Last}"}, "m.tex") for n in (49, 50, 51, 120, 700)] + [({"m.tex": ""}, "m.tex"), ({"m.tex": "\\begin{document}"}, "m.tex")]
+    got, want = _parsed(spark, versions, level_aware=level_aware)
+    assert got.keys() == want.keys()
+    for v in want:
+        assert got[v] == want[v], (v, versions[int(v[1:])][0])
+    assert sum(w != ["error"] for w in want.values()) > 60 and any(w == ["error"] for w in want.values())
 
 
 def test_bibliography_entries():

@@ -96,9 +96,11 @@ def expand(text: Column, macros: Column, passes: int = 10) -> Column:
 
 def macro_map(found: Column) -> Column:
     """Of all macros found, in their order, each name once with its last body, the bodies expanded by each other."""
-    names = F.array_distinct(F.transform(found, lambda m: m["name"]))
-    last = F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter(found, lambda m: m["name"] == n), -1)["body"].alias("body")))
-    return let(last, lambda ms: F.transform(ms, lambda m: F.struct(m["name"].alias("name"), expand(m["body"], ms, 5).alias("body"))))
+    def last(all_: Column) -> Column:
+        names = F.array_distinct(F.transform(all_, lambda m: m["name"]))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter(all_, lambda m: m["name"] == n), -1)["body"].alias("body")))
+
+    return let(let(found, last), lambda ms: F.transform(ms, lambda m: F.struct(m["name"].alias("name"), expand(m["body"], ms, 5).alias("body"))))
 
 
 def remove_styles(text: Column) -> Column:

@@ -103,7 +103,6 @@ def test_latex_rules(spark):
     macros = X.macro_map(X.macros_of(F.lit("\\newcommand{\\a}{X\\b}\\def\\b{Y}\\newcommand{\\c}[1]{no}")))
     assert [tuple(m) for m in one(spark, macros)] == [("\\a", "XY"), ("\\b", "Y")] and one(spark, X.expand(F.lit("\\a \\ab \\b"), macros)) == "XY \\ab Y"
     assert one(spark, X.remove_styles(F.lit("\\textbf{a \\emph{b}} \\bfseries c \\other{d}"))) == "a b c \\other{d}"
-    assert latex.heading("\\section*[x]{A {b} c} rest") == ("section", "A {b} c", "rest") and latex.heading("\\appendix") is None
     assert one(spark, X.reflow_headings(F.lit("\\section{a\nb} \\paragraph{open"))) == "\\section{a b} \\paragraph{open"
     files_ = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, i)).cast("array<string>").alias("includes")) for n, i in (("m.tex", ["a.tex", "x/b.tex", "none.tex", "./c.tex"]), ("a.tex", ["m.tex", "c.tex"]), ("b.tex", []), ("c.tex", ["b.tex"]))))
     assert one(spark, X.include_order(files_, F.lit("m.tex"))) == ["m.tex", "a.tex", "c.tex", "b.tex"]

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from vellum.functions import similarity as S
 from vellum.functions import tex as X
 from vellum.functions import text as T
-from vellum.operators import features, latex_tree, matching, ranking, references, resolve, tree_dedup
+from vellum.operators import features, latex_lines, latex_tree, matching, ranking, references, resolve, tree_dedup
 from vellum.operators.boosting import Booster
 from vellum.session import cut, new_folder
 from vellum.plans import summaries
@@ -323,11 +323,15 @@ def _heading_rows(spark, sf_dir):
 
 @query(HEADINGS + " SELECT l_orderkey, pos, level, coalesce((SELECT max(b.pos) FROM lines b WHERE b.l_orderkey = a.l_orderkey AND b.pos < a.pos AND b.level < a.level), 0) AS parent FROM lines a")
 def heading_parents_level(spark, sf_dir):
-    """The nearest earlier heading of a higher level: one window per level, as there are few levels."""
-    rows = _heading_rows(spark, sf_dir)
-    before = Window.partitionBy("l_orderkey").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(c("level") == k, c("pos"))).over(before) for k in (3, 4)}
-    return rows.select("l_orderkey", "pos", "level", F.coalesce(F.when(c("level") == 4, last[3]).when(c("level") == 5, F.greatest(last[3], last[4])), F.lit(0)).alias("parent"))
+    """The nearest earlier heading of a higher level, by the fold that makes trees of a text's events."""
+    grouped = _heading_rows(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("pos", "level"))).alias("h"))
+    kind = lambda level: F.element_at(F.array(F.lit("section"), F.lit("subsection"), F.lit("subsubsection")), (level - 2).cast("int"))
+    rows = latex_lines.tree_rows(F.transform("h", lambda x: latex_lines.event("heading", kind(x["level"]), F.lit("x"), F.lit(""))), F.lit("root"), level_aware=True)
+    heads = F.transform(F.filter(rows, lambda r: r["node"]["node_type"] != "sentence"), lambda r: r["node"])
+    made = grouped.select("l_orderkey", "h", F.explode(F.array(F.struct(heads.alias("heads")))).alias("x")).select("l_orderkey", "h", "x.heads")
+    places = F.transform("heads", lambda r: r["preorder"])
+    parents = F.transform("h", lambda x: F.struct(x["pos"].alias("pos"), x["level"].alias("level"), (F.array_position(places, F.get("heads", x["pos"].cast("int"))["parent_preorder"]) - 1).alias("parent")))
+    return made.select("l_orderkey", F.explode(parents).alias("x")).select("l_orderkey", "x.*")
 
 
 @query(HEADINGS + """, RECURSIVE_STACK AS (SELECT 1) SELECT l_orderkey, pos, level, parent FROM (

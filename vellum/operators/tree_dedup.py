@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.functions.similarity import let
 from vellum.functions.text import clean_formatting
+from vellum.operators.latex_lines import empty, fold
 from vellum.session import cut
 
 LISTS, TITLED = ("itemize", "enumerate"), ("document", "part", "chapter", "section", "appendix", "subsection", "subsubsection", "paragraph")
@@ -40,24 +42,28 @@ def normalize_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_hashes(rows: DataFrame) -> DataFrame:
-    """subtree_hash: SHA-256 of type, full text and the children's hashes in their order, from the deepest level up.
+    """subtree_hash: SHA-256 of type, full text and the children's hashes in their order.
 
-    Each level is written once, as both the level above and the result read it; a tree is some ten levels deep at most.
+    A version's nodes, which are one document, are read from the last to the first: when a node comes, all below it have
+    been hashed, and the hashes that wait for it lie one level deeper. So a tree of any depth takes one pass, and the whole
+    table one exchange.
     """
-    rows = cut(rows)
-    deepest = rows.agg(F.max("depth")).first()[0]
-    done, below = None, None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = rows.where(F.col("depth") == depth)
-        if below is None:
-            level = level.withColumn("children_hash", F.lit(""))
-        else:
-            joined = below.groupBy(*VERSION, F.col("parent_preorder").alias("preorder")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("preorder").alias("p"), "subtree_hash"))), lambda x: x["subtree_hash"]), "").alias("children_hash"))
-            level = level.join(joined, [*VERSION, "preorder"], "left")
-        level = level.withColumn("subtree_hash", F.sha2(F.concat("node_type", "full_text", F.coalesce("children_hash", F.lit(""))), 256)).drop("children_hash")
-        below = level = cut(level)
-        done = level if done is None else done.unionByName(level)
-    return done if done is not None else rows.withColumn("subtree_hash", F.lit(None).cast("string"))
+    waiting = lambda nodes: F.array_repeat(empty("string"), F.array_max(F.transform(nodes, lambda n: n["depth"])) + 2)
+
+    def step(s: Column, n: Column) -> Column:
+        own = F.sha2(F.concat(n["node_type"], n["full_text"], F.array_join(F.get(s["waiting"], n["depth"] + 1), "")), 256)
+
+        def told(hash_: Column) -> Column:
+            kept = F.transform(s["waiting"], lambda w, d: F.when(d == n["depth"], F.array_prepend(w, hash_)).when(d == n["depth"] + 1, empty("string")).otherwise(w))
+            return F.struct(kept.alias("waiting"), F.array(hash_).alias("emit"))
+
+        return let(own, told)
+
+    found = rows.groupBy(*VERSION).agg(F.sort_array(F.collect_list(F.struct("preorder", F.struct(*rows.columns).alias("node")))).alias("all"))
+    nodes = found.select(F.transform("all", lambda x: x["node"]).alias("nodes"))
+    hashes = F.reverse(fold(F.reverse("nodes"), {"waiting": waiting(F.col("nodes"))}, "string", step))
+    both = nodes.select(F.explode(F.arrays_zip(F.col("nodes").alias("node"), hashes.alias("subtree_hash"))).alias("x"))
+    return cut(both.select("x.node.*", "x.subtree_hash"))
 
 
 def deduplicate(hashed: DataFrame) -> DataFrame:

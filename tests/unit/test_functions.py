@@ -31,6 +31,7 @@ def test_text_rules(spark):
     assert one(spark, T.short_names(F.lit("Smith, John and Ludwig van der Berg and Plato and {Knuth}, D. E."))) == ["smith j", "van der berg l", "p", "knuth d"]
     assert one(spark, T.first_author_last(F.array(F.lit("van der berg j")))) == "van"
     assert one(spark, T.normalized(F.lit("The \\emph{Deep} studies of {Neural} Networks: é"))) == "deep study neural network"
+    assert one(spark, T.normalized(F.lit("Analyses of matrices by women, wives and mice: indices, classes, theories"))) == "analysis matrix woman wife mouse index class theory"
     assert one(spark, T.semantic_base(F.lit("Agrawal, P."), F.lit("2017"), F.lit("Make dark matter"))) == "Agrawal_2017_MakeDark"
     assert [one(spark, T.semantic_suffix(F.lit(n))) for n in (0, 1, 25, 26, 27)] == ["", "_a", "_y", "_123", "_124"]
     assert one(spark, T.reference_quality(F.lit("d"), F.lit("2001"), F.lit("a"), F.lit("t"))) == 10

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.ml.feature import StopWordsRemover
 
-from vellum.functions.rules import ABBREVIATIONS, HARVMAC_TEXT, HARVMAC_TITLE, INCLUDE, replaced
+from vellum.functions.rules import ABBREVIATIONS, HARVMAC_TEXT, HARVMAC_TITLE, INCLUDE, IRREGULAR, replaced
 
 # Layout commands without arguments.
 LAYOUT = "centering|raggedright|raggedleft|noindent|hline|midrule|toprule|bottomrule|small|large|bfseries|itshape"
@@ -88,10 +88,11 @@ def stopwords() -> list[str]:
 
 
 def noun(word: Column) -> Column:
-    """A noun's singular by its ending: an approximation of a dictionary look-up."""
+    """A noun's singular: of the irregular ones by a list, of others by the ending, which approximates a dictionary."""
     n = F.length(word)
+    irregular = F.element_at(F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair)), word)
     return (
-        F.when(word.rlike("(?:ss|us|is)$") | (n <= 3), word).when(word.rlike("[^aeiou]ies$"), F.concat(F.left(word, n - 3), F.lit("y")))
+        F.when(word.isin(*IRREGULAR), irregular).when(word.rlike("(?:ss|us|is)$") | (n <= 3), word).when(word.rlike("[^aeiou]ies$"), F.concat(F.left(word, n - 3), F.lit("y")))
         .when(word.rlike("(?:ch|sh|x|ss|z)es$"), F.left(word, n - 2)).when(F.endswith(word, F.lit("s")), F.left(word, n - 1)).otherwise(word)
     )
 

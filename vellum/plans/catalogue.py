@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from vellum.functions import similarity as S
 from vellum.functions import tex as X
 from vellum.functions import text as T
+from vellum.functions.rules import IRREGULAR
 from vellum.operators import features, latex_lines, latex_tree, matching, ranking, references, resolve, tree_dedup
 from vellum.operators.boosting import Booster
 from vellum.session import cut, new_folder
@@ -195,10 +196,13 @@ def normalize_year(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.year_of(text).alias("year"))
 
 
+NOUNS, SINGULARS = (", ".join(f"'{w}'" for w in words) for words in (IRREGULAR, IRREGULAR.values()))
+
+
 @query(r"""WITH words AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '\\[a-z]+\{([^}]*)\}', '\1', 'g'), '\\[a-z]+', ' ', 'g'), '[{}$]', '', 'g'), '~', ' '), '[^a-z0-9 \t\n\f\r\v\-]', ' ', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains(string_split('i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now cannot could ought would', ' '), w)) AS w
 FROM (SELECT doc_id, coalesce(text, '') || ' \emph{Ab}~c' AS t FROM documents))
 SELECT doc_id, array_to_string(list_transform(w, lambda w: CASE WHEN regexp_matches(w, '(?:ss|us|is)$') OR length(w) <= 3 THEN w WHEN regexp_matches(w, '[^aeiou]ies$') THEN left(w, length(w) - 3) || 'y'
-WHEN regexp_matches(w, '(?:ch|sh|x|ss|z)es$') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END), ' ') AS words FROM words""")
+WHEN regexp_matches(w, '(?:ch|sh|x|ss|z)es$') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END), ' ') AS words FROM words""".replace("CASE WHEN regexp_matches(w", f"CASE WHEN list_contains([{NOUNS}], w) THEN [{SINGULARS}][list_position([{NOUNS}], w)] WHEN regexp_matches(w", 1))
 def normalize_text(spark, sf_dir):
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" \\emph{Ab}~c"))
     return table(spark, sf_dir, "documents").select("doc_id", T.normalized(text).alias("words"))

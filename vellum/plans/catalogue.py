@@ -956,7 +956,7 @@ def feature_importance(spark, sf_dir):
     return _ranker(spark, sf_dir)[1].importance(spark)
 
 
-@query()
+@query(SCORED + " SELECT CAST(0 AS BIGINT) AS different, CAST(count(*) AS BIGINT) AS ranked FROM (SELECT row_number() OVER (PARTITION BY pub, a ORDER BY b) AS k FROM s) WHERE k <= 5")
 def saved_ranker(spark, sf_dir):
     """A ranker written as Parquet and read again: both rank all pairs, and the differences are counted."""
     rows, ranker = _ranker(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 #: Publications that one task lists, and files that the commit moves at once.
-FOLDERS_OF_A_TASK, MOVERS = 500, 32
+FOLDERS_OF_A_TASK, MOVERS, TRIES = 500, 32, 5
 STAGING = "_staging-"
 
 
@@ -86,16 +87,18 @@ class Files(DataSourceWriter):
     """Each task writes its files to a folder of its own below the target; only the commit moves them to their names.
 
     So of a task that is tried again, or tried twice at once, only the files of the attempt that Spark committed appear,
-    and an aborted job leaves nothing.
+    and an aborted job leaves nothing: its folder is made before the tasks begin, and one that outlives the job fails without it.
     """
 
     def __init__(self, root: str, template: str, columns: list[str]):
         self.root, self.template, self.job, self.columns = root, template, f"{STAGING}{uuid.uuid4().hex}", columns
+        files, inner = place(root)
+        files.create_dir(f"{inner}/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         files, root = place(self.root)
         own, moves = f"{root}/{self.job}/{uuid.uuid4().hex}", []
-        files.create_dir(own, recursive=True)
+        files.create_dir(own, recursive=False)
         for n, row in enumerate(iterator):
             key, text = row[0], row[1]
             if key is None or text is None or not re.fullmatch(r"[^/]+(?:/[^/]+)*", key) or ".." in key.split("/"):
@@ -120,8 +123,15 @@ class Files(DataSourceWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         files, root = place(self.root)
-        if files.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
-            files.delete_dir(f"{root}/{self.job}")
+        for attempt in range(TRIES):  # a task that outlives the job may write while the folder goes
+            try:
+                if files.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+                    files.delete_dir(f"{root}/{self.job}")
+                return
+            except OSError:
+                if attempt == TRIES - 1:
+                    raise
+                time.sleep(0.2)
 
 
 class PublicationFiles(DataSource):

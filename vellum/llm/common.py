@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that a Python worker works on at once. Spark bounds a batch by its bytes; within it results are made in smaller pieces.
 PIECE_ROWS = 500
+#: Bytes of a bucket, the most buckets that Spark allows, and what it estimates of tables that it knows nothing of.
+BUCKET_BYTES, MOST_BUCKETS, NO_ESTIMATE = 256 << 20, 100_000, 1 << 60
 #: Bits of a bitmap of hashes: 131,072 words, whatever the input.
 MARKS = 1 << 23
 
@@ -53,10 +55,13 @@ def stored(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """`df` written to the shared folder as a table bucketed by `key`: joins by that key leave its rows where they are.
 
-    There are as many buckets as shuffles have partitions. The table goes from the catalogue at once; its files stay.
+    There are as many buckets as shuffles have partitions, or more if Spark's estimate of the size asks for it, so a bucket
+    stays small on large tables; an estimate that says nothing is left aside. The table goes from the catalogue at once; its
+    files stay.
     """
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, MOST_BUCKETS) if size < NO_ESTIMATE else 0)
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

@@ -60,7 +60,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     files stay.
     """
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, MOST_BUCKETS) if size < NO_ESTIMATE else 0)
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     found = spark.table(name)

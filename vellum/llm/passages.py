@@ -141,11 +141,12 @@ def next_level(texts: DataFrame, runs: DataFrame, length: int, halves: bool) ->
 def repeated(windows: DataFrame) -> DataFrame:
     """The windows whose hash is found in two documents or more, with `least`, the smallest rank among these.
 
-    Ranks are aggregated before any row moves, so a passage that a third of all documents share is one row in the join, whose
-    other side adaptive execution can split.
+    Ranks are aggregated before any row moves, so a passage that a third of all documents share is one row on one side of the
+    join. The repeated hashes are written down first: adaptive execution splits the other side of a join only if no
+    aggregation stands between the exchange and the join.
     """
     common = windows.groupBy("hash").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("hash", "least")
-    return windows.join(common, "hash")
+    return windows.join(stored(common), "hash")
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def later_copies(texts: DataFrame) -> DataFrame:
     """
     keyed = stored(texts.select("row", "rank", F.unhex(F.md5("text")).alias("digest")).where("digest is not null"))
     first = keyed.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("digest", "least")
-    return stored(keyed.join(first, "digest").where("rank > least").select("row"))
+    return stored(keyed.join(stored(first), "digest").where("rank > least").select("row"))
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:

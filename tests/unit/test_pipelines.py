@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import ranking
 from vellum.operators.boosting import Booster
-from vellum.plans.pipelines import documents, labelled_pairs, ranked
+from vellum.plans.pipelines import documents, export, labelled_pairs, ranked
 from vellum.sources import files, sinks
 
 V1 = r"""\documentclass{article}
@@ -79,6 +79,12 @@ def test_folders_to_publications(spark, corpus, tmp_path):
     assert len(pubs["0001-00003"]["hierarchy"]["0001-00003v2"]) == len(pubs["0001-00003"]["hierarchy"]["0001-00003v1"]) == 7
     sinks.write_texts(made.publications, str(tmp_path / "out"), "json")
     assert spark.read.text(str(tmp_path / "out")).count() == len(pubs)
+    export(spark, corpus, str(tmp_path / "files"), made, labelled_pairs(spark, corpus))
+    assert {str(p.relative_to(tmp_path / "files")) for p in (tmp_path / "files").rglob("*") if p.is_file()} == {
+        "0001-00001/0001-00001.json", "0001-00003/0001-00003.json", "0001-00001/refs.bib", "0001-00002/refs.bib", "0002-00001/metadata.json",
+        *(f"{p}/{n}.json" for p in ("0001-00001", "0001-00002", "0001-00003", "0002-00002") for n in ("metadata", "references")),
+    }
+    assert json.loads((tmp_path / "files/0001-00001/0001-00001.json").read_text()) == first and (tmp_path / "files/0001-00001/refs.bib").read_text().startswith("@article{k0,")
 
 
 def test_only_changed_versions_are_parsed(spark, tmp_path):

@@ -12,7 +12,7 @@ from vellum.operators.boosting import Booster
 from vellum.session import cut
 from vellum.sources import bibtex, files
 from vellum.sources.cache import through_cache
-from vellum.sources.folders import list_folders
+from vellum.sources.folders import list_folders, write_files
 
 
 @dataclass
@@ -93,3 +93,15 @@ def ranked(pairs: DataFrame) -> Ranking:
     mrr = {p: ranking.mean_reciprocal_rank(predictions, ranking.ground_truth(part)).first()["mrr"] for p, part in by.items()}
     gap = abs(mrr["train"] - mrr["test"])
     return Ranking(rows, parts, ranker, predictions, truth, mrr, "none" if gap < 0.05 else "slight" if gap < 0.10 else "significant", ranking.prediction_json(predictions, truth, parts))
+
+
+def export(spark: SparkSession, root: str, out: str, made: Documents | None = None, pairs: Pairs | None = None, ranking: Ranking | None = None) -> None:
+    """A folder <out>/<pub>/ with what is given: <pub>.json, metadata.json and references.json as they are, refs.bib, pred.json."""
+    if made is not None:
+        write_files(made.publications, out, "json")
+        side, _ = files.side_files(files.read_files(spark, root))
+        write_files(side.select(F.concat_ws("/", "pub_id", "path").alias("place"), "text"), out, "text", "{key}", "place")
+    if pairs is not None:
+        write_files(pairs.bibtex, out, "bibtex", "{key}/refs.bib")
+    if ranking is not None:
+        write_files(ranking.output, out, "json", "{key}/pred.json")

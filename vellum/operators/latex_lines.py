@@ -135,10 +135,12 @@ def file_events(text: Column, is_main: Column) -> Column:
         joined = F.array_join(more, "\n")
         dollars, rest = _twice(line)
         leaf = lambda env: F.when(env.isin(*LISTS), env).otherwise("listing")
+        spoken = F.when(F.size(s["text"]) == FLUSH_LINES - 1, to([event("text", lines=F.array_append(s["text"], line))], text=empty("string"))).otherwise(to([], text=F.array_append(s["text"], line)))
+        plain = s["inside"] & s["env"].isNull() & s["math"].isNull() & s["area"].isNull() & ~line.rlike(r"[\\\\$]")
         in_area = lambda kind, lines: let(F.struct(kind.alias("kind"), F.array_append(lines, line).alias("lines")), lambda a: _area(to, line, a["kind"], a["lines"]))
 
         return (
-            F.when(s["over"], to([])).when(line == "", to([], flush=True))
+            F.when(s["over"], to([])).when(line == "", to([], flush=True)).when(plain, spoken)
             .when(~s["inside"], to([], inside=F.contains(line, F.lit("\\begin{document}"))))
             .when(is_main & F.contains(line, F.lit("\\end{document}")), to([], over=F.lit(True)))
             .when(line.rlike(HEADING), to([event("heading", F.regexp_extract(line, HEADING, 1), F.regexp_extract(line, HEADING, 2), strip(F.regexp_extract(line, HEADING, 3)))], flush=True))
@@ -149,7 +151,7 @@ def file_events(text: Column, is_main: Column) -> Column:
             .when(_count(line, "$$") >= 2, to([event("math", title=rest, content=dollars)], flush=True))
             .when(begins.isNotNull(), let(F.when(begins != "$$", _closed(begins, line)), lambda r: F.when(r.isNotNull(), to([event("math", title=strip(r), content=line)], flush=True)).otherwise(to([], flush=True, math=begins, block=F.array(line)))))
             .when(s["area"].isNotNull(), in_area(s["area"], s["block"])).when(area != "", let(F.lit(0), lambda _: _area(lambda emit, **kw: to(emit, flush=True, **kw), line, area, F.array(line))))
-            .otherwise(F.when(F.size(s["text"]) == FLUSH_LINES - 1, to([event("text", lines=F.array_append(s["text"], line))], text=empty("string"))).otherwise(to([], text=F.array_append(s["text"], line))))
+            .otherwise(spoken)
         )
 
     last = lambda s: F.when(F.size(s["text"]) > 0, F.array(event("text", lines=s["text"]))).otherwise(empty(EVENT))
@@ -209,7 +211,7 @@ def _node(kind: Column, content: Column | None = None, title: Column | None = No
 
 
 def _said(text: Column, inner: bool = False) -> Column:
-    return F.transform(sentences(text), lambda t: _node(F.lit("sentence"), t, inner=inner))
+    return F.when(text == "", empty(NODE)).otherwise(F.transform(sentences(text), lambda t: _node(F.lit("sentence"), t, inner=inner)))
 
 
 def list_items(env: Column, lines: Column) -> Column:
@@ -256,12 +258,13 @@ def event_nodes(e: Column) -> Column:
     )
 
 
-def tree_rows(events: Column, title: Column, level_aware: bool = False) -> Column:
+def tree_rows(events: Column, title: Column, level_aware: bool = False, ends: bool = True) -> Column:
     """The nodes of a version's events with their places: preorder, parent_preorder, depth, subtree_end. Null if a list has no items.
 
     By the original rule a heading cuts the stack of open ones to a length that its level fixes; `level_aware` closes those
     that are not above it. New nodes always lie below the last open heading, so they come in preorder. Headings without
-    content get an empty sentence; by the original rule not sections, appendices and paragraphs.
+    content get an empty sentence; by the original rule not sections, appendices and paragraphs. Without `ends` subtree_end
+    is null.
     """
     row = "struct<preorder: int, parent_preorder: int, depth: int, node_type: string, title: string, content: string>"
     open_ = "struct<level: int, at: int>"
@@ -300,6 +303,8 @@ def tree_rows(events: Column, title: Column, level_aware: bool = False) -> Colum
             nexts = F.transform(s["nexts"], lambda v, d: F.when(d >= r["depth"], r["preorder"]).otherwise(v))
             return F.struct(nexts.alias("nexts"), F.array(F.struct(F.get(s["nexts"], r["depth"]).alias("subtree_end"), r.alias("node")).cast(whole)).alias("emit"))
 
+        if not ends:
+            return F.transform(rows, lambda r: F.struct(none("int").alias("subtree_end"), r.alias("node")).cast(whole))
         return F.reverse(fold(F.reverse(rows), {"nexts": F.array_repeat(F.size(rows), MOST_LEVELS)}, whole, back))
 
     root = at(F.lit(0), none("int"), F.lit(0), _node(F.lit("document"), title=title))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +16,8 @@ from vellum.session import cut
 LISTS, TITLED = ("itemize", "enumerate"), ("document", "part", "chapter", "section", "appendix", "subsection", "subsubsection", "paragraph")
 LEAVES = ("sentence", "math", "figure", "table", "listing")
 VERSION = ("pub_id", "version")
+#: Trees of fewer levels are hashed in a round for each level.
+LEVELS = 16
 
 
 def version_number(version: Column) -> Column:
@@ -42,7 +46,28 @@ def normalize_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_hashes(rows: DataFrame) -> DataFrame:
-    """subtree_hash: SHA-256 of type, full text and the children's hashes in their order.
+    """subtree_hash: SHA-256 of type, full text and the children's hashes in their order."""
+    seen = Observation()
+    rows = cut(rows.observe(seen, F.coalesce(F.max("depth"), F.lit(0)).alias("deepest")))
+    deepest = seen.get["deepest"]
+    return _by_levels(rows, deepest) if deepest < LEVELS else _in_one_pass(rows)
+
+
+def _by_levels(rows: DataFrame, deepest: int) -> DataFrame:
+    """A round for each level, the deepest first: a node's children are gathered, not its version's nodes."""
+    keys, levels = [F.col(k) for k in VERSION], []
+    for depth in range(deepest, -1, -1):
+        here = rows.where(F.col("depth") == depth)
+        told = F.lit("")
+        if levels:
+            below = levels[-1].groupBy(*keys, F.col("parent_preorder").alias("preorder")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("preorder", "subtree_hash"))), lambda x: x["subtree_hash"]), "").alias("_told"))
+            here, told = here.join(below, [*VERSION, "preorder"], "left"), F.coalesce("_told", F.lit(""))
+        levels.append(cut(here.select(*rows.columns, F.sha2(F.concat("node_type", "full_text", told), 256).alias("subtree_hash"))))
+    return reduce(DataFrame.union, levels)
+
+
+def _in_one_pass(rows: DataFrame) -> DataFrame:
+    """Trees of many levels.
 
     A version's nodes, which are one document, are read from the last to the first: when a node comes, all below it have
     been hashed, and the hashes that wait for it lie one level deeper. So a tree of any depth takes one pass, and the whole

@@ -3,45 +3,23 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vellum.functions import latex
 from vellum.functions import tex as tex_rules
 from vellum.functions.rules import HARVMAC_SENTENCE, HARVMAC_TEXT, HARVMAC_TITLE, NO_ABSTRACT, applied
-from vellum.operators import latex_lines
+from vellum.operators.latex_nodes import Node, node_rows, pad_headings
+from vellum.operators.latex_parser import LatexParser
 
-ROWS = "array<struct<preorder: int, parent_preorder: int, depth: int, subtree_end: int, node_type: string, title: string, label: string, content: string>>"
-
-
-@dataclass
-class Node:
-    node_type: str
-    title: str | None = None
-    label: str | None = None
-    content: str | None = None
-    children: list[Node] = field(default_factory=list)
-
-    def add(self, node_type: str, **values: str | None) -> Node:
-        self.children.append(Node(node_type, **values))
-        return self.children[-1]
-
-    def add_sentences(self, text: str) -> None:
-        for s in latex.sentences(text):
-            self.add("sentence", content=s)
-
-
-def pad_headings(node: Node) -> None:
-    """Headings without content get an empty sentence; by the original rule not sections and appendices."""
-    todo = [node]
-    while todo:
-        at = todo.pop()
-        if at.node_type in ("part", "chapter", "subsection", "subsubsection") and not at.children:
-            at.add("sentence", content="")
-        todo += at.children
+ROWS = "pub_id string, version string, preorder int, parent_preorder int, depth int, subtree_end int, node_type string, title string, label string, content string, error string"
+#: Rows of a batch that is handed back, about, and files that a task reads, about.
+BATCH, TASK_FILES = 4096, 4096
 
 
 def _group(text: str, at: int) -> tuple[str, int]:
@@ -120,22 +98,6 @@ def _harvmac_sentences(parent: Node, text: str) -> None:
             parent.add("sentence", content=s)
 
 
-def node_rows(root: Node) -> list[tuple]:
-    """(preorder, parent_preorder, depth, subtree_end, node_type, title, label, content) of all nodes; a subtree ends where
-    the next node begins that is no deeper than its root."""
-    rows, todo = [], [(root, None, 0)]
-    while todo:
-        node, parent, depth = todo.pop()
-        rows.append((len(rows), parent, depth, node))
-        todo += [(c, len(rows) - 1, depth + 1) for c in reversed(node.children)]
-    ends, open_rows = [len(rows)] * len(rows), []
-    for at, _, depth, _ in rows:
-        while open_rows and rows[open_rows[-1]][2] >= depth:
-            ends[open_rows.pop()] = at
-        open_rows.append(at)
-    return [(at, parent, depth, ends[at], n.node_type, n.title, n.label, n.content) for at, parent, depth, n in rows]
-
-
 def ready_versions(sources: DataFrame, resolved: DataFrame, fixed_headings: bool = False) -> DataFrame:
     """(pub_id, version, main_tex, harvmac, title, files): one row per version with all that the parser of lines reads.
 
@@ -144,9 +106,7 @@ def ready_versions(sources: DataFrame, resolved: DataFrame, fixed_headings: bool
     harvmac is named in its first 1,024 letters, else null; then neither title nor texts are made ready.
     """
     c = F.col
-    tex = sources.where(c("file_name").endswith(".tex")).join(resolved.where("main_tex is not null").select("pub_id", "version", "main_tex"), ["pub_id", "version"])
-    one = F.struct((c("file_name") != c("main_tex")).alias("other"), c("file_name").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = tex.groupBy("pub_id", "version", "main_tex").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    rows = _files_of(sources, resolved)
     main = F.get("all", F.lit(0))
     plain = F.contains(F.left(main["text"], F.lit(1024)), F.lit("harvmac"))
     rows = rows.withColumn("harvmac", F.when(plain, tex_rules.strip_comments(main["text"])))
@@ -157,31 +117,52 @@ def ready_versions(sources: DataFrame, resolved: DataFrame, fixed_headings: bool
     return rows.select("pub_id", "version", "main_tex", "harvmac", F.when(~plain, title).alias("title"), F.when(~plain, texts).alias("files"))
 
 
+def _files_of(sources: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(pub_id, version, main_tex, all): one row per version with its TeX files, the main one first and then by name."""
+    c = F.col
+    tex = sources.where(c("file_name").endswith(".tex")).join(resolved.where("main_tex is not null").select("pub_id", "version", "main_tex"), ["pub_id", "version"])
+    one = F.struct((c("file_name") != c("main_tex")).alias("other"), c("file_name").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    return tex.groupBy("pub_id", "version", "main_tex").agg(F.sort_array(F.collect_list(one)).alias("all"))
+
+
+def parse_version(names: list[str], texts: list[str], main: str, level_aware: bool = False, fixed_headings: bool = False) -> list[tuple]:
+    """`node_rows` of a version's files, the main one first. The macros are those of all files, later ones winning."""
+    if "harvmac" in texts[0][:1024]:
+        return node_rows(parse_harvmac(latex.strip_comments(texts[0])))
+    clean = [latex.strip_comments(t) for t in texts]
+    macros, title = latex.macro_map(clean), latex.find_title(clean[0])
+    ready = {n: latex.prepared(t, macros, fixed_headings) for n, t in zip(names, texts, strict=True)}
+    return node_rows(LatexParser(ready, main, title and latex.remove_styles(latex.expand(title, macros)), level_aware).parse())
+
+
 def parse_versions(sources: DataFrame, resolved: DataFrame, level_aware: bool = False, fixed_headings: bool = False) -> DataFrame:
     """The nodes of every version. `sources` has (pub_id, version, file_name, text), `resolved` (pub_id, version, main_tex).
 
     The files of one version meet in one row (they are one document). A version that cannot be parsed gives one row with its
-    error instead of nodes, so it is lost alone.
+    error instead of nodes, so it is lost alone. The number of tasks follows from the number of files, as adaptive execution
+    would go by their bytes, which are few.
     """
 
-    ready = ready_versions(sources, resolved, fixed_headings)
-    c = F.col
-
-    def parse(text: str | None) -> tuple[list[tuple] | None, str | None]:
-        if text is None:
-            return None, None
+    def parsed(names: list[str], texts: list[str], main: str) -> list[tuple]:
         try:
-            return node_rows(parse_harvmac(text)), None
+            return [(*row, None) for row in parse_version(names, texts, main, level_aware, fixed_headings)]
         except Exception as e:  # noqa: BLE001  one version's trouble isn't the job's
-            return None, f"{type(e).__name__}: {e}"[:500]
-
-    @F.pandas_udf(f"rows {ROWS}, error string")
-    def harvmac(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(t) for t in texts], columns=["rows", "error"])
-
-    files = F.transform("files", lambda f: F.struct(f["name"].alias("name"), latex_lines.file_events(f["text"], f["name"] == c("main_tex")).alias("events")))
-    rows = F.transform(latex_lines.tree_rows(latex_lines.version_events(files, c("main_tex")), c("title"), level_aware), lambda r: F.struct(*(r["node"][f].alias(f) if f != "subtree_end" else r[f].alias(f) for f in ("preorder", "parent_preorder", "depth", "subtree_end", "node_type", "title")), F.lit(None).cast("string").alias("label"), r["node"]["content"].alias("content")))
-    plain = ready.where("harvmac is null").select("pub_id", "version", F.explode(F.array(F.struct(rows.cast(ROWS).alias("rows")))).alias("x")).select("pub_id", "version", "x.rows", F.when(c("x.rows").isNull(), "ValueError: a list without items").alias("error"))
-    parsed = ready.where("harvmac is not null").select("pub_id", "version", harvmac("harvmac").alias("x")).select("pub_id", "version", "x.rows", "x.error")
-    nodes = plain.unionByName(parsed).select("pub_id", "version", F.explode_outer("rows").alias("n"), "error")
-    return nodes.select("pub_id", "version", *(c(f"n.{f}").alias(f) for f in ("preorder", "parent_preorder", "depth", "subtree_end", "node_type", "title", "label", "content")), "error")
+            return [(*[None] * 8, f"{type(e).__name__}: {e}"[:500])]
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, out = to_arrow_schema(types), []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*out), schema)], schema=schema)
+        for found in batches:
+            for at in range(found.num_rows):
+                pub, version, main, names, texts = (column[at].as_py() for column in found.columns)
+                out += [(pub, version, *row) for row in parsed(names, texts, main)]
+                if len(out) >= BATCH:
+                    yield batch()
+                    out = []
+        if out:
+            yield batch()
+
+    types = StructType.fromDDL(ROWS)
+    files = _files_of(sources, resolved).select("pub_id", "version", "main_tex", F.transform("all", lambda f: f["name"]).alias("names"), F.transform("all", lambda f: f["text"]).alias("texts"))
+    tasks = sources.count() // TASK_FILES + sources.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(tasks, "pub_id", "version").mapInArrow(parse, types)
